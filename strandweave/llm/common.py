@@ -6,19 +6,23 @@ import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Separators between words: space and \x09-\x0D, as a Java pattern.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a checkpoint in the folder that ``spark.checkpoint.dir`` names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; one is set only where the session names none."""
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="strandweave-"))
+    return sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
 
-    A folder is set here only where the session names none (tests, local runs).
-    """
-    sc = df.sparkSession.sparkContext
-    if not (sc.getConf().get("spark.checkpoint.dir", "") or sc.getCheckpointDir()):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="strandweave-"))
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cuts the lineage with a checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -57,3 +61,28 @@ def crc_fold(doc_id: Column, folds: int) -> Column:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def with_score(docs: DataFrame, text: str, scorer, name: str) -> DataFrame:
+    """Adds ``name``, a double that ``scorer(column)`` gives for each row's text; other columns pass through.
+
+    ``scorer`` is called once per Arrow batch with its text column and returns an array.
+    """
+    import pyarrow as pa
+
+    at = docs.columns.index(text)
+
+    def scan(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scorer(batch.column(at)), pa.float64())], names=[*batch.schema.names, name])
+
+    return docs.mapInArrow(scan, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, y) of the rows that a model may learn from: labelled, present, and not held out.
+
+    An id with several labels counts as 1 if any of them is 1.
+    """
+    marks = labels.where(F.col(label).isNotNull() & (crc_fold(F.col("doc_id"), folds) != held_out)).groupBy("doc_id").agg(F.max(F.col(label)).cast("int").alias("y"))
+    return marks.join(docs.select(F.col(doc_id).cast("long").alias("doc_id")), "doc_id", "left_semi")
