@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, mixing, packing, quality, sharding, toxicity
+from . import fingerprints, jaccard, mixing, packing, quality, sharding, toxicity
 from .common import read
 
 
@@ -27,6 +27,10 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op5_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint(read(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return quality.score(docs, quality.fit(docs, read(spark, sf_dir, "labels")))
@@ -37,7 +41,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_source_mixing, op2_lpt_sharding, op3_toxicity, op4_ngram_jaccard, op8_quality, op10_packing)}
+    return {f.__name__: f for f in (op1_source_mixing, op2_lpt_sharding, op3_toxicity, op4_ngram_jaccard, op5_imatch_fingerprints, op8_quality, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
