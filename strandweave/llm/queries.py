@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, jaccard, mixing, packing, quality, sharding, toxicity
+from . import fingerprints, hamming, jaccard, licenses, mixing, packing, quality, sharding, toxicity, warc
 from .common import read
 
 
@@ -31,17 +31,29 @@ def op5_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint(read(spark, sf_dir, "documents"))
 
 
+def op6_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming.nearest(read(spark, sf_dir, "embeddings"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(read(spark, sf_dir, "pages"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return quality.score(docs, quality.fit(docs, read(spark, sf_dir, "labels")))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_source_mixing, op2_lpt_sharding, op3_toxicity, op4_ngram_jaccard, op5_imatch_fingerprints, op8_quality, op10_packing)}
+    return {f.__name__: f for f in (op1_source_mixing, op2_lpt_sharding, op3_toxicity, op4_ngram_jaccard, op5_imatch_fingerprints, op6_hamming_topk, op7_warc, op8_quality, op9_license_scan, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
