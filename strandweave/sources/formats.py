@@ -16,7 +16,7 @@ def fasta_line(taxon: str = "taxon", seq: str = "seq") -> Column:
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """(taxon, lines): one row per record of a file of ``>`` records, splittable between them."""
     raw = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "^>", "").alias("value"))
-    lines = F.transform(F.split(F.regexp_replace("value", "\r\n?", "\n"), "\n"), F.trim)
+    lines = F.transform(F.split(F.regexp_replace("value", "\r\n?", "\n"), "\n"), lambda x: F.trim(x))
     return raw.where("trim(value) <> ''").select(lines[0].alias("taxon"), F.filter(F.slice(lines, 2, F.size(lines)), lambda x: x != "").alias("lines"))
 
 
