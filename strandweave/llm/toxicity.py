@@ -5,7 +5,8 @@ every letter that it skips, spanning at most ``SPAN`` letters. An insult with le
 between, or with an ending of its own, still shares most of its subsequences. Punctuation inside
 a word is passed over and spelled-out letters are joined, so ``i.d-i*o t`` forms are seen too.
 
-Landmarks are the words or word beginnings that the labelled sample ties to label 1. A document
+Beginning and end of a word count as letters. Landmarks are the words or word beginnings that the
+labelled sample ties to label 1. A document
 is, for each landmark, the most that any of its words holds of it; the Nyström map (the inverse
 square root of the landmarks' kernel matrix) turns that into features for a linear machine with
 squared hinge loss, whose margin a logistic curve turns into a score.
@@ -30,13 +31,15 @@ FOLDS, HELD_OUT = 5, 0
 #: Bounds of the labelled sample, by class.
 MOST_TOXIC, MOST_CLEAN = 2_000, 4_000
 LANDMARKS, CANDIDATES = 64, 600
-SPAN, DECAY, LONGEST, STEP = 5, 0.6, 24, 12
-#: A word that holds less than this much of a landmark counts as holding none of it.
-FLOOR = 0.5
+SPAN, DECAY, LONGEST, STEP = 5, 0.6, 14, 4
+#: A word that holds less of a landmark than the first counts as holding none, more than the second as holding all.
+FLOOR, CEILING = 0.45, 0.85
 SHORTEST = 4
 #: Twice the log likelihood ratio that a landmark's tie to label 1 needs (odds of about 1 in 10^6 by
 #: chance); where nothing reaches it, the FALLBACK best are taken.
 EVIDENCE, FALLBACK = 25.0, 8
+#: A landmark also needs this share of the strongest tie; less is what copies of one document make.
+LEAST_SHARE = 0.08
 MOST_SEEN = 1_500_000
 
 _OFFSETS = [(a, b, DECAY ** (b - 2)) for b in range(2, SPAN) for a in range(1, b)]
@@ -74,14 +77,15 @@ def _spelled(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, borders: np
 
 
 def _portions(word: str) -> list[str]:
-    """A long word in overlapping windows, so that all of it is compared."""
+    """The word between marks of its beginning and end; a long one in overlapping windows, so that all of it is compared."""
+    word = f"^{word}$"
     return [word] if len(word) <= LONGEST else [word[k : k + LONGEST] for k in range(0, len(word) - STEP, STEP)]
 
 
 def _symbols(words: list[str]) -> np.ndarray:
-    codes = np.array(words, f"U{LONGEST}").view(np.uint32).reshape(len(words), LONGEST)
-    letters = (codes >= 97) & (codes <= 122)
-    return np.where(letters, codes - 96, np.where(codes == 0, 0, np.where((codes >= 48) & (codes <= 57), 27, 28 + codes % 35))).astype(np.int64)
+    codes = np.array(words, f"U{LONGEST}").view(np.uint32).reshape(len(words), LONGEST).astype(np.int64)
+    kinds = [codes == 0, (codes >= 97) & (codes <= 122), (codes >= 48) & (codes <= 57), codes == ord("^"), codes == ord("$")]
+    return np.select(kinds, [0, codes - 96, 27, 61, 62], 28 + codes % 33)
 
 
 def _triples(symbols: np.ndarray) -> Iterator[tuple[np.ndarray, float]]:
@@ -117,7 +121,7 @@ class Landmarks:
         return g / np.sqrt(np.outer(self.squares, self.squares))
 
     def share(self, words: list[str]) -> np.ndarray:
-        """For each word and landmark: kernel over the landmark's own, from FLOOR to 1 as 0 to 1."""
+        """For each word and landmark: kernel over the landmark's own, from FLOOR to CEILING as 0 to 1."""
         symbols = _symbols(words)
         known = sum((self.index[codes] > 0).sum(axis=1) for codes, _ in _triples(symbols))
         out = np.zeros((len(words), len(self.words)), np.float32)
@@ -129,7 +133,7 @@ class Landmarks:
                 for column in range(at.shape[1]):
                     hit = np.flatnonzero(at[:, column])
                     sums[hit] += np.float32(weight) * self.weights[at[hit, column]]
-            out[some] = np.clip((sums / self.squares - FLOOR) / (1 - FLOOR), 0, 1)
+            out[some] = np.clip((sums / self.squares - FLOOR) / (CEILING - FLOOR), 0, 1)
         return out
 
     def _learn(self, words: list[str], hashes: list[int]) -> None:
@@ -171,7 +175,8 @@ class Landmarks:
 
 
 def _beginnings(word: str) -> list[str]:
-    return [word[:k] for k in range(SHORTEST, min(len(word), 10) + 1)]
+    """Its beginnings of some length, and the word itself with the mark of its end."""
+    return [f"^{word[:k]}" for k in range(SHORTEST, min(len(word), 10) + 1)] + [f"^{word}$"] * (len(word) <= LONGEST - 2)
 
 
 def _counts(sample: DataFrame) -> DataFrame:
@@ -285,7 +290,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     ratio = 2 * (likelihood(t, F.lit(n1), p1) + likelihood(c, F.lit(n0), p0) - likelihood(t, F.lit(n1), p) - likelihood(c, F.lit(n0), p))
     weighed = _counts(sample).where((t >= 2) & (p1 > 4 * p0)).select("name", "toxic", ratio.alias("weight"))
     best = [tuple(r) for r in weighed.orderBy(F.desc("weight"), F.desc(F.length("name")), "name").limit(CANDIDATES).collect()]
-    best = [x for x in best if x[2] >= EVIDENCE] or best[:FALLBACK]
+    best = [x for x in best if x[2] >= max(EVIDENCE, LEAST_SHARE * best[0][2])] or best[:FALLBACK]
     words = choose(best)
     if not words:
         return Model([], np.zeros(1), 0.0, -30.0)
