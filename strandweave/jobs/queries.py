@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from strandweave.functions import residues as R
 from strandweave.operators import columns as C
 from strandweave.operators import merge as M
+from strandweave.operators import profiles as P
 from strandweave.operators import rows as W
 from strandweave.operators import trees as T
 from strandweave.operators.ranks import global_rank
@@ -455,3 +456,19 @@ def model_map(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT doc_id AS taxon, row_number() OVER (ORDER BY doc_id) - 1 AS rank FROM documents")
 def taxon_ranks(spark: SparkSession, d: str) -> DataFrame:
     return global_rank(V.table(spark, d, "documents").select(F.col("doc_id").alias("taxon")), "taxon")
+
+
+# adding sequences and shedding long branches
+
+
+@query()
+def align_to_consensus(spark: SparkSession, d: str) -> DataFrame:
+    """Every ragged sequence against the consensus of the aligned rows; DNA of the same first letters."""
+    aln = V.aligned(spark, d)
+    consensus = W.consensus(aln.withColumn("locus", F.lit(0))).first()["seq"]
+    return P.align_to(W.unaligned(aln), consensus)
+
+
+@query(f"{TREE}, edges AS (SELECT node, len, quantile_cont(len, 0.25) OVER (PARTITION BY parent) AS q1, quantile_cont(len, 0.75) OVER (PARTITION BY parent) AS q3 FROM tree WHERE is_leaf) SELECT node AS leaf, len FROM edges WHERE len > q3 + 0.5 * (q3 - q1)")
+def long_branches(spark: SparkSession, d: str) -> DataFrame:
+    return P.long_branches(V.tree(spark, d), 0.5)
