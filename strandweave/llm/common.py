@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,6 +26,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def settled(df: DataFrame, per_part: int = 10_000) -> tuple[DataFrame, int]:
+    """``cut(df)`` and its number of rows, counted on the way, in no more partitions than they fill."""
+    seen = Observation()
+    out = cut(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    n = seen.get["n"]
+    return out.coalesce(n // per_part + 1), n
+
+
 def salts(n_rows: int, per_salt: int = 100_000, least: int = 16) -> int:
     """How many salts spread ``n_rows``: it grows with the input and reruns agree."""
     return max(least, -(-n_rows // per_salt))

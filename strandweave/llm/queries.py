@@ -24,7 +24,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.near_duplicates(read(spark, sf_dir, "documents"))
+    return jaccard.near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op5_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,5 +56,24 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_source_mixing, op2_lpt_sharding, op3_toxicity, op4_ngram_jaccard, op5_imatch_fingerprints, op6_hamming_topk, op7_warc, op8_quality, op9_license_scan, op10_packing)}
 
 
+_OP4 = r"""WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+runs AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS g FROM words),
+sets AS (SELECT doc_id, list_distinct(g) AS g FROM runs),
+elements AS (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM sets),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM elements a JOIN elements b ON a.x = b.x AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 75 * (any_value(a.n) + any_value(b.n) - count(*))),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, l.b FROM reach r JOIN both_ways l ON l.a = r.other)
+SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, (SELECT min(other) FROM reach r WHERE r.doc_id = s.doc_id) AS component_id FROM sets s"""
+
+_OP6 = """WITH pairs AS (SELECT q.vec_id AS query_id, v.vec_id AS neighbor_id,
+  CAST(list_sum(list_transform(range(1, 65), lambda i: CASE WHEN coalesce(q.embedding[i] > 0, false) <> coalesce(v.embedding[i] > 0, false) THEN 1 ELSE 0 END)) AS BIGINT) AS distance
+  FROM embeddings q JOIN embeddings v ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS INT) AS rank FROM pairs)
+SELECT query_id, neighbor_id, distance, rank FROM ranked WHERE rank <= 10"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others learn a model, hash, tokenize or schedule as SQL cannot; their tests hold them
+    against brute force, round trips or held-out labels."""
+    return {"op4_ngram_jaccard": _OP4, "op6_hamming_topk": _OP6}
