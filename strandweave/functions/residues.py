@@ -85,3 +85,21 @@ def tree_model(datatype: Column, model: Column) -> Column:
     gamma, wag = model.contains("-gamma"), model.contains("-wag")
     protein = F.when(wag & gamma, "PROTGAMMAWAGF").when(wag, "PROTCATWAGF").when(gamma, "PROTGAMMAJTTF").otherwise("PROTCATJTTF")
     return F.when(F.upper(datatype) == "PROTEIN", protein).when(gamma, "GTRGAMMA").otherwise("GTRCAT")
+
+
+def propagate_gaps(guide: Column, target: Column) -> Column:
+    """``target`` spread over ``guide``: a gap where the guide has one, else the target's next symbol."""
+    start = F.struct(F.lit(1).alias("k"), F.array().cast("array<string>").alias("out"))
+
+    def step(acc: Column, ch: Column) -> Column:
+        gap = ch == GAP
+        return F.struct(F.when(gap, acc["k"]).otherwise(acc["k"] + 1).alias("k"), F.array_append(acc["out"], F.when(gap, ch).otherwise(F.substring(target, acc["k"], F.lit(1)))).alias("out"))
+
+    return F.array_join(F.aggregate(F.split(guide, ""), start, step)["out"], "")
+
+
+def impose_structure(primary: Column, structure: Column) -> Column:
+    """The structure marks at the primary's residues, brackets of all kinds as round ones, others as dots."""
+    pairs = F.filter(F.arrays_zip(F.split(primary, "").alias("p"), F.split(structure, "").alias("s")), lambda x: x["p"] != GAP)
+    mark = F.transform(pairs, lambda x: F.when(x["s"].isin("(", "<", "{"), "(").when(x["s"].isin(")", ">", "}"), ")").otherwise("."))
+    return F.array_join(mark, "")

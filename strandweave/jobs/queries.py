@@ -15,6 +15,7 @@ from strandweave.operators import rows as W
 from strandweave.operators import trees as T
 from strandweave.operators.ranks import global_rank
 from strandweave.sources import formats as S
+from strandweave.sources import trees as N
 from strandweave.sources import views as V
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -472,3 +473,45 @@ def align_to_consensus(spark: SparkSession, d: str) -> DataFrame:
 @query(f"{TREE}, edges AS (SELECT node, len, quantile_cont(len, 0.25) OVER (PARTITION BY parent) AS q1, quantile_cont(len, 0.75) OVER (PARTITION BY parent) AS q3 FROM tree WHERE is_leaf) SELECT node AS leaf, len FROM edges WHERE len > q3 + 0.5 * (q3 - q1)")
 def long_branches(spark: SparkSession, d: str) -> DataFrame:
     return P.long_branches(V.tree(spark, d), 0.5)
+
+
+# more files
+
+
+@query(f"{CELLS} SELECT taxon, '>' || taxon || chr(10) || '+' || coalesce(string_agg(CASE WHEN ch <> '-' THEN ch END, '' ORDER BY col), '') || chr(10) || '@' || coalesce(string_agg(CASE WHEN ch <> '-' THEN CAST(col AS VARCHAR) END, ' ' ORDER BY col), '') AS line FROM spread GROUP BY taxon")
+def compact2_lines(spark: SparkSession, d: str) -> DataFrame:
+    return C.sparse(V.aligned(spark, d)).select("taxon", S.compact2_line().alias("line"))
+
+
+@query(f"{_LOCI}, wide AS (SELECT locus, max(length(seq)) AS w, row_number() OVER (ORDER BY locus) AS place FROM loci GROUP BY locus) SELECT 'GTR, p' || place || '=' || CAST(sum(w) OVER (ORDER BY locus) - w + 1 AS BIGINT) || '-' || CAST(sum(w) OVER (ORDER BY locus) AS BIGINT) AS line FROM wide")
+def partition_lines(spark: SparkSession, d: str) -> DataFrame:
+    parts = M.partitions(_loci(spark, d)).withColumn("place", F.row_number().over(Window.orderBy("locus")))
+    return parts.withColumn("model", F.lit("PROTGAMMAGTR")).select(S.partition_line().alias("line"))
+
+
+@query("SELECT lower(regexp_replace(c_name, '[^a-zA-Z0-9]', '', 'g')) || chr(10) || c_name || chr(10) AS line FROM customer")
+def name_map_lines(spark: SparkSession, d: str) -> DataFrame:
+    names = V.table(spark, d, "customer").select(F.col("c_name").alias("name"), "c_custkey")
+    return W.safe_names(names, "c_custkey").select(S.name_map_line().alias("line"))
+
+
+@query(f"{A} SELECT taxon, seq AS spread FROM aligned")
+def gap_propagate(spark: SparkSession, d: str) -> DataFrame:
+    """Ungapped rows take on the gaps of their aligned form again."""
+    return V.aligned(spark, d).select("taxon", R.propagate_gaps(F.col("seq"), R.degap(F.col("seq"))).alias("spread"))
+
+
+@query(f"{A} SELECT taxon, translate(replace(seq, '-', ''), 'ACGT', '()..') AS structure FROM aligned")
+def impose_structure(spark: SparkSession, d: str) -> DataFrame:
+    return V.aligned(spark, d).select("taxon", R.impose_structure(F.col("seq"), F.translate("seq", "ACGT", "<}x.")).alias("structure"))
+
+
+@query(
+    f"""{TREE}, n AS (SELECT t.parent, t.node, '(' || (SELECT string_agg('c' || c.node, ',' ORDER BY c.node) FROM tree c WHERE c.parent = t.node) || ')n' || t.node AS text FROM tree t WHERE t.node BETWEEN 100 AND 999),
+r AS (SELECT t.node, '(' || (SELECT string_agg(n.text, ',' ORDER BY n.node) FROM n WHERE n.parent = t.node) || ')r' || t.node AS text FROM tree t WHERE t.node BETWEEN 1 AND 99)
+SELECT '(' || string_agg(text, ',' ORDER BY node) || ');' AS newick FROM r"""
+)
+def newick(spark: SparkSession, d: str) -> DataFrame:
+    tree = V.tree(spark, d)
+    label = F.when(F.col("parent").isNull(), F.lit(None)).when(F.col("is_leaf"), F.concat(F.lit("c"), "node")).when(F.col("node") >= 100, F.concat(F.lit("n"), "node")).otherwise(F.concat(F.lit("r"), "node"))
+    return N.to_newick(tree.select("node", "parent", F.lit(None).cast("double").alias("len"), label.alias("label")), 3)

@@ -82,3 +82,42 @@ def phylip_lines(aln: DataFrame) -> DataFrame:
 
 def write_phylip(aln: DataFrame, path: str) -> None:
     phylip_lines(aln).orderBy("place").select("line").write.text(path)
+
+
+def compact2_line(residues: str = "residues", pos: str = "pos") -> Column:
+    """Residues and their columns, from the sparse form."""
+    return F.concat(F.lit(">"), F.col("taxon").cast("string"), F.lit("\n+"), F.col(residues), F.lit("\n@"), F.array_join(F.col(pos).cast("array<string>"), " "))
+
+
+def partition_line(model: str = "model") -> Column:
+    """``KEY, pN=first-last`` for (place, model, first, last); a protein's key is its model without prefix."""
+    key = F.regexp_replace(F.col(model), "^PROT(GAMMAI?|CATI?)", "")
+    return F.concat(key, F.lit(", p"), F.col("place").cast("string"), F.lit("="), F.col("first").cast("string"), F.lit("-"), F.col("last").cast("string"))
+
+
+def name_map_line() -> Column:
+    """Two lines and an empty one for each (safe, name)."""
+    return F.concat_ws("\n", "safe", "name", F.lit(""))
+
+
+def taxa(aln: DataFrame) -> DataFrame:
+    return aln.select("taxon").orderBy("taxon")
+
+
+def reader(kind: str):
+    """The reader of a format by name; formats that have none raise."""
+    known = {"fasta": read_fasta, "compact3": read_compact3}
+    if kind.lower() not in known:
+        raise ValueError(f"no reader for {kind}")
+    return known[kind.lower()]
+
+
+def read_loci(spark: SparkSession, paths: list[str], kind: str = "fasta") -> DataFrame:
+    """(locus, taxon, seq): one locus per file, numbered in the order given."""
+    loci = [reader(kind)(spark, p).select(F.lit(k).alias("locus"), "taxon", "seq") for k, p in enumerate(paths)]
+    if not loci:
+        raise ValueError("no files")
+    out = loci[0]
+    for more in loci[1:]:
+        out = out.unionByName(more)
+    return out

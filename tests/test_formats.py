@@ -42,3 +42,35 @@ def test_phylip(spark, tmp_path):
     assert [r["line"] for r in S.phylip_lines(aln).orderBy("place").collect()] == ["2\t2", "a GT", "b AC"]
     with pytest.raises(Exception, match="differ in length"):
         S.phylip_lines(aln.union(spark.createDataFrame([("c", "A")], aln.schema))).collect()
+
+
+def test_newick_round_trip(spark):
+    from strandweave.sources import trees as N
+
+    text = "((a:1,'b c':2.5)x:0.25,(c,d)[a comment],e_f:3);"
+    rows = N.read_newick(spark.createDataFrame([(1, text)], "tree_id int, newick string"))
+    got = {r["label"]: (r["node"], r["parent"], r["len"], r["is_leaf"]) for r in rows.collect() if r["label"]}
+    assert got["b c"] == (1, 2, 2.5, True) and got["x"] == (2, 7, 0.25, False) and got["e_f"] == (6, 7, 3.0, True)
+    assert N.to_newick(rows, 2).first()["newick"] == "((a:1,'b c':2.5)x:0.25,(c,d),e_f:3);"
+    for bad in ("((a,b);", "(a,b));", "(a,b); (c,d);"):
+        with pytest.raises(ValueError):
+            N.nodes_of(bad)
+
+
+def test_loci_and_unknown_formats(spark, tmp_path):
+    (tmp_path / "1.fasta").write_text(">a\nAC\n")
+    (tmp_path / "2.fasta").write_text(">a\nG\n>b\nT\n")
+    got = S.read_loci(spark, [str(tmp_path / "1.fasta"), str(tmp_path / "2.fasta")])
+    assert sorted(map(tuple, got.collect())) == [(0, "a", "AC"), (1, "a", "G"), (1, "b", "T")]
+    with pytest.raises(ValueError, match="nexus"):
+        S.reader("nexus")
+
+
+def test_structure_and_gaps(spark):
+    from pyspark.sql import functions as F
+
+    from strandweave.functions import residues as R
+
+    row = spark.createDataFrame([("A-CG", "<-x}", "A--C-G", "ACG")], "p string, s string, g string, t string")
+    got = row.select(R.impose_structure(F.col("p"), F.col("s")), R.propagate_gaps(F.col("g"), F.col("t"))).first()
+    assert tuple(got) == ("(.)", "A--C-G")
