@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"\s*(?:('(?:[^']|'')*')|([(),;:])|([^\s(),;:']+))|\s*\[[^\]]*\]")
+_TOKEN = re.compile(r"\s*\[[^\]]*\]|\s*(?:('(?:[^']|'')*')|([(),;:])|([^\s(),;:'\[]+))")
 
 
 def nodes_of(text: str) -> list[tuple[int, int | None, float | None, str | None, bool]]:
