@@ -515,3 +515,35 @@ def newick(spark: SparkSession, d: str) -> DataFrame:
     tree = V.tree(spark, d)
     label = F.when(F.col("parent").isNull(), F.lit(None)).when(F.col("is_leaf"), F.concat(F.lit("c"), "node")).when(F.col("node") >= 100, F.concat(F.lit("n"), "node")).otherwise(F.concat(F.lit("r"), "node"))
     return N.to_newick(tree.select("node", "parent", F.lit(None).cast("double").alias("len"), label.alias("label")), 3)
+
+
+# depth and diameter
+
+
+@query(f"{TREE} SELECT t.node, count(c.node) AS n_children, count(c.node) + CASE WHEN t.parent IS NULL THEN 0 ELSE 1 END AS n_adjacent FROM tree t LEFT JOIN tree c ON c.parent = t.node GROUP BY t.node, t.parent")
+def node_degrees(spark: SparkSession, d: str) -> DataFrame:
+    return T.degrees(V.tree(spark, d))
+
+
+_REACH = f"{TREE}, reach AS (SELECT a.anc AS node, max(a.dist) AS depth FROM anc a JOIN tree t ON t.node = a.node WHERE t.is_leaf GROUP BY a.anc), kids AS (SELECT t.parent, t.node, coalesce(t.len, 0) + r.depth AS far FROM tree t JOIN reach r USING (node) WHERE t.parent IS NOT NULL), placed AS (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY far DESC, node) AS place FROM kids)"
+
+
+@query(f"{_REACH} SELECT r.node, round(r.depth, 6) AS depth, round(coalesce((SELECT sum(far) FROM placed p WHERE p.parent = r.node AND place <= 2), 0), 6) AS diameter FROM reach r")
+def subtree_diameters(spark: SparkSession, d: str) -> DataFrame:
+    tree = V.tree(spark, d)
+    return T.subtree_diameters(tree, T.ancestors(tree)).select("node", F.round("depth", 6).alias("depth"), F.round("diameter", 6).alias("diameter"))
+
+
+_FAR = 19.0
+
+
+@query(
+    f"""{TREE}, f1 AS (SELECT node, parent, len AS far FROM tree WHERE is_leaf), j1 AS (SELECT *, coalesce(far + lead(far) OVER (PARTITION BY parent ORDER BY far DESC, node) > {_FAR}, false) AS off FROM f1),
+f2 AS (SELECT t.node, t.parent, t.len + coalesce((SELECT max(far) FROM j1 WHERE j1.parent = t.node AND NOT off), 0) AS far FROM tree t WHERE t.node BETWEEN 100 AND 999), j2 AS (SELECT *, coalesce(far + lead(far) OVER (PARTITION BY parent ORDER BY far DESC, node) > {_FAR}, false) AS off FROM f2),
+f3 AS (SELECT t.node, t.parent, t.len + coalesce((SELECT max(far) FROM j2 WHERE j2.parent = t.node AND NOT off), 0) AS far FROM tree t WHERE t.node BETWEEN 1 AND 99), j3 AS (SELECT *, coalesce(far + lead(far) OVER (PARTITION BY parent ORDER BY far DESC, node) > {_FAR}, false) AS off FROM f3),
+marks AS (SELECT node FROM j1 WHERE off UNION SELECT node FROM j2 WHERE off UNION SELECT node FROM j3 WHERE off UNION SELECT 0)
+SELECT a.node AS leaf, arg_min(a.anc, a.hops) AS cluster FROM anc a JOIN marks m ON m.node = a.anc JOIN tree t ON t.node = a.node WHERE t.is_leaf GROUP BY a.node"""
+)
+def diameter_clusters(spark: SparkSession, d: str) -> DataFrame:
+    tree = V.tree(spark, d)
+    return T.diameter_clusters(tree, T.ancestors(tree), _FAR)

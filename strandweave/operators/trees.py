@@ -82,12 +82,59 @@ def min_clusters(tree: DataFrame, closure: DataFrame, most: int) -> DataFrame:
             gone = judged.where("off").select("node")
             detached = gone if detached is None else detached.union(gone)
             carried = judged.where("not off").select("node", F.col("parent").alias("up"), "n")
+    return _clusters(tree, closure, detached if detached is not None else tree.select("node").where("false"))
+
+
+def _clusters(tree: DataFrame, closure: DataFrame, marks: DataFrame) -> DataFrame:
+    """(leaf, cluster): the nearest marked ancestor of each leaf; the root is marked."""
     roots = tree.where("parent is null").select("node")
-    marks = (roots if detached is None else detached.union(roots)).select(F.col("node").alias("anc")).distinct()
-    near = closure.join(marks, "anc").join(tree.where("is_leaf").select("node"), "node", "left_semi")
+    anc = marks.union(roots).select(F.col("node").alias("anc")).distinct()
+    near = closure.join(anc, "anc").join(tree.where("is_leaf").select("node"), "node", "left_semi")
     return near.groupBy(F.col("node").alias("leaf")).agg(F.min_by("anc", "hops").alias("cluster"))
 
 
+def diameter_clusters(tree: DataFrame, closure: DataFrame, most: float) -> DataFrame:
+    """(leaf, cluster): subtrees in which no two leaves are farther apart than ``most``, by cutting bottom-up.
+
+    At each node the deepest child is cut while it and the next reach farther together. Of children
+    in order of depth that is each one that exceeds ``most`` with its successor.
+    """
+    depth = closure.groupBy("node").agg(F.max("hops").alias("level"))
+    rest = tree.join(depth, "node").select("node", "parent", F.coalesce("len", F.lit(0.0)).alias("len"), "is_leaf", "level").checkpoint()
+    deepest = rest.agg(F.max("level")).first()[0]
+    marks, below = None, None
+    for level in range(deepest or 0, -1, -1):
+        own = rest.where(F.col("level") == level)
+        reach = own.withColumn("below", F.lit(None).cast("double")) if below is None else own.join(below, own["node"] == below["up"], "left")
+        # an inner node that has lost all children reaches nothing
+        far = reach.select("node", "parent", (F.col("len") + F.when(F.col("is_leaf"), 0.0).otherwise(F.coalesce("below", F.lit(0.0)))).alias("far"))
+        kin = Window.partitionBy("parent").orderBy(F.desc("far"), "node")
+        judged = far.select("node", "parent", "far", F.coalesce(F.col("far") + F.lead("far").over(kin) > most, F.lit(False)).alias("off")).checkpoint()
+        if level:
+            gone = judged.where("off").select("node")
+            marks = gone if marks is None else marks.union(gone)
+            below = judged.where("not off").groupBy(F.col("parent").alias("up")).agg(F.max("far").alias("below"))
+    return _clusters(tree, closure, marks if marks is not None else tree.select("node").where("false"))
+
+
+def subtree_diameters(tree: DataFrame, closure: DataFrame) -> DataFrame:
+    """(node, depth, diameter) of every node with leaves: to its farthest leaf, and between the two
+    farthest leaves of different children."""
+    leaves = tree.where("is_leaf").select("node")
+    reach = closure.join(leaves, "node", "left_semi").groupBy(F.col("anc").alias("node")).agg(F.max("dist").alias("depth"))
+    kids = tree.where("parent is not null").join(reach, "node").select("parent", "node", (F.coalesce("len", F.lit(0.0)) + F.col("depth")).alias("far"))
+    place = F.row_number().over(Window.partitionBy("parent").orderBy(F.desc("far"), "node"))
+    two = kids.withColumn("place", place).where("place <= 2").groupBy(F.col("parent").alias("up")).agg(F.sum("far").alias("diameter"))
+    return reach.join(two, reach["node"] == two["up"], "left").select("node", "depth", F.coalesce("diameter", F.lit(0.0)).alias("diameter"))
+
+
+def degrees(tree: DataFrame) -> DataFrame:
+    """(node, n_children, n_adjacent) of every node."""
+    kids = tree.where("parent is not null").groupBy(F.col("parent").alias("up")).agg(F.count("*").alias("n"))
+    n = F.coalesce("n", F.lit(0)).cast("long")
+    return tree.join(kids, tree["node"] == kids["up"], "left").select("node", n.alias("n_children"), (n + F.when(F.col("parent").isNull(), 0).otherwise(1)).alias("n_adjacent"))
+
+
 def group_distances(closure: DataFrame, groups: DataFrame) -> DataFrame:
     """(a, b, distance) for groups a < b of (leaf, root): mean distance of each group's leaves to its
     root, both added to the path between the roots."""

@@ -81,3 +81,34 @@ def test_label_mismatch(spark):
     tree = spark.createDataFrame([("a",), ("b",), ("d",)], "label string")
     taxa = spark.createDataFrame([("a",), ("b",), ("c",)], "taxon string")
     assert sorted(map(tuple, T.label_mismatch(tree, taxa).collect())) == [("c", "missing"), ("d", "extra")]
+
+
+@pytest.mark.parametrize("seed,most", [(4, 12.0), (6, 7.0)])
+def test_diameter_clusters(spark, seed, most):
+    rows, kids = grown(seed)
+    tree = frame(spark, rows)
+    length = {n: ln or 0.0 for n, _, ln, _ in rows}
+    parent = {n: p for n, p, _, _ in rows}
+    off = set()
+
+    def far(n):
+        own = sorted(((far(k), k) for k in kids[n]), key=lambda x: (-x[0], x[1]))
+        while len(own) > 1 and own[0][0] + own[1][0] > most:
+            off.add(own.pop(0)[1])
+        return length[n] + (own[0][0] if own else 0.0)
+
+    far(0)
+
+    def cluster(n):
+        return n if n in off or n == 0 else cluster(parent[n])
+
+    closure = T.ancestors(tree)
+    assert {r["leaf"]: r["cluster"] for r in T.diameter_clusters(tree, closure, most).collect()} == {n: cluster(n) for n in kids if not kids[n]}
+    up = {n: [] for n in kids}
+    for n in kids:
+        at, dist = n, 0.0
+        while at is not None:
+            up[n].append((at, dist))
+            dist, at = dist + length[at], parent[at]
+    apart = max(d1 + d2 for a, b in itertools.combinations([n for n in kids if not kids[n]], 2) for x, d1 in up[a] for y, d2 in up[b] if x == y and not any(p == q for p, _ in up[a][: up[a].index((x, d1))] for q, _ in up[b][: up[b].index((y, d2))]))
+    assert max(r["diameter"] for r in T.subtree_diameters(tree, closure).collect()) == apart
