@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strandweave.functions.residues import GAP
 from strandweave.operators.columns import cells, rebuild, width
+from strandweave.operators.lineage import cut
 
 
 def insertion_columns(aln: DataFrame, shared: DataFrame) -> DataFrame:
@@ -56,7 +57,7 @@ def merge_all(parts: list[DataFrame]) -> DataFrame:
     """Folds alignments in the given order, cutting the plan after every fourth."""
     def step(acc: tuple[int, DataFrame], part: DataFrame) -> tuple[int, DataFrame]:
         k, merged = acc[0] + 1, transitivity_merge(acc[1], part)
-        return k, merged.checkpoint() if k % 4 == 0 else merged
+        return k, cut(merged) if k % 4 == 0 else merged
 
     return reduce(step, parts[1:], (0, parts[0]))[1]
 

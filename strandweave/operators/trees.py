@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandweave.operators.lineage import cut
+
 
 def ancestors(tree: DataFrame) -> DataFrame:
     """(node, anc, dist, hops) of every node and each of its ancestors, itself included.
@@ -18,9 +20,9 @@ def ancestors(tree: DataFrame) -> DataFrame:
     found = tree.select("node", F.col("node").alias("anc"), F.lit(0.0).alias("dist"), F.lit(0).alias("hops"))
     while not jump.isEmpty():
         further = found.alias("a").join(jump.alias("b"), F.col("a.anc") == F.col("b.node"))
-        found = found.union(further.select("a.node", "b.anc", (F.col("a.dist") + F.col("b.dist")).alias("dist"), (F.col("a.hops") + F.col("b.hops")).alias("hops"))).checkpoint()
+        found = cut(found.union(further.select("a.node", "b.anc", (F.col("a.dist") + F.col("b.dist")).alias("dist"), (F.col("a.hops") + F.col("b.hops")).alias("hops"))))
         twice = jump.alias("a").join(jump.alias("b"), F.col("a.anc") == F.col("b.node"))
-        jump = twice.select("a.node", "b.anc", (F.col("a.dist") + F.col("b.dist")).alias("dist"), (F.col("a.hops") + F.col("b.hops")).alias("hops")).checkpoint()
+        jump = cut(twice.select("a.node", "b.anc", (F.col("a.dist") + F.col("b.dist")).alias("dist"), (F.col("a.hops") + F.col("b.hops")).alias("hops")))
     return found
 
 
@@ -65,7 +67,7 @@ def min_clusters(tree: DataFrame, closure: DataFrame, most: int) -> DataFrame:
     are worked from the deepest up, all nodes of a level at once; a cluster is named by its root.
     """
     depth = closure.groupBy("node").agg(F.max("hops").alias("depth"))
-    rest = tree.join(depth, "node").select("node", "parent", "depth", "is_leaf").checkpoint()
+    rest = cut(tree.join(depth, "node").select("node", "parent", "depth", "is_leaf"))
     deepest = rest.agg(F.max("depth")).first()[0]
     if deepest is None:
         return tree.select(F.col("node").alias("leaf"), F.col("node").alias("cluster")).where("false")
@@ -77,7 +79,7 @@ def min_clusters(tree: DataFrame, closure: DataFrame, most: int) -> DataFrame:
         sized = sums.select("node", "parent", F.when(F.col("is_leaf"), F.lit(1).cast("long")).otherwise(F.coalesce("below", F.lit(0))).alias("n"))
         kin = Window.partitionBy("parent")
         before = kin.orderBy(F.desc("n"), "node").rowsBetween(Window.unboundedPreceding, -1)
-        judged = sized.select("node", "parent", "n", (F.sum("n").over(kin) - F.coalesce(F.sum("n").over(before), F.lit(0)) > most).alias("off")).checkpoint()
+        judged = cut(sized.select("node", "parent", "n", (F.sum("n").over(kin) - F.coalesce(F.sum("n").over(before), F.lit(0)) > most).alias("off")))
         if level:
             gone = judged.where("off").select("node")
             detached = gone if detached is None else detached.union(gone)
@@ -100,7 +102,7 @@ def diameter_clusters(tree: DataFrame, closure: DataFrame, most: float) -> DataF
     in order of depth that is each one that exceeds ``most`` with its successor.
     """
     depth = closure.groupBy("node").agg(F.max("hops").alias("level"))
-    rest = tree.join(depth, "node").select("node", "parent", F.coalesce("len", F.lit(0.0)).alias("len"), "is_leaf", "level").checkpoint()
+    rest = cut(tree.join(depth, "node").select("node", "parent", F.coalesce("len", F.lit(0.0)).alias("len"), "is_leaf", "level"))
     deepest = rest.agg(F.max("level")).first()[0]
     marks, below = None, None
     for level in range(deepest or 0, -1, -1):
@@ -109,7 +111,7 @@ def diameter_clusters(tree: DataFrame, closure: DataFrame, most: float) -> DataF
         # an inner node that has lost all children reaches nothing
         far = reach.select("node", "parent", (F.col("len") + F.when(F.col("is_leaf"), 0.0).otherwise(F.coalesce("below", F.lit(0.0)))).alias("far"))
         kin = Window.partitionBy("parent").orderBy(F.desc("far"), "node")
-        judged = far.select("node", "parent", "far", F.coalesce(F.col("far") + F.lead("far").over(kin) > most, F.lit(False)).alias("off")).checkpoint()
+        judged = cut(far.select("node", "parent", "far", F.coalesce(F.col("far") + F.lead("far").over(kin) > most, F.lit(False)).alias("off")))
         if level:
             gone = judged.where("off").select("node")
             marks = gone if marks is None else marks.union(gone)
@@ -151,29 +153,29 @@ def spanning_tree(edges: DataFrame) -> DataFrame:
 
     Ties go to the smaller (a, b), so the tree is that of sorting all edges.
     """
-    edges = edges.select("a", "b", "distance").checkpoint()
-    label = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("label", F.col("node")).checkpoint()
+    edges = cut(edges.select("a", "b", "distance"))
+    label = cut(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("label", F.col("node")))
     chosen = None
     while True:
         la, lb = label.select(F.col("node").alias("a"), F.col("label").alias("la")), label.select(F.col("node").alias("b"), F.col("label").alias("lb"))
         between = edges.join(la, "a").join(lb, "b").where("la <> lb")
         edge = F.struct("distance", "a", "b", "la", "lb")
-        best = between.select(F.col("la").alias("label"), edge.alias("e")).union(between.select("lb", edge)).groupBy("label").agg(F.min("e").alias("e")).select("label", "e.*").checkpoint()
+        best = cut(between.select(F.col("la").alias("label"), edge.alias("e")).union(between.select("lb", edge)).groupBy("label").agg(F.min("e").alias("e")).select("label", "e.*"))
         if best.isEmpty():
             break
         picked = best.select("a", "b", "distance").distinct()
         chosen = picked if chosen is None else chosen.union(picked)
-        label = _joined_labels(label, best).checkpoint()
+        label = cut(_joined_labels(label, best))
     return edges.where("false") if chosen is None else chosen
 
 
 def _joined_labels(label: DataFrame, best: DataFrame) -> DataFrame:
     """Labels after the components of each chosen edge are one: the smallest label reachable."""
-    links = best.select(F.col("la").alias("u"), F.col("lb").alias("v")).union(best.select("lb", "la")).distinct().checkpoint()
-    least = links.select("u").distinct().withColumn("m", F.col("u")).checkpoint()
+    links = cut(best.select(F.col("la").alias("u"), F.col("lb").alias("v")).union(best.select("lb", "la")).distinct())
+    least = cut(links.select("u").distinct().withColumn("m", F.col("u")))
     while True:
         told = links.join(least.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("m").alias("near"))
-        new = least.join(told, "u").select("u", F.least("m", "near").alias("m"), (F.col("near") < F.col("m")).alias("moved")).checkpoint()
+        new = cut(least.join(told, "u").select("u", F.least("m", "near").alias("m"), (F.col("near") < F.col("m")).alias("moved")))
         if not new.where("moved").head(1):
             break
         least = new.drop("moved")
