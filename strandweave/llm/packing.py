@@ -9,6 +9,7 @@ Pieces get their slot by their rank among the pieces of their length.
 from __future__ import annotations
 
 import heapq
+import struct
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -21,9 +22,21 @@ from pyspark.sql import functions as F
 from .common import cut, salted_rank
 
 SIZE, END = 2048, 1
-#: Distinct words whose ids a worker keeps; beyond it starts anew.
-MOST_WORDS = 1_000_000
+#: Distinct words whose ids a worker keeps: the first ones, so most of the frequent ones.
+MOST_WORDS = 800_000
 _SPECIAL = "<|"
+#: Latin letters below this are composed already and have one lower case each, but for one of them.
+_PLAIN_END, _DOTTED = "\u0180", "\u0130"
+
+
+def _byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte in a byte-level vocabulary: visible ones for themselves, the others from U+0100 on."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in visible]
+    return {b: 256 + k for k, b in enumerate(others)}
+
+
+_BYTE_LETTERS = _byte_letters()
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -43,63 +56,70 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.clear()
-
-    def clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.start, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.pool, self.used = np.zeros(1 << 18, np.uint32), 0
-
-    def _add(self, words: list[str]) -> None:
-        ids = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        at, n, total = len(self.index), len(ids), int(lengths.sum())
-        while at + n > len(self.start):
-            self.start, self.length = np.resize(self.start, 2 * len(self.start)), np.resize(self.length, 2 * len(self.length))
-        while self.used + total > len(self.pool):
-            self.pool = np.resize(self.pool, 2 * len(self.pool))
-        self.start[at : at + n] = self.used + np.cumsum(lengths) - lengths
-        self.length[at : at + n] = lengths
-        self.pool[self.used : self.used + total] = np.fromiter((i for x in ids for i in x), np.uint32, total)
-        self.used += total
-        self.index.update(zip(words, range(at, at + n), strict=True))
-
-    def __call__(self, text: str) -> np.ndarray:
+        # a word of plain letters is one token of the pre-tokenizer, and "," or "." behind it another
+        self.model = self.tokenizer.model
+        self.ends = {c: self.tokenizer.encode(c, add_special_tokens=False).ids for c in ",."}
+        self.known: dict[str, bytes] = {"": b""}
+
+    def _encode(self, words: list[str]) -> list[bytes]:
+        out: list = [None] * len(words)
+        for k, word in enumerate(words):
+            stem, end = (word[:-1], word[-1]) if word[-1] in ",." else (word, "")
+            if stem.isalpha() and max(stem) < _PLAIN_END and _DOTTED not in stem:
+                ids = [t.id for t in self.model.tokenize(stem.lower().encode().decode("latin-1").translate(_BYTE_LETTERS))]
+                out[k] = _packed(ids + self.ends[end] if end else ids)
+        rest = [k for k, ids in enumerate(out) if ids is None]
+        for k, found in zip(rest, self.tokenizer.encode_batch_fast([words[k] for k in rest], add_special_tokens=False), strict=True):
+            out[k] = _packed(found.ids)
+        return out
+
+    def __call__(self, text: str) -> bytes:
+        """The text's ids, four bytes each, the lowest first."""
         if _SPECIAL in text:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+            return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
         words = text.replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" ")
-        new = {w for w in words if w and w not in self.index}
-        if len(self.index) + len(new) > MOST_WORDS:
-            self.clear()
-            new = {w for w in words if w}
-        if new:
-            self._add(list(new))
-        at = np.fromiter((self.index[w] for w in words if w), np.int64)
-        lengths = self.length[at]
-        first = np.cumsum(lengths) - lengths
-        return self.pool[np.repeat(self.start[at] - first, lengths) + np.arange(int(lengths.sum()))]
+        parts = list(map(self.known.get, words))
+        if None in parts:
+            new = list(dict.fromkeys(w for w, ids in zip(words, parts, strict=True) if ids is None))
+            found = dict(zip(new, self._encode(new), strict=True))
+            if len(self.known) + len(found) <= MOST_WORDS:
+                self.known.update(found)
+            parts = [found[w] if ids is None else ids for w, ids in zip(words, parts, strict=True)]
+        return b"".join(parts)
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 _kept: dict[str, WordIds] = {}
 
 
+def _encoder(path: str) -> WordIds:
+    """The worker's own encoder; tasks of one worker share it."""
+    if path not in _kept:
+        _kept[path] = WordIds(path)
+    return _kept[path]
+
+
 def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, size: int = SIZE) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens): full sequences and one rest of each text with its end id."""
     path = path or tokenizer_path()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _kept.get(path) or _kept.setdefault(path, WordIds(path))
+        encode = _encoder(path)
         for batch in batches:
             row, start, length, crc, total = [], [], [], [], []
             for k, value in enumerate(batch.column(1)):
-                ids = np.append(encode(value.as_py() or ""), np.uint32(END)).astype("<u4")
-                for at in range(0, len(ids), size):
-                    piece = ids[at : at + size]
+                ids = encode(value.as_py() or "") + _packed([END])
+                n = len(ids) // 4
+                for at in range(0, n, size):
+                    piece = ids[4 * at : 4 * (at + size)]
                     row.append(k)
                     start.append(at)
-                    length.append(len(piece))
-                    crc.append(zlib.crc32(piece.tobytes()))
-                    total.append(len(ids))
+                    length.append(len(piece) // 4)
+                    crc.append(zlib.crc32(piece))
+                    total.append(n)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
