@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .common import cut, settled, small
+from .common import settled, small
 
 WIDTH, NUMERATOR, DENOMINATOR = 5, 75, 100
 SIGNATURES, HUB_SIGNATURES, HUBS, HUB_ROUNDS = 20, 6, 4, 2
