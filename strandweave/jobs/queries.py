@@ -547,3 +547,16 @@ SELECT a.node AS leaf, arg_min(a.anc, a.hops) AS cluster FROM anc a JOIN marks m
 def diameter_clusters(spark: SparkSession, d: str) -> DataFrame:
     tree = V.tree(spark, d)
     return T.diameter_clusters(tree, T.ancestors(tree), _FAR)
+
+
+@query(
+    f"""{TREE}, kids AS (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY node) - 1 AS r, count(*) OVER (PARTITION BY parent) AS k FROM tree WHERE parent IS NOT NULL),
+wide AS (SELECT DISTINCT parent, CASE WHEN parent = 0 THEN 1 ELSE 0 END AS spared, k - CASE WHEN parent = 0 THEN 1 ELSE 0 END AS n FROM kids WHERE k > CASE WHEN parent = 0 THEN 3 ELSE 2 END),
+based AS (SELECT *, (SELECT max(node) FROM tree) + 1 + coalesce(sum(n - 2) OVER (ORDER BY parent ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM wide),
+made AS (SELECT b.*, i.i FROM based b, range(2, 20000) i(i) WHERE i.i < b.n)
+SELECT node, parent, len, is_leaf FROM tree WHERE parent IS NULL
+UNION ALL SELECT k.node, CAST(CASE WHEN b.n IS NULL OR k.r < b.spared THEN k.parent WHEN (b.n + k.r - b.spared) // 2 = 1 THEN k.parent ELSE b.base + (b.n + k.r - b.spared) // 2 - 2 END AS INT), k.len, k.is_leaf FROM kids k LEFT JOIN based b ON b.parent = k.parent
+UNION ALL SELECT CAST(base + i - 2 AS INT), CAST(CASE WHEN i // 2 = 1 THEN parent ELSE base + i // 2 - 2 END AS INT), 0.0, false FROM made"""
+)
+def resolved_polytomies(spark: SparkSession, d: str) -> DataFrame:
+    return T.resolve_polytomies(V.tree(spark, d))

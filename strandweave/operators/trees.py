@@ -187,3 +187,32 @@ def label_mismatch(tree_labels: DataFrame, taxa: DataFrame) -> DataFrame:
     extra = tree_labels.select("label").distinct().join(taxa.select(F.col("taxon").alias("label")), "label", "left_anti")
     missing = taxa.select(F.col("taxon").alias("label")).distinct().join(tree_labels, "label", "left_anti")
     return extra.select("label", F.lit("extra").alias("side")).union(missing.select("label", F.lit("missing").alias("side")))
+
+
+def resolve_polytomies(tree: DataFrame) -> DataFrame:
+    """(node, parent, len, is_leaf) with at most two children per node, three at the root.
+
+    Surplus children are attached below new nodes of length 0, as evenly as a heap: of n children,
+    number i hangs under number i // 2, so depth grows with the logarithm of n. New numbers follow
+    the largest old one; the same tree is resolved alike each time.
+    """
+    own = Window.partitionBy("parent")
+    kids = tree.where("parent is not null").select("node", "parent", "len", "is_leaf", (F.row_number().over(own.orderBy("node")) - 1).alias("r"), F.count("*").over(own).alias("k"))
+    root = tree.where("parent is null").select(F.col("node").alias("root"))
+    top = F.max(F.col("node")).alias("top")
+    sizes = kids.select("parent", "k").distinct().join(F.broadcast(root), F.col("parent") == F.col("root"), "left")
+    spared = F.when(F.col("root").isNotNull(), 1).otherwise(0)
+    wide = sizes.where(F.col("k") > 2 + spared).select("parent", spared.alias("spared"), (F.col("k") - spared).alias("n"))
+    before = Window.orderBy("parent").rowsBetween(Window.unboundedPreceding, -1)
+    based = wide.crossJoin(F.broadcast(tree.agg(top))).select("parent", "spared", "n", (F.col("top") + 1 + F.coalesce(F.sum(F.col("n") - 2).over(before), F.lit(0))).alias("base"))
+
+    def above(i):  # the node that number i hangs under
+        up = F.floor(i / 2)
+        return F.when(up == 1, F.col("parent")).otherwise(F.col("base") + up - 2).cast("int")
+
+    moved = kids.join(based, "parent", "left")
+    parent = F.when(F.col("n").isNull() | (F.col("r") < F.col("spared")), F.col("parent")).otherwise(above(F.col("n") + F.col("r") - F.col("spared")))
+    old = moved.select("node", parent.alias("parent"), "len", "is_leaf")
+    made = based.where("n > 2").select("parent", "base", F.explode(F.sequence(F.lit(2).cast("long"), F.col("n") - 1)).alias("i"))
+    new = made.select((F.col("base") + F.col("i") - 2).cast("int").alias("node"), above(F.col("i")).alias("parent"), F.lit(0.0).alias("len"), F.lit(False).alias("is_leaf"))
+    return tree.where("parent is null").select("node", "parent", "len", "is_leaf").union(old).union(new)

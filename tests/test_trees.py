@@ -112,3 +112,18 @@ def test_diameter_clusters(spark, seed, most):
             dist, at = dist + length[at], parent[at]
     apart = max(d1 + d2 for a, b in itertools.combinations([n for n in kids if not kids[n]], 2) for x, d1 in up[a] for y, d2 in up[b] if x == y and not any(p == q for p, _ in up[a][: up[a].index((x, d1))] for q, _ in up[b][: up[b].index((y, d2))]))
     assert max(r["diameter"] for r in T.subtree_diameters(tree, closure).collect()) == apart
+
+
+def test_polytomies(spark):
+    rows = [(0, None, None, False), *[(k, 0, 1.0, k != 1) for k in range(1, 6)], *[(k, 1, 2.0, True) for k in range(10, 17)]]
+    got = {r["node"]: (r["parent"], r["len"], r["is_leaf"]) for r in T.resolve_polytomies(frame(spark, rows)).collect()}
+    kids = {}
+    for n, (p, _, _) in got.items():
+        kids.setdefault(p, []).append(n)
+    assert len(kids[0]) == 3 and all(len(v) == 2 for p, v in kids.items() if p not in (None, 0))
+    assert {n for n, (_, _, leaf) in got.items() if leaf} == {n for n, _, _, leaf in rows if leaf}
+
+    def down(n):
+        return {n} if got[n][2] else set().union(*(down(k) for k in kids[n]))
+
+    assert down(1) == set(range(10, 17)) and sum(ln == 0.0 for _, ln, _ in got.values()) == len(got) - len(rows)
