@@ -23,7 +23,7 @@ from .common import cut, salted_rank
 
 SIZE, END = 2048, 1
 #: Distinct words whose ids a worker keeps: the first ones, so most of the frequent ones.
-MOST_WORDS = 800_000
+MOST_WORDS = 500_000
 _SPECIAL = "<|"
 #: Latin letters below this are composed already and have one lower case each, but for one of them.
 _PLAIN_END, _DOTTED = "\u0180", "\u0130"
