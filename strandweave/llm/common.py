@@ -12,6 +12,17 @@ from pyspark.sql import types as T
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows of an Arrow batch: texts are thousands of bytes each, and a worker holds a few batches at once.
+BATCH_ROWS = 2_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches, so that memory follows the size of rows and not their number."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names; one is set only where the session names none."""
     sc = spark.sparkContext
@@ -23,6 +34,7 @@ def shared_folder(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
+    small_batches(df.sparkSession)
     return df.checkpoint()
 
 
@@ -68,6 +80,7 @@ def crc_fold(doc_id: Column, folds: int) -> Column:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

@@ -41,6 +41,8 @@ EVIDENCE, FALLBACK = 25.0, 8
 #: A landmark also needs this share of the strongest tie; less is what copies of one document make.
 LEAST_SHARE = 0.08
 MOST_SEEN = 1_500_000
+#: Larger chunks than elsewhere: each one is held against all words seen before.
+CHUNK_BYTES = 1 << 21
 
 _OFFSETS = [(a, b, DECAY ** (b - 2)) for b in range(2, SPAN) for a in range(1, b)]
 
@@ -58,7 +60,7 @@ _KIND = _table()
 
 def _words(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, starts, ends, borders) of the words, punctuation left out."""
-    for lo, hi, data, offsets in T.chunks(column):
+    for lo, hi, data, offsets in T.chunks(column, CHUNK_BYTES):
         kind = _KIND[data]
         kept = kind > 0
         moved = np.concatenate([[0], np.cumsum(kept)])[offsets]
