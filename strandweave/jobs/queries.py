@@ -44,6 +44,34 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def _whole(f: Query) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        with V.whole_texts():
+            return f(spark, d)
+
+    run.__doc__ = f"``{f.__name__}`` on the rows of whole texts."
+    return run
+
+
+#: Parts of the SQL that are others on rows of whole texts: those that name documents, and the rebuilt
+#: rows, which stay as empty ones where the mask leaves no column.
+_OTHER = (
+    ("SELECT s.taxon, string_agg(s.ch, '' ORDER BY s.col) AS seq FROM spread s JOIN kept USING (col)", "SELECT s.taxon, coalesce(string_agg(s.ch, '' ORDER BY s.col) FILTER (kept.col IS NOT NULL), '') AS seq FROM spread s LEFT JOIN kept USING (col)"),
+    ("taxon IN (SELECT doc_id FROM labels)", f"taxon // {V.BLOCKS} IN (SELECT doc_id FROM labels)"),
+    ("taxon NOT IN (SELECT doc_id FROM labels)", f"taxon // {V.BLOCKS} NOT IN (SELECT doc_id FROM labels)"),
+    ("SELECT doc_id, source || '/' || lang || '/' || doc_id AS name FROM documents", "SELECT taxon AS doc_id, source || '/' || lang || '/' || taxon AS name FROM aligned"),
+)
+
+
+def _register_whole() -> None:
+    """``whole_`` and the name of each query on the aligned rows: the same operator on whole texts."""
+    for name, sql in list(_SQL.items()):
+        if V.ALIGNED_SQL in sql:
+            for old, new in ((V.ALIGNED_SQL, V.WHOLE_SQL), *_OTHER):
+                sql = sql.replace(old, new)
+            _QUERIES[f"whole_{name}"], _SQL[f"whole_{name}"] = _whole(_QUERIES[name]), sql
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
@@ -117,12 +145,12 @@ def degap(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{A} SELECT taxon, seq FROM aligned WHERE taxon IN (SELECT doc_id FROM labels)")
 def sub_alignment(spark: SparkSession, d: str) -> DataFrame:
-    return W.keep_taxa(V.aligned(spark, d), V.table(spark, d, "labels").select(F.col("doc_id").alias("taxon")))
+    return W.keep_taxa(V.aligned(spark, d), V.labelled(spark, d))
 
 
 @query(f"{A} SELECT taxon, seq FROM aligned WHERE taxon NOT IN (SELECT doc_id FROM labels)")
 def exclude_taxa(spark: SparkSession, d: str) -> DataFrame:
-    return W.drop_taxa(V.aligned(spark, d), V.table(spark, d, "labels").select(F.col("doc_id").alias("taxon")))
+    return W.drop_taxa(V.aligned(spark, d), V.labelled(spark, d))
 
 
 @query(f"{A} SELECT taxon, seq FROM aligned WHERE {N_RES} >= 45")
@@ -143,13 +171,13 @@ def filter_fragments_median(spark: SparkSession, d: str) -> DataFrame:
 @query(f"{COUNTS}, {_masked('n > 150 - 1')}, named AS (SELECT doc_id, source || '/' || lang || '/' || doc_id AS name FROM documents) SELECT name AS taxon, seq FROM masked JOIN named ON doc_id = taxon WHERE {N_RES} >= 0.9 * (SELECT median({N_RES}) FROM masked)")
 def seqtools(spark: SparkSession, d: str) -> DataFrame:
     """Mask, then filter fragments, then rename: the order is fixed."""
-    names = V.table(spark, d, "documents").select(F.col("doc_id").alias("taxon"), F.concat_ws("/", "source", "lang", "doc_id").alias("name"))
+    names = V.aligned(spark, d, "source", "lang").select("taxon", F.concat_ws("/", "source", "lang", "taxon").alias("name"))
     return W.rename(W.filter_fragments(C.mask_sites(V.aligned(spark, d), 150), of_median=0.9), names)
 
 
 @query(f"{A} SELECT source || '/' || taxon AS taxon, seq FROM aligned")
 def rename_taxa(spark: SparkSession, d: str) -> DataFrame:
-    names = V.table(spark, d, "documents").select(F.col("doc_id").alias("taxon"), F.concat_ws("/", "source", "doc_id").alias("name"))
+    names = V.aligned(spark, d, "source").select("taxon", F.concat_ws("/", "source", "taxon").alias("name"))
     return W.rename(V.aligned(spark, d), names)
 
 
@@ -252,8 +280,8 @@ def p_distance(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def distance_matrix(spark: SparkSession, d: str) -> DataFrame:
-    """The consensus rows of the sources against each other."""
-    return W.distances(W.consensus(V.aligned(spark, d, F.col("source").alias("locus"))))
+    """The consensus rows of the sources' whole texts against each other."""
+    return W.distances(W.consensus(V.blocks(spark, d, F.col("source").alias("locus"))))
 
 
 # merges and loci
@@ -464,10 +492,9 @@ def taxon_ranks(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def align_to_consensus(spark: SparkSession, d: str) -> DataFrame:
-    """Every ragged sequence against the consensus of the aligned rows; DNA of the same first letters."""
-    aln = V.aligned(spark, d)
-    consensus = W.consensus(aln.withColumn("locus", F.lit(0))).first()["seq"]
-    return P.align_to(W.unaligned(aln), consensus)
+    """Every whole ragged sequence against the consensus of the rows of whole texts."""
+    consensus = W.consensus(V.blocks(spark, d).withColumn("locus", F.lit(0))).first()["seq"]
+    return P.align_to(W.unaligned(V.unaligned(spark, d)), consensus)
 
 
 @query(f"{TREE}, edges AS (SELECT node, len, quantile_cont(len, 0.25) OVER (PARTITION BY parent) AS q1, quantile_cont(len, 0.75) OVER (PARTITION BY parent) AS q3 FROM tree WHERE is_leaf) SELECT node AS leaf, len FROM edges WHERE len > q3 + 0.5 * (q3 - q1)")
@@ -560,3 +587,6 @@ UNION ALL SELECT CAST(base + i - 2 AS INT), CAST(CASE WHEN i // 2 = 1 THEN paren
 )
 def resolved_polytomies(spark: SparkSession, d: str) -> DataFrame:
     return T.resolve_polytomies(V.tree(spark, d))
+
+
+_register_whole()
