@@ -207,8 +207,14 @@ def missing_policy(spark: SparkSession, d: str) -> DataFrame:
     return V.table(spark, d, "documents").select(F.col("doc_id").alias("taxon"), R.missing_policy(seq, "absent", "DNA").alias("absent"), R.missing_policy(seq, "ambiguous", "DNA").alias("ambiguous"))
 
 
-def _full(letters: str) -> str:
-    return f"regexp_full_match(left(text, 3), '[{letters}{letters.lower().strip('-')}]*')"
+@query("SELECT doc_id AS taxon, replace(text, '?', '') AS absent, replace(text, '?', 'N') AS ambiguous FROM documents")
+def whole_missing_policy(spark: SparkSession, d: str) -> DataFrame:
+    seq = F.col("text")
+    return V.table(spark, d, "documents").select(F.col("doc_id").alias("taxon"), R.missing_policy(seq, "absent", "DNA").alias("absent"), R.missing_policy(seq, "ambiguous", "DNA").alias("ambiguous"))
+
+
+def _full(letters: str, seq: str = "left(text, 3)") -> str:
+    return f"regexp_full_match({seq}, '[{letters}{letters.lower().strip('-')}]*')"
 
 
 @query(f"SELECT doc_id AS taxon, NOT regexp_matches(left(text, 40), '[^a-zA-Z?-]') AS legal, {_full('-ACTGN?RYMKSWHBVD')} AS dna, {_full('-ACUGN?RYMKSWHBVD')} AS rna, {_full('-ABCDEFGHIKLMNPQRSTVWXYZ?U')} AS protein FROM documents")
@@ -217,6 +223,17 @@ def alphabet_checks(spark: SparkSession, d: str) -> DataFrame:
     return V.table(spark, d, "documents").select(F.col("doc_id").alias("taxon"), R.is_legal(F.substring("text", 1, 40)).alias("legal"), *[R.in_alphabet(few, t).alias(t.lower()) for t in R.ALPHABETS])
 
 
+_BOTH = "SELECT doc_id AS taxon, 'text' AS kind, text AS seq FROM documents UNION ALL SELECT taxon, 'unaligned', seq FROM unaligned"
+
+
+@query(f"{U} SELECT taxon, kind, NOT regexp_matches(seq, '[^a-zA-Z?-]') AS legal, {_full('-ACTGN?RYMKSWHBVD', 'seq')} AS dna, {_full('-ACUGN?RYMKSWHBVD', 'seq')} AS rna, {_full('-ABCDEFGHIKLMNPQRSTVWXYZ?U', 'seq')} AS protein FROM ({_BOTH})")
+def whole_alphabet_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Whole texts, and their ragged sequences, which can pass."""
+    texts = V.table(spark, d, "documents").select(F.col("doc_id").alias("taxon"), F.lit("text").alias("kind"), F.col("text").alias("seq"))
+    both = texts.union(V.unaligned(spark, d).select("taxon", F.lit("unaligned"), "seq"))
+    return both.select("taxon", "kind", R.is_legal(F.col("seq")).alias("legal"), *[R.in_alphabet(F.col("seq"), t).alias(t.lower()) for t in R.ALPHABETS])
+
+
 @query("SELECT text AS taxon, count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1")
 def duplicate_names(spark: SparkSession, d: str) -> DataFrame:
     return W.duplicate_names(V.table(spark, d, "documents").select(F.col("text").alias("taxon")))

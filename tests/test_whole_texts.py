@@ -45,3 +45,14 @@ def test_against_sql(spark, folder, name):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet/*.parquet'")
     df = Q.queries()[f"whole_{name}"](spark, folder)
     assert sorted(map(tuple, df.collect())) == sorted(con.execute(f"SELECT {', '.join(df.columns)} FROM ({Q.oracle_sql()[f'whole_{name}']})").fetchall())
+
+
+def test_late_symbols_are_seen(spark, tmp_path):
+    late = "acgt" * 100
+    rows = [(1, late + "?", "en", "a", 401), (2, late + "!", "en", "a", 401), (3, late, "en", "a", 400), (4, late + "e", "en", "a", 401)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["taxon"]: (r["absent"], r["ambiguous"]) for r in Q.queries()["whole_missing_policy"](spark, str(tmp_path)).collect()}
+    assert got == {1: (late, late + "N"), **{k: (t, t) for k, t, *_ in rows[1:]}}
+    checks = {(r["taxon"], r["kind"]): (r["legal"], r["dna"], r["rna"], r["protein"]) for r in Q.queries()["whole_alphabet_checks"](spark, str(tmp_path)).collect()}
+    assert [checks[k, "text"] for k in (1, 2, 3, 4)] == [(True, True, False, True), (False,) * 4, (True, True, False, True), (True, False, False, True)]
+    assert {checks[k, "unaligned"] for k in (1, 2, 3, 4)} == {(True, True, False, True)}
