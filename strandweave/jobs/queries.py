@@ -53,9 +53,10 @@ def _whole(f: Query) -> Query:
     return run
 
 
-#: Parts of the SQL that are others on rows of whole texts: those that name documents, and the rebuilt
-#: rows, which stay as empty ones where the mask leaves no column.
+#: Parts of the SQL that are others on rows of whole texts: those that name documents or fold them onto
+#: 50 taxa, and the rebuilt rows, which stay as empty ones where the mask leaves no column.
 _OTHER = (
+    ("SELECT lang AS locus, taxon % 50 AS taxon, max(seq) AS seq FROM aligned GROUP BY lang, taxon % 50", "SELECT lang AS locus, row_number() OVER (PARTITION BY lang ORDER BY taxon) - 1 AS taxon, seq FROM aligned"),
     ("SELECT s.taxon, string_agg(s.ch, '' ORDER BY s.col) AS seq FROM spread s JOIN kept USING (col)", "SELECT s.taxon, coalesce(string_agg(s.ch, '' ORDER BY s.col) FILTER (kept.col IS NOT NULL), '') AS seq FROM spread s LEFT JOIN kept USING (col)"),
     ("taxon IN (SELECT doc_id FROM labels)", f"taxon // {V.BLOCKS} IN (SELECT doc_id FROM labels)"),
     ("taxon NOT IN (SELECT doc_id FROM labels)", f"taxon // {V.BLOCKS} NOT IN (SELECT doc_id FROM labels)"),
@@ -344,6 +345,9 @@ _LOCI = f"{A}, loci AS (SELECT lang AS locus, taxon % 50 AS taxon, max(seq) AS s
 
 
 def _loci(spark: SparkSession, d: str) -> DataFrame:
+    if V.are_whole():  # every row is one of its locus, by its rank there
+        ranked = global_rank(V.aligned(spark, d, F.col("lang").alias("locus")), "taxon", within="locus")
+        return ranked.select("locus", F.col("rank").alias("taxon"), "seq")
     return V.aligned(spark, d, "lang").groupBy(F.col("lang").alias("locus"), (F.col("taxon") % 50).alias("taxon")).agg(F.max("seq").alias("seq"))
 
 

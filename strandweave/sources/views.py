@@ -37,6 +37,10 @@ def whole_texts() -> Iterator[None]:
         _whole.reset(token)
 
 
+def are_whole() -> bool:
+    return _whole.get()
+
+
 def blocks(spark: SparkSession, sf_dir: str, *also: str) -> DataFrame:
     """(taxon, seq, ...): each whole text as consecutive rows of 60 columns, the last one padded."""
     letters = F.upper(F.regexp_replace("text", "[^ A-Za-z]", ""))

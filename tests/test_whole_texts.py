@@ -3,6 +3,7 @@
 import pytest
 
 from strandweave.jobs import queries as Q
+from strandweave.operators.ranks import global_rank
 from strandweave.sources import views as V
 
 TEXTS = {3: "the quick brown fox " * 40, 4: "x", 5: "", 6: "12 34", 7: "a" * 60, 8: "a" * 60 + "t", 9: "ACGT and, late: tagged " * 30}
@@ -56,3 +57,16 @@ def test_late_symbols_are_seen(spark, tmp_path):
     checks = {(r["taxon"], r["kind"]): (r["legal"], r["dna"], r["rna"], r["protein"]) for r in Q.queries()["whole_alphabet_checks"](spark, str(tmp_path)).collect()}
     assert [checks[k, "text"] for k in (1, 2, 3, 4)] == [(True, True, False, True), (False,) * 4, (True, True, False, True), (True, False, False, True)]
     assert {checks[k, "unaligned"] for k in (1, 2, 3, 4)} == {(True, True, False, True)}
+
+
+def test_every_row_is_in_the_concatenation(spark, folder):
+    turn = str.maketrans(V.LETTERS, V.RESIDUES)
+    want = sum(len(letters(t).translate(turn).replace("-", "")) for t in TEXTS.values())
+    rows = Q.queries()["whole_concat_loci"](spark, folder).collect()
+    assert sum(len(r["seq"].replace("-", "")) for r in rows) == want and {len(r["seq"]) for r in rows} == {2 * V.COLUMNS}
+
+
+def test_ranks_within_groups(spark):
+    rows = [(k, None if k % 5 == 0 else "ab"[k % 2]) for k in range(60)]
+    got = {r["k"]: r["rank"] for r in global_rank(spark.createDataFrame(rows, "k long, g string"), "k", 7, within="g").collect()}
+    assert got == {k: sum(h == g for j, h in rows if j < k) for k, g in rows}
