@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from . import text as T
 from .common import crc_fold, cut, labelled, with_score
+from .jaccard import near_duplicates
 
 FOLDS, HELD_OUT = 5, 0
 #: Bounds of the labelled sample, by class.
@@ -38,8 +39,6 @@ SHORTEST = 4
 #: Twice the log likelihood ratio that a landmark's tie to label 1 needs (odds of about 1 in 10^6 by
 #: chance); where nothing reaches it, the FALLBACK best are taken.
 EVIDENCE, FALLBACK = 25.0, 8
-#: A landmark also needs this share of the strongest tie; less is what copies of one document make.
-LEAST_SHARE = 0.08
 MOST_SEEN = 1_500_000
 #: Larger chunks than elsewhere: each one is held against all words seen before.
 CHUNK_BYTES = 1 << 21
@@ -182,22 +181,33 @@ def _beginnings(word: str) -> list[str]:
 
 
 def _counts(sample: DataFrame) -> DataFrame:
-    """(word or word beginning, sample documents of label 1 and of label 0 that hold it)."""
+    """(word or word beginning, groups of near copies of label 1 and of label 0 in which a document holds it).
+
+    ``sample`` is (text, y, copies): rows that agree in ``copies`` and ``y`` count once together.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of: tuple[Counter, Counter] = Counter(), Counter()
+        group, held = None, set()
         for batch in batches:
-            y = batch.column(1).to_pylist()
+            y, copies = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             for lo, hi, data, starts, ends, borders in _words(batch.column(0)):
                 raw = data.tobytes()
                 for row in range(hi - lo):
+                    if (now := (copies[lo + row], y[lo + row])) != group:
+                        if group:
+                            of[group[1]].update(held)
+                        group, held = now, set()
                     words = {raw[a:b].decode("utf-8", "replace").lower() for a, b in zip(starts[borders[row] : borders[row + 1]].tolist(), ends[borders[row] : borders[row + 1]].tolist(), strict=True)}
-                    of[y[lo + row]].update({p for w in words if len(w) >= SHORTEST for p in _beginnings(w)})
+                    held.update(p for w in words if len(w) >= SHORTEST for p in _beginnings(w))
+        if group:
+            of[group[1]].update(held)
         # what no document of label 1 holds can't become a landmark; the other counts matter only beside it
         names = sorted(of[0] | of[1])
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([of[1][w] for w in names], pa.int64()), pa.array([of[0][w] for w in names], pa.int64())], ["name", "toxic", "clean"])
 
-    parts = sample.select("text", "y").mapInArrow(scan, "name string, toxic long, clean long")
+    met = sample.repartition("copies", "y").sortWithinPartitions("copies", "y").select("text", "y", "copies")
+    parts = met.mapInArrow(scan, "name string, toxic long, clean long")
     return parts.groupBy("name").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
@@ -281,8 +291,11 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     ids = marks.where("y = 1").orderBy(*order).limit(MOST_TOXIC).union(marks.where("y = 0").orderBy(*order).limit(MOST_CLEAN))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    sample = cut(rows.join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).select("text", "y"))
-    n1, n0 = sample.agg(F.coalesce(F.sum("y"), F.lit(0)), F.coalesce(F.sum(1 - F.col("y")), F.lit(0))).first()
+    sample = cut(rows.join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]))
+    # copies of one document say no more than it does: words are counted once a group of near copies
+    groups = near_duplicates(sample).select("doc_id", F.col("component_id").alias("copies"))
+    sample = cut(sample.join(groups, "doc_id").select("text", "y", "copies"))
+    n1, n0 = sample.select("y", "copies").distinct().agg(F.coalesce(F.sum("y"), F.lit(0)), F.coalesce(F.sum(1 - F.col("y")), F.lit(0))).first()
     t, c = F.col("toxic"), F.col("clean")
     p1, p0, p = t / F.lit(float(max(1, n1))), c / F.lit(float(max(1, n0))), (t + c) / F.lit(float(n1 + n0))
 
@@ -292,7 +305,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     ratio = 2 * (likelihood(t, F.lit(n1), p1) + likelihood(c, F.lit(n0), p0) - likelihood(t, F.lit(n1), p) - likelihood(c, F.lit(n0), p))
     weighed = _counts(sample).where((t >= 2) & (p1 > 4 * p0)).select("name", "toxic", ratio.alias("weight"))
     best = [tuple(r) for r in weighed.orderBy(F.desc("weight"), F.desc(F.length("name")), "name").limit(CANDIDATES).collect()]
-    best = [x for x in best if x[2] >= max(EVIDENCE, LEAST_SHARE * best[0][2])] or best[:FALLBACK]
+    best = [x for x in best if x[2] >= EVIDENCE] or best[:FALLBACK]
     words = choose(best)
     if not words:
         return Model([], np.zeros(1), 0.0, -30.0)
@@ -302,11 +315,11 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(own.pooled(batch.column(0)).tolist(), pa.list_(pa.float32())), batch.column(1)], ["x", "y"])
 
-    got = sample.mapInArrow(pool, "x array<float>, y int").toPandas()
+    got = sample.select("text", "y").mapInArrow(pool, "x array<float>, y int").toPandas()
     x, y = np.array(got["x"].tolist(), np.float64), got["y"].to_numpy()
     values, vectors = np.linalg.eigh(Landmarks(words).kernel())
     nystroem = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
-    weight = np.where(y > 0, n_of[1] / max(1, n1), n_of[0] / max(1, n0))
+    weight = np.where(y > 0, n_of[1] / max(1, (y > 0).sum()), n_of[0] / max(1, (y <= 0).sum()))
     weight = weight / weight.mean()
     v = _machine(x @ nystroem, y, weight)
     folded = np.append(nystroem @ v[:-1], v[-1])

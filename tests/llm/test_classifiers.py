@@ -43,6 +43,23 @@ def test_toxicity(spark, docs):
     assert (odd[[0, 1, 2, 4]] >= 0.5).all() and (odd[[3, 5, 6]] < 0.5).all()
 
 
+def test_rare_insults_beside_a_frequent_one(spark, docs):
+    """Each insult with evidence of its own is learnt; the words of one document's copies are not."""
+    rnd, rows = random.Random(5), []
+    copied = " ".join([*plain(rnd, 80), "pfannkuchen"])
+    for k in range(1_100):
+        insult = "grobian" if k < 400 else "schuft" if k < 440 else None
+        words = plain(rnd)
+        if insult:
+            words.insert(rnd.randrange(len(words)), insult)
+        rows.append((k, f"{copied} nr{k}" if 440 <= k < 500 else " ".join(words), int(k < 500)))
+    frame = spark.createDataFrame([(k, y, y) for k, _, y in rows], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs([(k, t, "s") for k, t, _ in rows]), frame)
+    assert {"^grob", "^schu"} <= {z[:5] for z in model.words} and not any(z.startswith("^pfan") for z in model.words)
+    alone = model(pa.array([" ".join([*plain(rnd, 20), w, *plain(rnd, 20)]) for w in ("grobian", "schuft", "pfannkuchen")]))
+    assert (alone[:2] >= 0.5).all() and alone[2] < 0.5
+
+
 def test_without_labels(spark, docs):
     df, labels, _ = labelled(spark, docs, insulting, "toxic", 5)
     none = labels.where("false")
