@@ -291,9 +291,10 @@ SELECT taxon, round(CASE WHEN count(*) FILTER (x <> '-' OR y <> '-') > 0 THEN co
 )
 def p_distance(spark: SparkSession, d: str) -> DataFrame:
     """Each row against the one before it in its source."""
-    aln = V.aligned(spark, d, "source")
-    before = F.lag("seq").over(Window.partitionBy("source").orderBy("taxon")).alias("before")
-    return aln.select("taxon", "seq", before).where("before is not null").select("taxon", F.round(R.p_distance(F.col("seq"), F.col("before")), 9).alias("distance"))
+    ranked = global_rank(V.aligned(spark, d, "source"), "taxon", within="source")
+    before = ranked.select(F.col("source").alias("__source"), (F.col("rank") + 1).alias("__next"), F.col("seq").alias("before"))
+    met = ranked.join(before, (F.col("rank") == F.col("__next")) & F.col("source").eqNullSafe(F.col("__source")))
+    return met.where("before is not null").select("taxon", F.round(R.p_distance(F.col("seq"), F.col("before")), 9).alias("distance"))
 
 
 @query()

@@ -70,3 +70,10 @@ def test_ranks_within_groups(spark):
     rows = [(k, None if k % 5 == 0 else "ab"[k % 2]) for k in range(60)]
     got = {r["k"]: r["rank"] for r in global_rank(spark.createDataFrame(rows, "k long, g string"), "k", 7, within="g").collect()}
     assert got == {k: sum(h == g for j, h in rows if j < k) for k, g in rows}
+
+
+def test_neighbours_are_not_sorted_in_one_task(spark, folder, capsys):
+    df = Q.queries()["p_distance"](spark, folder)
+    df.explain()
+    assert "lag(" not in capsys.readouterr().out
+    assert {r["taxon"] for r in df.collect()} == {4, 5, 7, 8, 9}
