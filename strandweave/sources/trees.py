@@ -83,7 +83,7 @@ def read_newick(trees: DataFrame) -> DataFrame:
 def to_newick(tree: DataFrame, depth: int) -> DataFrame:
     """(newick) of (node, parent, len, label) at most ``depth`` levels deep, children in order of node.
 
-    Works a level at a time from the leaves up. Labels with reserved characters are quoted.
+    Works a level at a time from the leaves up; a deeper node raises. Labels with reserved characters are quoted.
     """
     quoted = F.when(F.col("label").rlike(r"[\s()\[\],:;']"), F.concat(F.lit("'"), F.replace("label", F.lit("'"), F.lit("''")), F.lit("'"))).otherwise(F.coalesce("label", F.lit("")))
     tail = F.concat(quoted, F.coalesce(F.concat(F.lit(":"), F.regexp_replace(F.col("len").cast("string"), r"\.0$", "")), F.lit("")))
@@ -92,7 +92,9 @@ def to_newick(tree: DataFrame, depth: int) -> DataFrame:
     for k in range(1, depth + 1):
         above = level[k - 1].select(F.col("node").alias("up"))
         level[k] = rows.join(above, rows["parent"] == above["up"], "left_semi")
-    text = level[depth].select("node", "parent", F.col("tail").alias("text"))
+    inner = rows.select(F.col("parent").alias("up")).distinct()
+    deeper = F.raise_error(F.concat(F.lit(f"nodes deeper than {depth} levels, below node "), F.col("node").cast("string")))
+    text = level[depth].join(inner, level[depth]["node"] == inner["up"], "left").select("node", "parent", F.when(F.col("up").isNotNull(), deeper).otherwise(F.col("tail")).alias("text"))
     for k in range(depth - 1, -1, -1):
         inside = text.groupBy(F.col("parent").alias("up")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node", "text"))), lambda x: x["text"]), ",").alias("inside"))
         met = level[k].join(inside, level[k]["node"] == inside["up"], "left")

@@ -127,3 +127,14 @@ def test_polytomies(spark):
         return {n} if got[n][2] else set().union(*(down(k) for k in kids[n]))
 
     assert down(1) == set(range(10, 17)) and sum(ln == 0.0 for _, ln, _ in got.values()) == len(got) - len(rows)
+
+
+def test_newick_raises_on_deeper_nodes(spark):
+    import pytest
+
+    from strandweave.sources.trees import to_newick
+
+    tree = spark.createDataFrame([(0, None, None, "r"), (1, 0, None, "a"), (2, 1, None, "b")], "node int, parent int, len double, label string")
+    assert to_newick(tree, 2).first()["newick"] == "((b)a)r;"
+    with pytest.raises(Exception, match="deeper than 1 levels"):
+        to_newick(tree, 1).collect()
