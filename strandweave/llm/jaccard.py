@@ -11,6 +11,8 @@ of documents. Let a pair link and h be the frequent share of its union.
 - h <= 0.3: each set has SIGNATURES min-wise hashes of its infrequent part; those parts have
   similarity (0.75 - h) / (1 - h) >= 0.64, so the pair misses all 20 with probability
   0.36^20 < 2e-9. A tile that is wide all the same is split by its members' other signatures.
+  A pair that shares just one signature, and that in a wide tile, is missed by the split: at most
+  20 x 0.64 x 0.36^19 < 5e-8 more of the pairs.
 - h > 0.3: both sets are frequent to more than 0.3. Each of these has its elements in one global
   order, infrequent first, then by count; a linked pair's first common element stands so early in
   both that the elements behind it can still make up the overlap. Such prefixes are joined with
