@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
+from collections.abc import Callable, Iterator
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,28 +19,92 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: Rows of an Arrow batch: texts are thousands of bytes each, and a worker holds a few batches at once.
 BATCH_ROWS = 2_000
+#: A batch of rows as Spark hands it to a task and takes it back.
+Batches = Iterator[pa.RecordBatch]
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bounds the session's Arrow batches, so that memory follows the size of rows and not their number."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > BATCH_ROWS:
-        spark.conf.set(key, BATCH_ROWS)
+def _memory_given_back() -> Callable[[], None]:
+    """Blocks of 1 MB and more go back to the system when freed, the others when the function is called."""
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(ctypes.c_int(-3), ctypes.c_int(1 << 20))  # M_MMAP_THRESHOLD, which glibc else raises by itself
+    except (OSError, AttributeError):  # another C library
+        return pa.default_memory_pool().release_unused
+
+    def give() -> None:
+        pa.default_memory_pool().release_unused()
+        libc.malloc_trim(0)
+
+    return give
+
+
+_give: list[Callable[[], None]] = []
+_kept: dict[str, object] = {}
+
+
+def keep(key: str, make: Callable[[], object]) -> object:
+    """What a scan of this worker has made under ``key``, or now makes; a worker keeps one such thing."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def lean(scan: Callable[[Batches], Batches], keeps: bool = False) -> Callable[[Batches], Batches]:
+    """``scan`` as a task that leaves a worker small: workers serve stage after stage.
+
+    Unless it ``keeps`` something itself, what other scans have kept goes before it begins. Freed
+    memory returns to the system when it ends.
+    """
+
+    @wraps(scan)
+    def run(batches: Batches) -> Batches:
+        if not _give:
+            _give.append(_memory_given_back())
+        if not keeps and _kept:
+            _kept.clear()
+            gc.collect()
+        try:
+            yield from scan(batches)
+        finally:
+            _give[0]()
+
+    return run
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; one is set only where the session names none."""
+    """The folder that ``spark.checkpoint.dir`` names, or the one the application has set.
+
+    Only on a local master, where all tasks share the machine, is one made; elsewhere its lack raises.
+    """
     sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not named:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="strandweave-")
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="strandweave-"))
-    return sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+        sc.setCheckpointDir(named)
+    return named
+
+
+def removed(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of intermediate data, wherever it lies."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    small_batches(df.sparkSession)
-    return df.checkpoint()
+    spark = df.sparkSession
+    shared_folder(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(key)
+    spark.conf.set(key, min(int(was), BATCH_ROWS) if int(was) > 0 else BATCH_ROWS)
+    try:
+        return df.checkpoint()
+    finally:
+        spark.conf.set(key, was)
 
 
 def settled(df: DataFrame, per_part: int = 10_000) -> tuple[DataFrame, int]:
@@ -80,24 +149,22 @@ def crc_fold(doc_id: Column, folds: int) -> Column:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def with_score(docs: DataFrame, text: str, scorer, name: str) -> DataFrame:
     """Adds ``name``, a double that ``scorer(column)`` gives for each row's text; other columns pass through.
 
-    ``scorer`` is called once per Arrow batch with its text column and returns an array.
+    ``scorer`` is called once per Arrow batch with its text column and returns an array; one that
+    uses ``keep`` has an attribute ``keeps``.
     """
-    import pyarrow as pa
-
     at = docs.columns.index(text)
 
     def scan(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scorer(batch.column(at)), pa.float64())], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(scan, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+    return docs.mapInArrow(lean(scan, keeps=getattr(scorer, "keeps", False)), T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, doc_id: str = "doc_id") -> DataFrame:

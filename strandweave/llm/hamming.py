@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, salts
+from .common import cut, lean, salts
 
 BITS, K, EVERY = 64, 10, 50
 
@@ -91,7 +91,7 @@ def nearest(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding
     for radius in range(max(w for _, w in segments) + 1):
         if open_codes.isEmpty():
             break
-        probes = open_codes.mapInArrow(_prober(segments, radius), "q long, seg int, value long")
+        probes = open_codes.mapInArrow(lean(_prober(segments, radius)), "q long, seg int, value long")
         met = probes.join(index, ["seg", "value"]).select("q", "code").distinct()
         found = met.select("q", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).cast("long").alias("distance"), "code")
         # the reach nearest codes hold the reach nearest ids

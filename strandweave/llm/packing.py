@@ -19,11 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, salted_rank
+from .common import cut, keep, lean, salted_rank
 
 SIZE, END = 2048, 1
-#: Distinct words whose ids a worker keeps: the first ones, so most of the frequent ones.
-MOST_WORDS = 500_000
+#: Distinct words whose ids a worker keeps, about 250 bytes each: the first ones, so most of the frequent ones.
+MOST_WORDS = 200_000
+#: Holds what the way by words relies on: cases, ends of words, accents, marks, white space of all kinds.
+PROBE = "The quick, brown FOX. isn't 1,234.5 (a_b) Ünï-côdé straße\tİstanbul\n\nx\r\ny  z\u00a0w 東京 -- '' ŉ <b>."
 _SPECIAL = "<|"
 #: Latin letters below this are composed already and have one lower case each, but for one of them.
 _PLAIN_END, _DOTTED = "\u0180", "\u0130"
@@ -60,6 +62,15 @@ class WordIds:
         self.model = self.tokenizer.model
         self.ends = {c: self.tokenizer.encode(c, add_special_tokens=False).ids for c in ",."}
         self.known: dict[str, bytes] = {"": b""}
+        self.by_words = True
+        self.by_words = self._fits(PROBE)
+
+    def _fits(self, text: str) -> bool:
+        """Whether the way by words gives the tokenizer's own ids of ``text``; another vocabulary encodes texts whole."""
+        try:
+            return self(text) == _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        except Exception:  # the model has no such tokens at all
+            return False
 
     def _encode(self, words: list[str]) -> list[bytes]:
         out: list = [None] * len(words)
@@ -75,7 +86,7 @@ class WordIds:
 
     def __call__(self, text: str) -> bytes:
         """The text's ids, four bytes each, the lowest first."""
-        if _SPECIAL in text:
+        if not self.by_words or _SPECIAL in text:
             return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
         words = text.replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" ")
         parts = list(map(self.known.get, words))
@@ -92,22 +103,12 @@ def _packed(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
-_kept: dict[str, WordIds] = {}
-
-
-def _encoder(path: str) -> WordIds:
-    """The worker's own encoder; tasks of one worker share it."""
-    if path not in _kept:
-        _kept[path] = WordIds(path)
-    return _kept[path]
-
-
 def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, size: int = SIZE) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens): full sequences and one rest of each text with its end id."""
     path = path or tokenizer_path()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(path)
+        encode = keep(f"words of {path}", lambda: WordIds(path))
         for batch in batches:
             row, start, length, crc, total = [], [], [], [], []
             for k, value in enumerate(batch.column(1)):
@@ -123,7 +124,7 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: st
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(scan, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    return rows.mapInArrow(lean(scan, keeps=True), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def plan(histogram: dict[int, int], size: int = SIZE) -> list[tuple[tuple[int, ...], int]]:
@@ -192,4 +193,4 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str
             sequence = table["sequence"][at] + rank - table["from"][at]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(5)), pa.array(sequence), pa.array(table["offset"][at])], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    return ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "rank").mapInArrow(place, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "rank").mapInArrow(lean(place), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .common import crc_fold, cut, labelled, with_score
+from .common import crc_fold, cut, keep, labelled, lean, with_score
 from .jaccard import near_duplicates
 
 FOLDS, HELD_OUT = 5, 0
@@ -207,7 +207,7 @@ def _counts(sample: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([of[1][w] for w in names], pa.int64()), pa.array([of[0][w] for w in names], pa.int64())], ["name", "toxic", "clean"])
 
     met = sample.repartition("copies", "y").sortWithinPartitions("copies", "y").select("text", "y", "copies")
-    parts = met.mapInArrow(scan, "name string, toxic long, clean long")
+    parts = met.mapInArrow(lean(scan), "name string, toxic long, clean long")
     return parts.groupBy("name").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
@@ -260,7 +260,9 @@ def _logistic(f: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
 
 
 class Model:
-    """Scores texts; a worker keeps what it learned about words for as long as it lives."""
+    """Scores texts; a worker keeps what it learned about words until another scan needs the room."""
+
+    keeps = True
 
     def __init__(self, words: list[str], weights: np.ndarray, slope: float, intercept: float):
         self.words, self.weights, self.slope, self.intercept = words, weights, slope, intercept
@@ -272,16 +274,10 @@ class Model:
     def __call__(self, column: pa.Array) -> np.ndarray:
         if not self.words:
             return np.zeros(len(column))
-        marks = _kept.get(self.key)
-        if marks is None:
-            _kept.clear()
-            marks = _kept[self.key] = Landmarks(self.words)
+        marks = keep(self.key, lambda: Landmarks(self.words))
         return 1 / (1 + np.exp(-np.clip(self.slope * self.margins(marks.pooled(column)) + self.intercept, -30, 30)))
 
 
-_kept: dict[str, Landmarks] = {}
-
-
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Model:
     """Fits on at most MOST_TOXIC and MOST_CLEAN labelled rows, those of the lowest hashes."""
     marks = cut(labelled(docs, labels, "toxic", FOLDS, HELD_OUT, doc_id))
@@ -315,7 +311,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(own.pooled(batch.column(0)).tolist(), pa.list_(pa.float32())), batch.column(1)], ["x", "y"])
 
-    got = sample.select("text", "y").mapInArrow(pool, "x array<float>, y int").toPandas()
+    got = sample.select("text", "y").mapInArrow(lean(pool), "x array<float>, y int").toPandas()
     x, y = np.array(got["x"].tolist(), np.float64), got["y"].to_numpy()
     values, vectors = np.linalg.eigh(Landmarks(words).kernel())
     nystroem = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
