@@ -2,13 +2,14 @@
 
 A text is described by shares and means that do not depend on its language or topic. Cosines of
 random projections approximate a Gaussian kernel on them. Each partition of the labelled rows sums
-its normal equations; the sums are of fixed size. Raw scores are counted into fixed bins and a
-monotone step fit of the bins' label shares turns them into scores.
+its normal equations into one array of fixed size; the arrays are added up in a tree. Raw scores of
+labelled rows that the ridge has not seen are counted into fixed bins, and a monotone step fit of
+the bins' label shares turns them into scores.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -16,11 +17,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .common import crc_fold, cut, labelled, with_score
+from .common import Batches, crc_fold, cut, labelled, lean, with_score
 
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.7
 FEATURES, RIDGE, SEED = 128, 1e-3, 11
 BINS, LOW, HIGH = 400, -0.5, 1.5
+#: Bound of the labelled sample, in rows; beyond it ids are taken by hash. One in CALIBRATION of them calibrates.
+MOST_LABELLED, CALIBRATION = 200_000, 4
+#: Arrays that one task adds up.
+FAN_IN = 32
 
 STATISTICS = (
     "log_words", "word_length", "word_length_spread", "upper", "digits", "punctuation", "odd_endings", "bare_punctuation",
@@ -124,76 +129,94 @@ def monotone(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return np.repeat([b[0] for b in blocks], [int(b[2]) for b in blocks])
 
 
-def _matrix(rows: DataFrame, n: int, sums) -> np.ndarray:
-    """Sums over partitions of the n x n matrix that ``sums(batches)`` gives for each."""
+def _sum(rows: DataFrame, sums: Callable[[Batches], np.ndarray]) -> np.ndarray:
+    """The sum over partitions of the array that ``sums(batches)`` gives for each, added FAN_IN at a time."""
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sums(batches)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(m.size), pa.int32()), pa.array(m.ravel())], ["cell", "value"])
+    def scan(batches: Batches) -> Batches:
+        yield pa.RecordBatch.from_arrays([pa.array([sums(batches).ravel().tolist()], pa.list_(pa.float64()))], ["a"])
+
+    def add(batches: Batches) -> Batches:
+        total = None
+        for batch in batches:
+            for row in batch.column(0):
+                a = row.values.to_numpy()
+                total = a.copy() if total is None else total + a
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["a"])
+
+    arrays, parts = rows.mapInArrow(lean(scan), "a array<double>"), rows.rdd.getNumPartitions()
+    while parts > FAN_IN:
+        parts = -(-parts // FAN_IN)
+        arrays = arrays.repartition(parts).mapInArrow(lean(add), "a array<double>")
+    return np.sum([r["a"] for r in arrays.collect()], axis=0)
+
+
+def calibrated(raw_good: np.ndarray, raw_count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Middles of the filled bins and the monotone fit of their label shares."""
+    filled = np.flatnonzero(raw_count)
+    return LOW + (filled + 0.5) * (HIGH - LOW) / BINS, monotone(raw_good[filled] / raw_count[filled], raw_count[filled])
 
-    cells = rows.mapInArrow(scan, "cell int, value double").groupBy("cell").agg(F.sum("value").alias("value")).toPandas()
-    out = np.zeros(n * n)
-    out[cells["cell"].to_numpy()] = cells["value"].to_numpy()
-    return out.reshape(n, n)
 
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = MOST_LABELLED) -> Model:
+    """Fits on the labelled rows that are not held out, about ``most`` of them at most; without any, all scores are 1.
 
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Model:
-    """Fits on every labelled row that is not held out; without any, all scores are 1."""
+    Beyond that bound ids are taken by a threshold on their hash. Another hash deals the rows to
+    the ridge and to the calibration; if one of both gets none, each takes all.
+    """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    marks = labelled(docs, labels, "quality", FOLDS, HELD_OUT, doc_id)
-    # the labelled ids are narrow; the texts stay where they are if the ids are few
-    n_marks = (marks := cut(marks)).count()
-    some = rows.join(F.broadcast(marks) if n_marks <= 2_000_000 else marks, "doc_id")
+    marks = cut(labelled(docs, labels, "quality", FOLDS, HELD_OUT, doc_id))
+    n_marks = marks.count()
+    if n_marks > most:
+        marks = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(most / n_marks * (1 << 30)))
+    dealt = (F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(CALIBRATION)) == 0).cast("int").alias("last")
+    some = rows.join(F.broadcast(marks.select("doc_id", "y", dealt)), "doc_id")  # no more than a little above ``most`` ids
     width = len(STATISTICS)
 
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def describe(batches: Batches) -> Batches:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(statistics(batch.column(0)).tolist(), pa.list_(pa.float64())), batch.column(1)], ["x", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array(statistics(batch.column(0)).tolist(), pa.list_(pa.float64())), batch.column(1), batch.column(2)], ["x", "y", "last"])
 
-    table = cut(some.select("text", "y").mapInArrow(describe, "x array<double>, y int"))
+    table = cut(some.select("text", "y", "last").mapInArrow(lean(describe), "x array<double>, y int, last int"))
+    sizes = {r["last"]: r["n"] for r in table.groupBy("last").agg(F.count("*").alias("n")).collect()}
+    if not sizes:
+        return Model(np.zeros(width), np.ones(width), np.zeros(FEATURES + 1), np.array([0.0]), np.array([1.0]))
+    first, last = (table.where("last = 0"), table.where("last = 1")) if len(sizes) == 2 else (table, table)
 
     def arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         return batch.column(0).flatten().to_numpy().reshape(-1, width), batch.column(1).to_numpy().astype(float)
 
-    def moments(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+    def moments(batches: Batches) -> np.ndarray:
         m = np.zeros((width + 1, width + 1))
         for x, _ in map(arrays, batches):
             z = np.hstack([x, np.ones((len(x), 1))])
             m += z.T @ z
         return m
 
-    m = _matrix(table, width + 1, moments)
+    m = _sum(first, moments).reshape(width + 1, width + 1)
     n = m[-1, -1]
-    if not n:
-        return Model(np.zeros(width), np.ones(width), np.zeros(FEATURES + 1), np.array([0.0]), np.array([1.0]))
     mean = m[-1, :-1] / n
     spread = np.sqrt(np.maximum(np.diag(m)[:-1] / n - mean**2, 1e-8))
 
-    def normal(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+    def normal(batches: Batches) -> np.ndarray:
         e = np.zeros((FEATURES + 2, FEATURES + 2))
         for x, y in map(arrays, batches):
             z = np.hstack([fourier((x - mean) / spread), y[:, None]])
             e += z.T @ z
         return e
 
-    e = _matrix(table, FEATURES + 2, normal)
+    e = _sum(first, normal).reshape(FEATURES + 2, FEATURES + 2)
     weights = np.linalg.solve(e[:-1, :-1] + RIDGE * n * np.eye(FEATURES + 1) / FEATURES, e[:-1, -1])
     model = Model(mean, spread, weights, np.array([0.0]), np.array([1.0]))
 
-    def bins(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        size = int(np.ceil(np.sqrt(2 * BINS)))
-        sums = np.zeros(size * size)
+    def bins(batches: Batches) -> np.ndarray:
+        sums = np.zeros((2, BINS))
         for x, y in map(arrays, batches):
             at = np.clip((model.raw(x) - LOW) / (HIGH - LOW) * BINS, 0, BINS - 1).astype(int)
-            sums[:BINS] += np.bincount(at, minlength=BINS)
-            sums[BINS : 2 * BINS] += np.bincount(at, y, BINS)
-        return sums.reshape(size, size)
-
-    sums = _matrix(table, int(np.ceil(np.sqrt(2 * BINS))), bins).ravel()
-    count, good = sums[:BINS], sums[BINS : 2 * BINS]
-    filled = np.flatnonzero(count)
-    model.edges = LOW + (filled + 0.5) * (HIGH - LOW) / BINS
-    model.levels = monotone(good[filled] / count[filled], count[filled])
+            sums += np.bincount(at, minlength=BINS), np.bincount(at, y, BINS)
+        return sums
+
+    count, good = _sum(last, bins).reshape(2, BINS)
+    model.edges, model.levels = calibrated(good, count)
     return model
 
 
