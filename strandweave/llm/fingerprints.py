@@ -1,39 +1,46 @@
 """Document fingerprints by I-Match with several randomised lexicon subsets.
 
-Terms whose share of documents lies in a band form the lexicon; its size is bounded by the mean
-number of distinct terms of a document over the band's lower end. Each subset keeps a term by a
-hash of both; a document's signature in a subset hashes the sorted distinct terms that it shares
-with it. Subsets come in several densities: the dense ones tell copies from near copies, the
-sparse ones see how much of a text has stayed.
+Terms whose share of documents lies in a band form the lexicon. Each subset keeps a term by a hash
+of both; a document's signature in a subset hashes the sorted sequence of the distinct terms that it
+shares with it. Subsets come in several densities: the dense ones tell copies from near copies, the
+sparse ones see how much of a text has stayed. One more signature hashes all distinct terms, so that
+texts which no subset meets are told apart too.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .common import cut
-
-#: The band, as shares of all documents, and a bound for the lexicon's terms.
-LEAST_SHARE, MOST_SHARE, MOST_TERMS = 0.0005, 0.2, 1_000_000
-#: One in so many terms is kept, and the number of such subsets.
-DENSITIES = ((16, 2), (64, 6), (256, 24))
-#: A text with fewer terms in the band is described by all of its terms.
-FEWEST = 4
-PARTITION_BYTES = 24_000_000
+from .common import Batches, cut, lean
+
+#: The band, as shares of all documents.
+LEAST_SHARE, MOST_SHARE = 0.0005, 0.2
+#: Room for the lexicon, 8 bytes a term. A document of b bytes has at most (b + 1) / 2 terms, so no more
+#: than mean (b + 1) / 2 / share terms are in that share of documents: the band begins where that fits.
+MOST_TERMS = 8_000_000
+#: Shares of the lexicon that subsets keep, and how many subsets keep as much.
+DENSITIES = ((0.75, 2), (0.25, 2), (1 / 16, 4), (1 / 64, 8), (1 / 256, 16))
+#: Text of a range of ids, and the most ranges: beyond it ranges grow, and tasks stream through them.
+PARTITION_BYTES, MOST_PARTS = 24_000_000, 50_000
+#: Bytes of text that a task describes at once.
+AT_ONCE = 4_000_000
 
 _U = np.uint64
-_KEEP = np.array([d for d, n in DENSITIES for _ in range(n)], _U)
-_SEEDS = T.mix(np.arange(1, len(_KEEP) + 1, dtype=_U) * _U(0xD1B54A32D192ED03))
+_LIMITS = np.array([int(d * 2**64) for d, n in DENSITIES for _ in range(n)], _U)
+_SEEDS = T.mix(np.arange(1, len(_LIMITS) + 1, dtype=_U) * _U(0xD1B54A32D192ED03))
+_PLACE = _U(0x9E3779B97F4A7C15)
+_LAST = (1 << 63) - 1
 
 
-def _terms(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _terms(column: pa.Array):
     """(first row, sorted distinct term hashes of each row one after the other, borders)."""
     for lo, hi, data, offsets in T.chunks(column):
         low = T.LOWER[data]
@@ -46,7 +53,7 @@ def _terms(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 def document_frequencies(docs: DataFrame, text: str) -> DataFrame:
     """(term hash, documents that hold it), summed within partitions before the shuffle."""
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scan(batches: Batches) -> Batches:
         terms, counts = np.zeros(0, _U), np.zeros(0, np.int64)
         waiting, size = [], 0
 
@@ -69,51 +76,67 @@ def document_frequencies(docs: DataFrame, text: str) -> DataFrame:
         for k in range(0, len(terms), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(terms[k : k + 100_000].view(np.int64)), pa.array(counts[k : k + 100_000])], ["term", "n"])
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(scan, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    return docs.select(F.col(text).alias("text")).mapInArrow(lean(scan), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+
 
+def lexicon(docs: DataFrame, text: str, n_docs: int, n_bytes: int) -> np.ndarray:
+    """Sorted hashes of the terms in the band, no more than MOST_TERMS by its lower end."""
+    least = max(LEAST_SHARE, (n_bytes / max(1, n_docs) + 1) / 2 / MOST_TERMS)
+    low = max(2, int(np.ceil(least * n_docs)))
+    found = cut(document_frequencies(docs, text).where((F.col("n") >= low) & (F.col("n") <= max(low, MOST_SHARE * n_docs))).select("term"))
+    return np.sort(found.toPandas()["term"].to_numpy(np.int64).view(_U))
 
-def lexicon(docs: DataFrame, text: str, n_docs: int) -> np.ndarray:
-    """Sorted hashes of the terms in the band: no more than mean distinct terms / lower end."""
-    low = max(2, int(np.ceil(LEAST_SHARE * n_docs)))
-    counted = document_frequencies(docs, text).where((F.col("n") >= low) & (F.col("n") <= max(low, MOST_SHARE * n_docs)))
-    found = cut(counted)
-    by_n = found.groupBy("n").agg(F.count("*").alias("terms")).orderBy(F.desc("n")).toPandas() if found.count() > MOST_TERMS else None
-    if by_n is not None:  # the lower end rises until the bound holds
-        found = found.where(F.col("n") >= int(by_n["n"][min(len(by_n) - 1, int((by_n["terms"].cumsum() <= MOST_TERMS).sum()))]))
-    return np.sort(found.select("term").toPandas()["term"].to_numpy(np.int64).view(_U))
+
+def _signed(hashes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows that have hashes, and a 64-bit hash, not 0, of each one's sequence; ``rows`` ascend."""
+    first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]])) if len(rows) else np.zeros(0, np.int64)
+    if not len(first):
+        return rows, np.zeros(0, _U)
+    n = np.diff(np.append(first, len(rows)))
+    place = (np.arange(len(rows)) - np.repeat(first, n)).astype(_U)
+    sums = np.add.reduceat(T.mix(hashes ^ T.mix(place * _PLACE + _U(1))), first)
+    return rows[first], np.maximum(T.mix(sums ^ (n.astype(_U) * _PLACE)), _U(1))
 
 
 def signatures(column: pa.Array, lexicon: np.ndarray) -> np.ndarray:
-    """A row of 32-bit signatures for each text; 0 where a subset has none of its terms."""
-    out = np.zeros((len(column), len(_KEEP)), np.uint32)
+    """A row of 64-bit signatures for each text: of all its terms, then of each subset; 0 where there is no term."""
+    out = np.zeros((len(column), 1 + len(_LIMITS)), _U)
     for lo, hashes, borders in _terms(column):
-        rows = np.repeat(np.arange(len(borders) - 1), np.diff(borders))
-        if len(lexicon):
-            at = np.minimum(np.searchsorted(lexicon, hashes), len(lexicon) - 1)
-            inside = lexicon[at] == hashes
-        else:
-            inside = np.zeros(len(hashes), bool)
-        enough = np.bincount(rows[inside], minlength=len(borders) - 1) >= FEWEST
-        used = inside | ~enough[rows]
-        hashes, rows = hashes[used], rows[used]
-        first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]])) if len(rows) else np.zeros(0, np.int64)
-        if not len(first):
+        rows = np.repeat(np.arange(lo, lo + len(borders) - 1), np.diff(borders))
+        of, signed = _signed(hashes, rows)
+        out[of, 0] = signed
+        if not len(lexicon):
             continue
-        for k, (keep, seed) in enumerate(zip(_KEEP, _SEEDS, strict=True)):
+        at = np.minimum(np.searchsorted(lexicon, hashes), len(lexicon) - 1)
+        inside = lexicon[at] == hashes
+        hashes, rows = hashes[inside], rows[inside]
+        for k, (limit, seed) in enumerate(zip(_LIMITS, _SEEDS, strict=True), 1):
             own = T.mix(hashes ^ seed)
-            kept = own % keep == 0
-            # the sum over distinct terms: a hash of the sorted set
-            sums = np.add.reduceat(np.where(kept, T.mix(own), _U(0)), first)
-            any_kept = np.add.reduceat(kept.astype(np.int64), first) > 0
-            out[lo + rows[first], k] = np.where(any_kept, np.maximum((T.mix(sums) >> _U(32)).astype(np.uint32), np.uint32(1)), np.uint32(0))
+            kept = np.flatnonzero(own < limit)
+            of, signed = _signed(own[kept], rows[kept])
+            out[of, k] = signed
     return out
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Share of equal signatures among the subsets that either text meets; 1 for equal fingerprints."""
-    either = ((a > 0) | (b > 0)).sum(axis=1)
-    same = ((a == b) & (a > 0)).sum(axis=1)
-    return np.where((a == b).all(axis=1), 1.0, same / np.maximum(either, 1))
+    """1 for texts of the same terms, else the share of equal signatures among the subsets that
+    either text meets; 0 if neither meets any."""
+    x, y = a[:, 1:], b[:, 1:]
+    either = ((x > 0) | (y > 0)).sum(axis=1)
+    same = ((x == y) & (x > 0)).sum(axis=1)
+    return np.where(a[:, 0] == b[:, 0], 1.0, same / np.maximum(either, 1))
+
+
+def _heads(rows: DataFrame, parts: int) -> np.ndarray:
+    """The first key of each range, ascending: of the ids alone, dealt in ranges by Spark."""
+
+    def least(batches: Batches) -> Batches:
+        found = [int(batch.column(0).to_numpy().min()) for batch in batches if batch.num_rows]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([min(found)], pa.int64())], ["first"])
+
+    found = rows.select("key").repartitionByRange(parts, "key").mapInArrow(lean(least), "first long").collect()
+    return np.unique(np.array([r["first"] for r in found], np.int64))
 
 
 def fingerprint(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -125,106 +148,72 @@ def fingerprint(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     texts are empty. Texts without words share one fingerprint of zeros. Rows that repeat are each
     other's next. A table of one row is its own next; an empty one gives no rows. Other columns are
     ignored.
+
+    Each range of ids is one task: its rows arrive sorted and pass through it a few MB at a time,
+    and behind them comes the first row of the next range.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = rows.withColumn("key", F.coalesce("doc_id", F.lit(_LAST)))
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     n_docs, n_bytes = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     if not n_docs:
         return rows.select("doc_id", *[F.lit(None).cast(f.split()[-1]).alias(f.split()[0]) for f in schema.split(", ")[1:]])
-    words = docs.sparkSession.sparkContext.broadcast(lexicon(docs, text, n_docs))
+    words = docs.sparkSession.sparkContext.broadcast(lexicon(docs, text, n_docs, n_bytes))
+    heads = _heads(rows, max(1, min(MOST_PARTS, max(n_bytes // PARTITION_BYTES, n_docs // 200_000))))
+    parts = len(heads)
+
+    @F.pandas_udf("array<int>")
+    def goes_to(key: pd.Series) -> pd.Series:
+        """A row's range and, for those of its first key, the range before it too."""
+        part = np.searchsorted(heads, key.to_numpy(), "right") - 1
+        first = heads[part] == key.to_numpy()
+        return pd.Series([[p, (p - 1) % parts] if f else [p] for p, f in zip(part.tolist(), first.tolist(), strict=True)])
+
+    def describe(batches: Batches) -> Batches:
+        waiting = None  # the last row, whose next has not come yet, and its signatures
+        for batch in batches:
+            ends = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False))
+            lo = 0
+            while lo < batch.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + AT_ONCE, "right")))
+                part = batch.slice(lo, hi - lo)
+                lo = hi
+                out, waiting = _described(waiting, part, words.value)
+                if out is not None:
+                    yield out
 
-    # ranges of ids, of a few MB of text each, and the first id of each
-    parts = max(1, n_bytes // PARTITION_BYTES, n_docs // 200_000)
-    key = F.coalesce("doc_id", F.lit((1 << 63) - 1))
-    bounds = rows.agg(F.percentile_approx(key, [k / parts for k in range(1, parts)] or [0.5], max(10_000, 20 * parts))).first()[0] if parts > 1 else []
-    bounds = np.unique(np.array(bounds, np.int64))
-    # a place just below the next range's first id is found by the ids alone
-    ids = rows.select(key.alias("key"))
+    role = F.posexplode(goes_to("key")).alias("role", "part")
+    dealt = rows.select("doc_id", "text", "key", role).repartitionById(parts, "part").sortWithinPartitions("part", "role", "key", F.col("doc_id").asc_nulls_last(), "text")
+    return dealt.select("doc_id", "text", "role").mapInArrow(lean(describe), schema)
 
-    def range_of(keys: np.ndarray) -> np.ndarray:
-        return np.searchsorted(bounds, keys, "right")
 
-    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        least: dict[int, int] = {}
-        for batch in batches:
-            keys = batch.column(0).to_numpy()
-            of = range_of(keys)
-            for k in np.unique(of).tolist():
-                m = int(keys[of == k].min())
-                least[k] = min(m, least.get(k, m))
-        yield pa.RecordBatch.from_arrays([pa.array(list(least), pa.int64()), pa.array(list(least.values()), pa.int64())], ["part", "first"])
-
-    found = sorted((r["part"], r["first"]) for r in ids.mapInArrow(firsts, "part long, first long").groupBy("part").agg(F.min("first").alias("first")).collect())
-    before = {first: found[k - 1][0] for k, (_, first) in enumerate(found)}
-    heads = np.array(sorted(before), np.int64)
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Texts by range, compressed together; the first of a range goes to the range before it too."""
-        import zstandard
-
-        press = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
-            keys = batch.column(0).fill_null((1 << 63) - 1).to_numpy()
-            of = range_of(keys)
-            out: list[tuple[int, bytes]] = []
-            for k in np.unique(of).tolist():
-                out.append((k, _block(batch, np.flatnonzero(of == k), 0, press)))
-            for row in np.flatnonzero(np.isin(keys, heads)).tolist():
-                out.append((before[int(keys[row])], _block(batch, np.array([row]), 1, press)))
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([b for _, b in out], pa.binary())], ["part", "block"])
-
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        lexicon, blocks, at = words.value, [], None
-        for batch in batches:
-            for part, block in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if part != at and blocks:
-                    yield from _described(blocks, lexicon)
-                    blocks = []
-                at = part
-                with pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(block.as_py())) as reader:
-                    blocks.append(reader.read_all())
-        if blocks:
-            yield from _described(blocks, lexicon)
-
-    dealt = rows.mapInArrow(deal, "part long, block binary").repartition(int(parts) if parts > 1 else 1, "part").sortWithinPartitions("part")
-    return dealt.mapInArrow(describe, schema)
-
-
-def _block(batch: pa.RecordBatch, rows: np.ndarray, role: int, press) -> bytes:
-    part = batch.take(pa.array(rows))
-    table = pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.full(len(rows), role, np.int8))], ["doc_id", "text", "role"])
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema) as writer:
-        writer.write_batch(table)
-    return press.compress(sink.getvalue())
-
-
-def _described(blocks: list[pa.Table], lexicon: np.ndarray, rows_at_once: int = 2_000) -> Iterator[pa.RecordBatch]:
-    table = pa.concat_tables(blocks)
-    role, ids, texts = (table.column(c).to_pylist() for c in ("role", "doc_id", "text"))
-    # id order with nulls last, equal ids by text; what comes from the next range stands behind
-    order = sorted(range(len(ids)), key=lambda k: (role[k], ids[k] is None, ids[k] or 0, texts[k]))
-    n = role.count(0)
-    for lo in range(0, n, rows_at_once):
-        own = order[lo : min(n, lo + rows_at_once)]
-        after = order[lo + 1 : lo + len(own) + 1]
-        body = [texts[k] for k in own]
-        following = [texts[k] for k in after]
-        half = [len(t) // 2 for t in body]
-        edited = [t[: len(t) - h] + f[:h] for t, h, f in zip(body, half, following, strict=True)]
-        plain = signatures(pa.array([*body, following[-1]], pa.large_string()), lexicon)
-        a, b, c = plain[:-1], signatures(pa.array(edited, pa.large_string()), lexicon), plain[1:]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([ids[k] for k in own], pa.int64()),
-                pa.array([len(t) for t in body], pa.int64()),
-                pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited]),
-                pa.array([x.astype(">u4").tobytes().hex() for x in a]),
-                pa.array([x.astype(">u4").tobytes().hex() for x in b]),
-                pa.array(likeness(a, b)),
-                pa.array(likeness(a, c)),
-            ],
-            ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
-        )
+def _described(waiting: tuple | None, part: pa.RecordBatch, lexicon: np.ndarray) -> tuple[pa.RecordBatch | None, tuple | None]:
+    """The rows whose next is known, described, and the row that waits for its own.
+
+    Of the rows that a range gets from the one behind it only the first is anybody's next.
+    """
+    ids, texts, role = (part.column(k).to_pylist() for k in range(3))
+    # a row of the next range counts behind one of this range, the others of them behind none
+    used = [k for k in range(len(ids)) if role[k] == 0 or (role[k - 1] == 0 if k else waiting is not None)]
+    if not used:
+        return None, None
+    plain = signatures(pa.array([texts[k] for k in used], pa.large_string()), lexicon)
+    rows = [(ids[k], texts[k], role[k], x) for k, x in zip(used, plain, strict=True)]
+    rows = [waiting, *rows] if waiting else rows
+    own = [k for k in range(len(rows) - 1) if rows[k][2] == 0]
+    last = rows[-1] if rows[-1][2] == 0 else None
+    if not own:
+        return None, last
+    body, following = [rows[k][1] for k in own], [rows[k + 1][1] for k in own]
+    edited = [t[: len(t) - len(t) // 2] + f[: len(t) // 2] for t, f in zip(body, following, strict=True)]
+    a, b, c = np.stack([rows[k][3] for k in own]), signatures(pa.array(edited, pa.large_string()), lexicon), np.stack([rows[k + 1][3] for k in own])
+    out = [
+        pa.array([rows[k][0] for k in own], pa.int64()),
+        pa.array([len(t) for t in body], pa.int64()),
+        pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited]),
+        pa.array([x.astype(">u8").tobytes().hex() for x in a]),
+        pa.array([x.astype(">u8").tobytes().hex() for x in b]),
+        pa.array(likeness(a, b)),
+        pa.array(likeness(a, c)),
+    ]
+    return pa.RecordBatch.from_arrays(out, ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]), last
