@@ -1,8 +1,8 @@
 """Near-duplicate documents: exact n-gram Jaccard links and their components.
 
-Tiles hold documents of like set size that agree in a signature; in a tile, hashed bitmaps bound
-the overlap from above and the pairs that remain are settled by exact intersection of the sorted
-shingle arrays.
+A tile holds documents of one band of set sizes, and of the band below, that agree in a signature: sets
+that link are of one band or of two neighbouring ones. In a tile, hashed bitmaps bound the overlap
+from above and the pairs that remain are settled by exact intersection of the sorted shingle arrays.
 
 How a pair comes into a tile. Shingles that many documents carry (a passage, a common first line,
 what a large group of near copies shares) are told apart from the others by counting within blocks
@@ -31,11 +31,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .common import settled, small
+from .common import cut, lean, settled, small
 
 WIDTH, NUMERATOR, DENOMINATOR = 5, 75, 100
 SIGNATURES, HUB_SIGNATURES, HUBS, HUB_ROUNDS = 20, 6, 4, 2
@@ -46,6 +47,8 @@ MOST_FREQUENT = 2_000_000
 FREQUENT_PART = 0.3
 #: Members of a tile beyond which it is split by a second signature.
 WIDE_TILE = 48
+#: Bands of sizes: a little wider than the 4 / 3 by which the sizes of linked sets differ at most.
+BAND = 1.34
 #: Words of a bitmap for a set of n shingles: two bits a shingle, a power of two, in this range.
 LEAST_BITS, MOST_BITS = 64, 1 << 15
 
@@ -121,9 +124,17 @@ def frequent_shingles(docs: DataFrame, text: str, width: int = WIDTH) -> tuple[n
 
     rows = docs.select(F.col(text).alias("text"))
     # a block of few documents would see little
-    counts = rows.coalesce(max(1, rows.count() // BLOCK_DOCS)).mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    often = counts.where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "shingle").limit(MOST_FREQUENT).toPandas()
-    shingle, n = often["shingle"].to_numpy(np.int64).view(_U), often["n"].to_numpy(np.int64)
+    counts = rows.coalesce(max(1, rows.count() // BLOCK_DOCS)).mapInArrow(lean(count), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    often = cut(counts.where(F.col("n") >= FREQUENT))
+    # the least count that keeps to the bound, by classes of counts
+    of_class = F.floor(8 * F.log2("n")).cast("int")
+    least, room = None, MOST_FREQUENT
+    for r in often.groupBy(of_class.alias("k")).agg(F.count("*").alias("shingles")).orderBy(F.desc("k")).collect():
+        if (room := room - r["shingles"]) < 0:
+            break
+        least = r["k"]
+    found = often.where(of_class >= least if least is not None else F.lit(False)).toPandas()
+    shingle, n = found["shingle"].to_numpy(np.int64).view(_U), found["n"].to_numpy(np.int64)
     order = np.argsort(shingle)
     return shingle[order], n[order]
 
@@ -139,14 +150,13 @@ def _overlap(n_a, n_b):
     return F.ceil(total / (NUMERATOR + DENOMINATOR)) if not isinstance(total, int) else -(-total // (NUMERATOR + DENOMINATOR))
 
 
-def signatures(docs: DataFrame, doc_id: str, text: str, width: int = WIDTH) -> DataFrame:
+def signatures(docs: DataFrame, doc_id: str, text: str, often: Broadcast, width: int = WIDTH) -> DataFrame:
     """(doc_id, n_shingles, set_key, mins, whole, heads, bits, core) for each row.
 
-    ``mins``: SIGNATURES of the infrequent part, none if it is empty; an entry's place is part of
+    ``often``: what ``frequent_shingles`` gives. ``mins``: SIGNATURES of the infrequent part, none if it is empty; an entry's place is part of
     its value. Sets of which much is frequent have HUB_SIGNATURES of the ``whole`` and ``heads``,
     the first elements in the global order, as many as a link can leave unmatched and one more. ``core``: the frequent share.
     """
-    often = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, text, width))
     schema = "doc_id long, n_shingles long, set_key binary, mins array<long>, whole array<long>, heads array<long>, bits binary, core double"
     types = [pa.int64(), pa.int64(), pa.binary(), *[pa.list_(pa.int64())] * 3, pa.binary(), pa.float64()]
 
@@ -176,7 +186,7 @@ def signatures(docs: DataFrame, doc_id: str, text: str, width: int = WIDTH) -> D
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types[1:], strict=True))], [f.split()[0] for f in schema.split(", ")])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(scan, schema)
+    return rows.mapInArrow(lean(scan), schema)
 
 
 def _pairs_that_may_link(pairs: DataFrame, n_pairs: int, nodes: DataFrame) -> DataFrame:
@@ -191,7 +201,7 @@ def _pairs_that_may_link(pairs: DataFrame, n_pairs: int, nodes: DataFrame) -> Da
     a = nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
     b = nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
     like = a.join(small(pairs, n_pairs), "a").join(b, "b").where(DENOMINATOR * F.least("n_a", "n_b") >= NUMERATOR * F.greatest("n_a", "n_b"))
-    return like.select("a", "b", "n_a", "bits_a", "n_b", "bits_b").mapInArrow(bound, "a long, b long")
+    return like.select("a", "b", "n_a", "bits_a", "n_b", "bits_b").mapInArrow(lean(bound), "a long, b long")
 
 
 def _links(pairs: DataFrame, texts: DataFrame, width: int, per_hub: int = 256) -> DataFrame:
@@ -224,7 +234,7 @@ def _links(pairs: DataFrame, texts: DataFrame, width: int, per_hub: int = 256) -
             yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], ["a", "b"])
 
     met = found.repartition("a", "part").sortWithinPartitions("a", "part", "role")
-    return met.mapInArrow(settle, "a long, b long")
+    return met.mapInArrow(lean(settle), "a long, b long")
 
 
 def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
@@ -261,16 +271,30 @@ def _labelled(nodes: DataFrame, labels: tuple[DataFrame, int] | None) -> DataFra
     return nodes.drop("label").join(small(*labels), "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
+def _band(n: str = "n") -> Column:
+    return F.floor(F.log(n) / float(np.log(BAND))).cast("int")
+
+
+def _banded(keys: DataFrame) -> DataFrame:
+    """Rows with a signature ``sig`` under the ``key`` of its tile, of their own band and of the next one up."""
+    tiles = F.explode(F.array(F.struct(_band().alias("band"), F.lit(True).alias("own")), F.struct((_band() + 1).alias("band"), F.lit(False).alias("own")))).alias("tile")
+    return keys.select("*", tiles).withColumn("key", F.xxhash64("sig", "tile.band")).withColumn("own", F.col("tile.own")).drop("tile")
+
+
 def _shared(keys: DataFrame) -> DataFrame:
-    """The rows of ``keys`` (key, node, label, ...) whose key more than one component has, with the key's rows ``c``."""
-    dealt = keys.repartition("key")
-    tiles = dealt.groupBy("key").agg(F.count("*").alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key", "c")
-    return dealt.join(tiles, "key")
+    """The rows of ``keys`` (key, node, label, ...) whose key more than one component has, with the key's rows ``c``.
+
+    Keys are counted first, within tasks before the shuffle; the rows then meet the few that are
+    shared, beside a small side or in a join whose large keys Spark can split.
+    """
+    tiles = keys.groupBy("key").agg(F.count("*").alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi"), *([F.max("own").alias("held")] if "own" in keys.columns else []))
+    tiles, n = settled(tiles.where("lo < hi and held" if "own" in keys.columns else "lo < hi").select("key", "c"))
+    return keys.join(small(tiles, n), "key")
 
 
 def _hub_pairs(keys: DataFrame, turn: int) -> DataFrame:
     """(hub, member) of each tile; the hubs are the foremost of HUBS random parts of it."""
-    met, _ = settled(_shared(keys))
+    met, _ = settled(_shared(_banded(keys)).select("key", "node", "label", "core"))
     part = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(HUBS)).alias("part")
     hubs = met.groupBy("key", part).agg(F.min(F.struct(-F.col("core"), F.col("node"), F.col("label"))).alias("hub"))
     pairs = met.join(hubs.select("key", "hub"), "key").where("label <> hub.label")
@@ -279,17 +303,17 @@ def _hub_pairs(keys: DataFrame, turn: int) -> DataFrame:
 
 def _tile_pairs(keys: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs of different components that share a tile, and that sizes allow to link."""
-    size = F.struct(F.col("node"), F.col("label"), F.col("n"))
-    met, _ = settled(_shared(keys))
-    narrow = met.where(F.col("c") <= WIDE_TILE).select("key", size.alias("x"))
+    met, _ = settled(_shared(_banded(keys)).select("key", "sig", "c", F.struct("node", "label", "n", "own").alias("x")))
+    narrow = met.where(F.col("c") <= WIDE_TILE).select("key", "x")
     # a wide tile: its members meet again where they share one more signature
-    wide = met.where(F.col("c") > WIDE_TILE)
-    second = wide.join(nodes.select("node", "mins"), "node").select("key", "node", "label", "n", F.explode("mins").alias("other")).where("other <> key")
-    split = _shared(second.select(F.xxhash64("key", "other").alias("key"), "node", "label", "n")).select("key", size.alias("x"))
+    wide = met.where(F.col("c") > WIDE_TILE).select("key", "sig", "x", F.col("x.node").alias("node"))
+    second = wide.join(nodes.select("node", "mins"), "node").select("key", "sig", "x", F.explode("mins").alias("other")).where("other <> sig")
+    split = _shared(second.select(F.xxhash64("key", "other").alias("key"), "x.node", "x.label", "x.n", "x.own"))
+    split = split.select("key", F.struct("node", "label", "n", "own").alias("x"))
 
     def met_in(tiles: DataFrame) -> DataFrame:
         pairs = tiles.alias("p").join(tiles.alias("q"), "key")
-        near = (F.col("p.x.node") < F.col("q.x.node")) & (F.col("p.x.label") != F.col("q.x.label"))
+        near = (F.col("p.x.node") < F.col("q.x.node")) & (F.col("p.x.label") != F.col("q.x.label")) & (F.col("p.x.own") | F.col("q.x.own"))
         banded = DENOMINATOR * F.least("p.x.n", "q.x.n") >= NUMERATOR * F.greatest("p.x.n", "q.x.n")
         return pairs.where(near & banded).select(F.col("p.x.node").alias("a"), F.col("q.x.node").alias("b"))
 
@@ -300,16 +324,18 @@ def _prefix_pairs(heads: DataFrame) -> DataFrame:
     """Pairs of different components whose prefixes meet early enough, from (key, node, label, n, place).
 
     Of a pair the larger set probes with its prefix for any size, the smaller one is found by the
-    shorter prefix that partners no smaller than itself leave.
+    shorter prefix that partners no smaller than itself leave. Tiles are of an element and a band:
+    the larger set probes those of its own band and of the one below.
     """
-    met = _shared(heads).select("key", F.struct("n", "node", "label", "place").alias("x"))
-    probe, found = met.alias("p"), met.where(F.col("x.place") <= F.col("x.n") - _overlap(F.col("x.n"), F.col("x.n"))).alias("q")
+    met = _shared(heads).select("key", _band().alias("band"), F.struct("n", "node", "label", "place").alias("x"))
+    probe = met.select("key", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"), "x").alias("p")
+    found = met.where(F.col("x.place") <= F.col("x.n") - _overlap(F.col("x.n"), F.col("x.n"))).alias("q")
     p, q = F.col("p.x"), F.col("q.x")
     order = (q["n"] < p["n"]) | ((q["n"] == p["n"]) & (q["node"] < p["node"]))
     banded = DENOMINATOR * q["n"] >= NUMERATOR * p["n"]
     least = _overlap(p["n"], q["n"])
     early = (p["n"] - p["place"] >= least) & (q["n"] - q["place"] >= least)
-    same = (F.col("p.key") == F.col("q.key")) & (p["label"] != q["label"])
+    same = (F.col("p.key") == F.col("q.key")) & (F.col("p.band") == F.col("q.band")) & (p["label"] != q["label"])
     return probe.join(found, same & order & banded & early).select(q["node"].alias("a"), p["node"].alias("b"))
 
 
@@ -324,7 +350,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     no link of their own. Rows that repeat an id count as one document: it has the links of each of
     its texts. Other columns are ignored.
     """
-    rows, _ = settled(signatures(docs, doc_id, text, width), 4_000)
+    often = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, text, width))
+    rows, _ = settled(signatures(docs, doc_id, text, often, width), 4_000)
+    often.destroy()
     sets = rows.where("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), *[F.first(c).alias(c) for c in ("mins", "whole", "heads", "bits", "core")])
     sets, _ = settled(sets, 4_000)
     nodes = sets.drop("set_key")
@@ -336,14 +364,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     labels, found = None, None
     for turn in range(HUB_ROUNDS):
-        some = _labelled(nodes, labels).select("node", "label", "core", F.explode(F.concat(F.slice("mins", 1, HUB_SIGNATURES), "whole")).alias("key"))
+        some = _labelled(nodes, labels).select("node", "label", "n", "core", F.explode(F.concat(F.slice("mins", 1, HUB_SIGNATURES), "whole")).alias("sig"))
         new, n_new = tried(_hub_pairs(some, turn))
         if not n_new:
             break
         found = new if found is None else found.union(new)
         labels = settled(components(found))
     now = _labelled(nodes.select("node", "n", "mins", "heads"), labels)
-    by_signature = _tile_pairs(now.select("node", "label", "n", F.explode("mins").alias("key")), nodes)
+    by_signature = _tile_pairs(now.select("node", "label", "n", F.explode("mins").alias("sig")), nodes)
     by_prefix = _prefix_pairs(now.select("node", "label", "n", F.posexplode("heads").alias("place", "key")))
     last, n_last = tried(by_signature.union(by_prefix).distinct())
     if n_last:
