@@ -1,21 +1,24 @@
 """Toxicity: a support vector machine on a gap-weighted subsequence kernel with Nyström landmarks.
 
 The kernel compares words: common subsequences of three letters, each weighted by ``DECAY`` for
-every letter that it skips, spanning at most ``SPAN`` letters. An insult with letters put in
-between, or with an ending of its own, still shares most of its subsequences. Punctuation inside
-a word is passed over and spelled-out letters are joined, so ``i.d-i*o t`` forms are seen too.
-
-Beginning and end of a word count as letters. Landmarks are the words or word beginnings that the
-labelled sample ties to label 1. A document
-is, for each landmark, the most that any of its words holds of it; the Nyström map (the inverse
-square root of the landmarks' kernel matrix) turns that into features for a linear machine with
-squared hinge loss, whose margin a logistic curve turns into a score.
+every letter that it skips, spanning at most ``SPAN`` letters, normalised so that a word's kernel
+with itself is 1, and raised to ``POWER`` (a product of kernels is a kernel). An insult with letters
+put in between, or with an ending of its own, still shares most of its subsequences. Punctuation
+inside a word is passed over and spelled-out letters are joined, so ``i.d-i*o t`` forms are seen too.
+
+Beginning and end of a word count as letters. Landmarks are words or word beginnings that the
+labelled sample ties to label 1, and words of label 0 that look most like those. The Nyström map,
+the inverse square root of the landmarks' kernel matrix, turns the kernel values of a word and of
+its beginnings into features; a document has of each feature the most that any of its words has. A
+linear machine with squared hinge loss weighs them, and a logistic curve turns its margin into a score.
+Each labelled text is learnt from twice, as it is and with a letter put into its longer words.
 """
 
 from __future__ import annotations
 
 import hashlib
 import pickle
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -31,10 +34,11 @@ from .jaccard import near_duplicates
 FOLDS, HELD_OUT = 5, 0
 #: Bounds of the labelled sample, by class.
 MOST_TOXIC, MOST_CLEAN = 2_000, 4_000
-LANDMARKS, CANDIDATES = 64, 600
-SPAN, DECAY, LONGEST, STEP = 5, 0.6, 14, 4
-#: A word that holds less of a landmark than the first counts as holding none, more than the second as holding all.
-FLOOR, CEILING = 0.45, 0.85
+#: Landmarks tied to label 1, those of label 0 beside them, and how many forms are looked at for either.
+LANDMARKS, CLEAN_LANDMARKS, CANDIDATES = 64, 8, 600
+SPAN, DECAY, LONGEST, STEP, POWER = 5, 0.6, 14, 4, 2
+#: Kernel values below this count as 0, as those of most words do.
+LEAST = 0.16
 SHORTEST = 4
 #: Twice the log likelihood ratio that a landmark's tie to label 1 needs (odds of about 1 in 10^6 by
 #: chance); where nothing reaches it, the FALLBACK best are taken.
@@ -83,6 +87,11 @@ def _portions(word: str) -> list[str]:
     return [word] if len(word) <= LONGEST else [word[k : k + LONGEST] for k in range(0, len(word) - STEP, STEP)]
 
 
+def _shorter(word: str) -> list[str]:
+    """Its beginnings, which landmarks that are beginnings are compared with."""
+    return [f"^{word[:k]}" for k in range(SHORTEST, min(len(word), 11), 2)]
+
+
 def _symbols(words: list[str]) -> np.ndarray:
     codes = np.array(words, f"U{LONGEST}").view(np.uint32).reshape(len(words), LONGEST).astype(np.int64)
     kinds = [codes == 0, (codes >= 97) & (codes <= 122), (codes >= 48) & (codes <= 57), codes == ord("^"), codes == ord("$")]
@@ -96,8 +105,25 @@ def _triples(symbols: np.ndarray) -> Iterator[tuple[np.ndarray, float]]:
         yield np.where((x > 0) & (y > 0) & (z > 0), (x << 12) | (y << 6) | z, 0), weight
 
 
+def _own(symbols: np.ndarray) -> np.ndarray:
+    """Each word's unnormalised kernel with itself: repeats of a subsequence add up before they are squared."""
+    parts = [(codes, np.full(codes.shape[1], weight)) for codes, weight in _triples(symbols)]
+    codes, weights = np.concatenate([c for c, _ in parts], axis=1), np.concatenate([w for _, w in parts])
+    order = np.argsort(codes, axis=1, kind="stable")
+    codes = np.take_along_axis(codes, order, axis=1)
+    weights = np.where(codes > 0, weights[order], 0.0)
+    first = np.ones(codes.shape, bool)
+    first[:, 1:] = codes[:, 1:] != codes[:, :-1]
+    at = np.flatnonzero(first)
+    return np.bincount(at // codes.shape[1], np.add.reduceat(weights.ravel(), at) ** 2, len(symbols))
+
+
+#: Of three letters between two marks, or four behind one.
+_SHORTEST_NORM = float(np.sqrt(_own(_symbols(["^abc$"]))[0]))
+
+
 class Landmarks:
-    """What words hold of the landmarks."""
+    """The kernel's values with the landmarks, and the Nyström features of words and texts."""
 
     def __init__(self, words: list[str]):
         self.words = words
@@ -113,41 +139,62 @@ class Landmarks:
             self.index[code] = k
             for j, w in of.items():
                 self.weights[k, j] = w
-        self.squares = (self.weights.astype(np.float64) ** 2).sum(axis=0)
+        self.norms = np.sqrt((self.weights.astype(np.float64) ** 2).sum(axis=0))
+        values, vectors = np.linalg.eigh(self.kernel())
+        self.root = (vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T).astype(np.float32)
         self.seen, self.held = np.zeros(0, np.uint64), {}
 
     def kernel(self) -> np.ndarray:
-        """The landmarks' normalised kernel matrix."""
+        """The landmarks' kernel matrix."""
         g = self.weights.T.astype(np.float64) @ self.weights
-        return g / np.sqrt(np.outer(self.squares, self.squares))
+        return (g / np.outer(self.norms, self.norms)) ** POWER
 
-    def share(self, words: list[str]) -> np.ndarray:
-        """For each word and landmark: kernel over the landmark's own, from FLOOR to CEILING as 0 to 1."""
-        symbols = _symbols(words)
-        known = sum((self.index[codes] > 0).sum(axis=1) for codes, _ in _triples(symbols))
-        out = np.zeros((len(words), len(self.words)), np.float32)
-        some = np.flatnonzero(known >= 3)
+    def _products(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the words that can have a value of LEAST or more, and their unnormalised kernels with the landmarks.
+
+        The norm of a word, and of each of its beginnings that are compared, is no less than that of
+        the shortest such string without repeats.
+        """
+        some = np.flatnonzero(sum((self.index[codes] > 0).sum(axis=1) for codes, _ in _triples(symbols)) >= 3)
+        sums = np.zeros((len(some), len(self.words)), np.float32)
         if len(some):
-            sums = np.zeros((len(some), len(self.words)), np.float32)
             for codes, weight in _triples(symbols[some]):
                 at = self.index[codes]
                 for column in range(at.shape[1]):
                     hit = np.flatnonzero(at[:, column])
                     sums[hit] += np.float32(weight) * self.weights[at[hit, column]]
-            out[some] = np.clip((sums / self.squares - FLOOR) / (CEILING - FLOOR), 0, 1)
+        enough = (sums >= np.float32(0.999 * LEAST ** (1 / POWER)) * _SHORTEST_NORM * self.norms).any(axis=1)
+        return some[enough], sums[enough]
+
+    def values(self, words: list[str]) -> np.ndarray:
+        """The kernel of each word, of three letters or more, and landmark; 0 below LEAST."""
+        symbols = _symbols(words)
+        out = np.zeros((len(words), len(self.words)), np.float32)
+        some, sums = self._products(symbols)
+        if len(some):
+            found = (sums / np.outer(np.sqrt(_own(symbols[some])), self.norms)) ** POWER
+            out[some] = np.where(found >= LEAST, found, 0)
         return out
 
+    def features(self, words: list[str]) -> np.ndarray:
+        return self.values(words) @ self.root
+
     def _learn(self, words: list[str], hashes: list[int]) -> None:
         parts = [(h, p) for w, h in zip(words, hashes, strict=True) for p in _portions(w)]
         if not parts:
             return
-        shares = self.share([p for _, p in parts])
-        for k in np.flatnonzero(shares.any(axis=1)):
+        close = {parts[k][0] for k in self._products(_symbols([p for _, p in parts]))[0].tolist()}
+        parts = [(h, p) for h, p in parts if h in close] + [(h, p) for w, h in zip(words, hashes, strict=True) if h in close for p in _shorter(w)]
+        if not parts:
+            return
+        values = self.values([p for _, p in parts])
+        some = np.flatnonzero(values.any(axis=1))
+        for k, x in zip(some.tolist(), values[some] @ self.root, strict=True):
             h = parts[k][0]
-            self.held[h] = np.maximum(self.held[h], shares[k]) if h in self.held else shares[k]
+            self.held[h] = np.maximum(self.held.get(h, 0), x)
 
     def pooled(self, column: pa.Array) -> np.ndarray:
-        """For each text and landmark, the most that any of its words holds."""
+        """For each text and feature, the most that any of its words has, or 0."""
         out = np.zeros((len(column), len(self.words)), np.float32)
         for lo, _, data, starts, ends, borders in _words(column):
             hashes = T.span_hashes(data, starts, ends)
@@ -170,8 +217,8 @@ class Landmarks:
                 for row, h in set(zip(rows.tolist(), hashes[places].tolist(), strict=True)):
                     np.maximum(out[row], self.held[h], out=out[row])
             for row, word in _spelled(data, starts, ends, borders):
-                for share in self.share(_portions(word)):
-                    np.maximum(out[lo + row], share, out=out[lo + row])
+                for x in self.features(_portions(word) + _shorter(word)):
+                    np.maximum(out[lo + row], x, out=out[lo + row])
         return out
 
 
@@ -227,6 +274,20 @@ def choose(candidates: list[tuple[str, int, float]], most: int = LANDMARKS) -> l
     return [z for z, _ in chosen]
 
 
+def disguised(text: str) -> str:
+    """The text with a letter put into the middle of each word of five letters or more: a second example of its label."""
+    return re.sub(r"\w{5,}", lambda m: f"{m[0][: len(m[0]) // 2]}x{m[0][len(m[0]) // 2 :]}", text)
+
+
+def lookalikes(names: list[str], marks: list[str], most: int = CLEAN_LANDMARKS) -> list[str]:
+    """Of the words ``names`` those that are most like one of ``marks``."""
+    if not names:
+        return []
+    best = Landmarks(marks).values(names).max(axis=1)
+    order = sorted(range(len(names)), key=lambda k: (-best[k], names[k]))
+    return [names[k] for k in order[:most] if best[k] > 0]
+
+
 def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     """Weights (bias last) of a linear machine with squared hinge loss, by Newton steps."""
     x = np.hstack([x, np.ones((len(x), 1))])
@@ -287,7 +348,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     ids = marks.where("y = 1").orderBy(*order).limit(MOST_TOXIC).union(marks.where("y = 0").orderBy(*order).limit(MOST_CLEAN))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    sample = cut(rows.join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]))
+    # of a repeated id the text of the least digest, so that reruns agree
+    sample = cut(rows.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y").agg(F.min_by("text", F.md5(F.col("text").cast("binary"))).alias("text")))
     # copies of one document say no more than it does: words are counted once a group of near copies
     groups = near_duplicates(sample).select("doc_id", F.col("component_id").alias("copies"))
     sample = cut(sample.join(groups, "doc_id").select("text", "y", "copies"))
@@ -299,28 +361,30 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         return F.when(k > 0, k * F.log(p)).otherwise(0.0) + F.when(k < n, (n - k) * F.log1p(-p)).otherwise(0.0)
 
     ratio = 2 * (likelihood(t, F.lit(n1), p1) + likelihood(c, F.lit(n0), p0) - likelihood(t, F.lit(n1), p) - likelihood(c, F.lit(n0), p))
-    weighed = _counts(sample).where((t >= 2) & (p1 > 4 * p0)).select("name", "toxic", ratio.alias("weight"))
+    counted = cut(_counts(sample))
+    weighed = counted.where((t >= 2) & (p1 > 4 * p0)).select("name", "toxic", ratio.alias("weight"))
     best = [tuple(r) for r in weighed.orderBy(F.desc("weight"), F.desc(F.length("name")), "name").limit(CANDIDATES).collect()]
     best = [x for x in best if x[2] >= EVIDENCE] or best[:FALLBACK]
     words = choose(best)
     if not words:
         return Model([], np.zeros(1), 0.0, -30.0)
+    # words of label 0, frequent ones first, of which label 1 has no more than its share
+    usual = counted.where((c >= 2) & (p0 >= p1) & F.col("name").endswith("$")).orderBy(F.desc("clean"), "name").limit(10 * CANDIDATES).select("name").collect()
+    words += lookalikes([r["name"] for r in usual], words)
 
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Landmarks(words)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(own.pooled(batch.column(0)).tolist(), pa.list_(pa.float32())), batch.column(1)], ["x", "y"])
+            for texts in (batch.column(0), pa.array([disguised(t) for t in batch.column(0).to_pylist()], pa.string())):
+                yield pa.RecordBatch.from_arrays([pa.array(own.pooled(texts).tolist(), pa.list_(pa.float32())), batch.column(1)], ["x", "y"])
 
     got = sample.select("text", "y").mapInArrow(lean(pool), "x array<float>, y int").toPandas()
     x, y = np.array(got["x"].tolist(), np.float64), got["y"].to_numpy()
-    values, vectors = np.linalg.eigh(Landmarks(words).kernel())
-    nystroem = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
     weight = np.where(y > 0, n_of[1] / max(1, (y > 0).sum()), n_of[0] / max(1, (y <= 0).sum()))
     weight = weight / weight.mean()
-    v = _machine(x @ nystroem, y, weight)
-    folded = np.append(nystroem @ v[:-1], v[-1])
-    slope, intercept = _logistic(x @ folded[:-1] + folded[-1], y, weight)
-    return Model(words, folded, slope, intercept)
+    v = _machine(x, y, weight)
+    slope, intercept = _logistic(x @ v[:-1] + v[-1], y, weight)
+    return Model(words, v, slope, intercept)
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -83,12 +83,40 @@ def test_kernel_counts_gapped_subsequences():
         x, y = features(a), features(b)
         return sum(v * y.get(u, 0) for u, v in x.items())
 
-    marks = toxicity.Landmarks(["^grobian$", "^schuft"])
+    def value(a, b):
+        found = (by_hand(a, b) / np.sqrt(by_hand(a, a) * by_hand(b, b))) ** toxicity.POWER
+        return found if found >= toxicity.LEAST else 0.0
+
+    marks = toxicity.Landmarks(["^grobian$", "^schuft", "^anananas$"])
     g = marks.kernel()
-    assert abs(g[0, 0] - 1) < 1e-6
-    for word in ("^grobian$", "^groxbian$", "^sschuffft$", "^plain$"):
-        want = [np.clip((by_hand(word, z) / by_hand(z, z) - toxicity.FLOOR) / (toxicity.CEILING - toxicity.FLOOR), 0, 1) for z in marks.words]
-        assert np.allclose(marks.share([word])[0], want, atol=1e-5)
+    assert np.allclose(np.diag(g), 1) and np.allclose(g, g.T) and np.allclose(marks.root @ g @ marks.root, np.eye(3), atol=1e-4)
+    words = ["^grobian$", "^groxbian$", "^sschuffft$", "^schuf", "^plain$", "^ananas$", "^grob"]
+    got = marks.values(words)
+    assert np.allclose(got, [[value(w, z) for z in marks.words] for w in words], atol=1e-5) and got.any(axis=1).sum() >= 5
+    # a text has of each feature the most that a word or one of its beginnings has
+    x = marks.pooled(pa.array(["a plain groxbian", "plain", "schuftig groxbian", None]))
+    one = [np.maximum(marks.features(toxicity._portions(w) + toxicity._shorter(w)).max(axis=0), 0) for w in ("groxbian", "schuftig")]
+    assert np.allclose(x, [one[0], one[0] * 0, np.maximum(*one), one[0] * 0], atol=1e-5)
+
+
+def test_lookalikes():
+    assert toxicity.lookalikes(["^grobianer$", "^plain$", "^grobian$"], ["^grobian$"], 2) == ["^grobian$", "^grobianer$"]
+    assert toxicity.lookalikes([], ["^grobian$"]) == []
+
+
+def test_repeated_rows_and_ids(spark, docs):
+    df, labels, _ = labelled(spark, docs, insulting, "toxic", 5)
+    twice = df.union(df.where("doc_id % 7 = 0")).union(docs([(7, "another text of that id", "s")]))
+    for module in (toxicity, quality):
+        model = module.fit(twice, labels)
+        rows = module.score(twice, model).collect()
+        assert len(rows) == twice.count()
+        alike = {}
+        for r in rows:
+            alike.setdefault(r["doc_id"], set()).add(r["score"])
+        assert all(len(v) == 1 for k, v in alike.items() if k != 7)
+    again = toxicity.fit(twice.repartition(5), labels)
+    assert again.words == toxicity.fit(twice, labels).words
 
 
 def messy(rnd, y):
@@ -107,6 +135,34 @@ def test_quality(spark, docs):
     assert sum(r["predicted"] == truth[r["doc_id"]] for r in test) >= 0.95 * len(test)
 
 
+def test_quality_against_a_fit_over_rows(spark, docs):
+    """Ridge on the rows of one hash, calibration on those of the other, both by hand."""
+    df, labels, truth = labelled(spark, docs, messy, "quality", quality.FOLDS)
+    model = quality.fit(df.repartition(5), labels)
+    text = {r["doc_id"]: r["text"] for r in df.collect()}
+    used = [k for k in truth if zlib.crc32(str(k).encode()) % 4 != 2]
+    dealt = {r["k"]: r["last"] for r in spark.createDataFrame([(k,) for k in used], "k long").selectExpr("k", "pmod(xxhash64(7, k), 4) = 0 AS last").collect()}
+    x, y = quality.statistics(pa.array([text[k] for k in used])), np.array([truth[k] for k in used], float)
+    last = np.array([dealt[k] for k in used])
+    mean, spread = x[~last].mean(axis=0), np.sqrt(np.maximum(x[~last].var(axis=0), 1e-8))
+    z = quality.fourier((x - mean) / spread)
+    n = (~last).sum()
+    weights = np.linalg.solve(z[~last].T @ z[~last] + quality.RIDGE * n * np.eye(z.shape[1]) / quality.FEATURES, z[~last].T @ y[~last])
+    assert np.allclose(model.mean, mean) and np.allclose(model.raw(x), z @ weights, atol=1e-5)
+    at = np.clip((z[last] @ weights - quality.LOW) / (quality.HIGH - quality.LOW) * quality.BINS, 0, quality.BINS - 1).astype(int)
+    bins = sorted(set(at.tolist()))
+    shares, counts = [y[last][at == b].mean() for b in bins], [(at == b).sum() for b in bins]
+    # the monotone fit as the largest of the least means
+    fit = [max(min(np.average(shares[i : j + 1], weights=counts[i : j + 1]) for j in range(k, len(bins))) for i in range(k + 1)) for k in range(len(bins))]
+    assert np.allclose(model.levels, fit, atol=1e-6)
+
+
+def test_sums_in_several_levels(spark, monkeypatch):
+    monkeypatch.setattr(quality, "FAN_IN", 3)
+    rows = spark.range(0, 100, 1, 20)
+    assert quality._sum(rows, lambda batches: np.array([float(sum(sum(b.column(0).to_pylist()) for b in batches)), 1.0])).tolist() == [4950.0, 20.0]
+
+
 def test_statistics_of_odd_texts():
     found = quality.statistics(pa.array([None, "", " \n ", "A b, A b, é 12!", "x"]))
     assert np.isfinite(found).all() and not found[:3].any() and found[3].any()
