@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from .common import cut, lean, salts
 
 BITS, K, EVERY = 64, 10, 50
+#: Parts in which a query's hits are ranked before they meet.
+SALTS = 32
 
 
 def code_of(vector: Column, bits: int = BITS) -> Column:
@@ -96,7 +98,10 @@ def nearest(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding
         found = met.select("q", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).cast("long").alias("distance"), "code")
         # the reach nearest codes hold the reach nearest ids
         # no id of the reach nearest can belong to a code that this many nearer ones precede
-        near = found.withColumn("r", F.rank().over(Window.partitionBy("q").orderBy("distance"))).where(F.col("r") <= reach)
+        # (first among the hits of each salt: a query that many codes are near to is not gathered whole)
+        part = found.withColumn("salt", F.pmod(F.xxhash64("code"), F.lit(SALTS)))
+        part = part.withColumn("r", F.rank().over(Window.partitionBy("q", "salt").orderBy("distance"))).where(F.col("r") <= reach)
+        near = part.withColumn("r", F.rank().over(Window.partitionBy("q").orderBy("distance"))).where(F.col("r") <= reach)
         hits = near.join(codes, "code").select("q", "distance", F.explode("ids").alias("id"))
         hits = hits if best is None else hits.union(best.join(open_codes, "q", "left_semi").select("q", "distance", "id")).distinct()
         best = cut(hits.withColumn("r", F.row_number().over(top)).where(F.col("r") <= reach))
