@@ -24,16 +24,15 @@ Batches = Iterator[pa.RecordBatch]
 
 
 def _memory_given_back() -> Callable[[], None]:
-    """Blocks of 1 MB and more go back to the system when freed, the others when the function is called."""
+    """A function that returns what this process has freed to the system."""
     try:
-        libc = ctypes.CDLL("libc.so.6")
-        libc.mallopt(ctypes.c_int(-3), ctypes.c_int(1 << 20))  # M_MMAP_THRESHOLD, which glibc else raises by itself
+        trim = ctypes.CDLL("libc.so.6").malloc_trim
     except (OSError, AttributeError):  # another C library
         return pa.default_memory_pool().release_unused
 
     def give() -> None:
         pa.default_memory_pool().release_unused()
-        libc.malloc_trim(0)
+        trim(0)
 
     return give
 
