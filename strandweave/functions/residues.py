@@ -81,21 +81,57 @@ def p_distance(a: Column, b: Column) -> Column:
 
 
 def tree_model(datatype: Column, model: Column) -> Column:
-    """The model name of one tree tool for the options of another."""
+    """The model name of one tree tool for the options of another. The names of both."""
     gamma, wag = model.contains("-gamma"), model.contains("-wag")
     protein = F.when(wag & gamma, "PROTGAMMAWAGF").when(wag, "PROTCATWAGF").when(gamma, "PROTGAMMAJTTF").otherwise("PROTCATJTTF")
     return F.when(F.upper(datatype) == "PROTEIN", protein).when(gamma, "GTRGAMMA").otherwise("GTRCAT")
 
 
-def propagate_gaps(guide: Column, target: Column) -> Column:
-    """``target`` spread over ``guide``: a gap where the guide has one, else the target's next symbol."""
-    start = F.struct(F.lit(1).alias("k"), F.array().cast("array<string>").alias("out"))
+def symbols(seq: Column) -> Column:
+    """The symbols of a row as an array; empty for an empty row, null for null."""
+    return F.filter(F.split(seq, ""), lambda ch: ch != "")
+
+
+def places_of(chars: Column, wanted) -> Column:
+    """Ascending 0-based places of the symbols for which ``wanted(symbol)`` holds."""
+    return F.filter(F.transform(chars, lambda ch, i: F.when(wanted(ch), i)), lambda i: i.isNotNull())
+
+
+def _before(places: Column) -> Column:
+    """Each place's predecessor; -1 before the first."""
+    return F.concat(F.array(F.lit(-1)), F.slice(places, 1, F.greatest(F.size(places) - 1, F.lit(0))))
+
+
+def placed(chars: Column, places: Column, width: Column) -> Column:
+    """The symbols at ascending ``places``, gaps elsewhere, ``width`` in all.
 
-    def step(acc: Column, ch: Column) -> Column:
-        gap = ch == GAP
-        return F.struct(F.when(gap, acc["k"]).otherwise(acc["k"] + 1).alias("k"), F.array_append(acc["out"], F.when(gap, ch).otherwise(F.substring(target, acc["k"], F.lit(1)))).alias("out"))
+    One pass over the arrays. Places without a symbol are gaps, symbols without a place go.
+    """
+    parts = F.transform(F.arrays_zip(chars.alias("s"), places.alias("p"), _before(places).alias("b")), lambda x: F.concat(F.repeat(F.lit(GAP), x["p"] - x["b"] - 1), x["s"]))
+    return F.rpad(F.array_join(parts, ""), width, GAP)
+
+
+def flags(places: Column) -> Column:
+    """For ascending places, an array that is true at each of them and false between; it ends with the last."""
+    parts = F.transform(F.arrays_zip(places.alias("p"), _before(places).alias("b")), lambda x: F.concat(F.array_repeat(F.lit(False), x["p"] - x["b"] - 1), F.array(F.lit(True))))
+    return F.flatten(F.filter(parts, lambda x: x.isNotNull()))
+
+
+def gap_runs(seq: Column) -> Column:
+    """Runs of gaps as an array of (first, last), both included, from 0."""
+    gaps = places_of(symbols(seq), lambda ch: ch == GAP)
+    after = F.slice(gaps, 2, F.greatest(F.size(gaps), F.lit(0)))
+    ends = F.filter(F.arrays_zip(gaps.alias("p"), after.alias("n")), lambda x: x["n"].isNull() | (x["n"] > x["p"] + 1))
+    starts = F.filter(F.arrays_zip(gaps.alias("p"), F.concat(F.array(F.lit(-2)), F.slice(gaps, 1, F.greatest(F.size(gaps) - 1, F.lit(0)))).alias("b")), lambda x: x["p"] > x["b"] + 1)
+    return F.transform(F.arrays_zip(starts.alias("a"), ends.alias("z")), lambda x: F.struct(x["a"]["p"].alias("first"), x["z"]["p"].alias("last")))
+
+
+def propagate_gaps(guide: Column, target: Column) -> Column:
+    """``target`` spread over ``guide``: a gap where the guide has one, else the target's next symbol.
 
-    return F.array_join(F.aggregate(F.split(guide, ""), start, step)["out"], "")
+    The result is as long as the guide: a shorter target ends in gaps, a longer one is cut.
+    """
+    return placed(symbols(target), places_of(symbols(guide), lambda ch: ch != GAP), F.length(guide))
 
 
 def impose_structure(primary: Column, structure: Column) -> Column:

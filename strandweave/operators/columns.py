@@ -1,10 +1,16 @@
-"""Column statistics, masks and the sparse form of alignments (taxon, seq)."""
+"""Column statistics, masks and the sparse form of alignments (taxon, seq).
+
+Everywhere: a null row counts as one without symbols and stays null; rows that repeat a taxon are
+rows like others; rows shorter than the widest one have no symbol in the columns behind their end;
+columns other than taxon and seq do not come back. An empty alignment has no columns.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandweave.functions import residues as R
 from strandweave.functions.residues import GAP
 
 
@@ -15,14 +21,17 @@ def cells(aln: DataFrame, also: str = "") -> DataFrame:
 
 
 def width(aln: DataFrame) -> DataFrame:
+    """(width) of the longest row, one row; 0 where there is none."""
     return aln.agg(F.coalesce(F.max(F.length("seq")), F.lit(0)).alias("width"))
 
 
-def column_counts(aln: DataFrame) -> DataFrame:
-    """(col, n) residues of every column, those without any too."""
-    every = width(aln).where("width > 0").select(F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("col"))
-    counted = cells(aln).groupBy("col").agg(F.count("*").alias("n"))
-    return every.join(counted, "col", "left").select("col", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+def column_counts(aln: DataFrame, *by: str) -> DataFrame:
+    """(*by, col, n) residues of every column, those without any too; by groups of rows if ``by`` is given.
+
+    One pass over the rows, summed within tasks before the shuffle.
+    """
+    spread = aln.select(*by, F.posexplode(F.split("seq", "")).alias("col", "ch")).where("ch <> ''")
+    return spread.groupBy(*by, "col").agg(F.count_if(F.col("ch") != GAP).alias("n"))
 
 
 def gap_counts(aln: DataFrame) -> DataFrame:
@@ -38,63 +47,68 @@ def kept_columns(aln: DataFrame, least: Column | float) -> DataFrame:
     return column_counts(aln).where(F.col("n") > least - 1).select("col", (F.row_number().over(Window.orderBy("col")) - 1).alias("new_col"))
 
 
-def rebuild(found: DataFrame, taxa: DataFrame, columns: DataFrame) -> DataFrame:
-    """(taxon, seq) of ``columns`` wide rows from (taxon, col, ch); taxa without cells are all gaps.
+def lower_case_columns(aln: DataFrame) -> DataFrame:
+    """(col): columns in which some row has a letter between ``a`` and ``z``, those two not counted."""
+    return cells(aln).where("ch > 'a' and ch < 'z'").select("col").distinct()
 
-    ``columns`` is one row (width); a taxon's cells meet as one map, so its row must fit a task.
-    """
-    rows = found.groupBy("taxon").agg(F.map_from_entries(F.collect_list(F.struct("col", "ch"))).alias("at"))
-    met = taxa.select("taxon").join(rows, "taxon", "left").crossJoin(F.broadcast(columns))
-    places = F.when(F.col("width") > 0, F.sequence(F.lit(0), F.col("width") - 1)).otherwise(F.array().cast("array<int>"))
-    text = F.array_join(F.transform(places, lambda i: F.coalesce(F.try_element_at("at", i), F.lit(GAP))), "")
-    return met.select("taxon", text.alias("seq"))
+
+def _with_flags(aln: DataFrame, kept: DataFrame) -> DataFrame:
+    chosen = kept.agg(R.flags(F.array_sort(F.collect_set("col"))).alias("__kept"))
+    return aln.crossJoin(F.broadcast(chosen))
 
 
 def mask_columns(aln: DataFrame, kept: DataFrame) -> DataFrame:
-    """The alignment with only the columns ``kept`` (col, new_col). Rows keep their order of columns,
-    so one sorted list of columns is sent to the rows and nothing is exploded."""
-    chosen = kept.agg(F.array_sort(F.collect_list("col")).alias("cols"))
-    text = F.array_join(F.transform("cols", lambda c: F.substring(F.col("seq"), c + 1, F.lit(1))), "")
-    return aln.crossJoin(F.broadcast(chosen)).select("taxon", text.alias("seq"))
+    """The alignment with only the columns ``kept`` (col, ...). Rows keep their order of columns, so
+    one array of a flag per column is sent to the rows; nothing is exploded."""
+    text = F.array_join(F.filter(F.split("seq", ""), lambda ch, i: F.coalesce(F.get("__kept", i), F.lit(False))), "")
+    return _with_flags(aln, kept).select("taxon", text.alias("seq"))
 
 
 def mask_sites(aln: DataFrame, least: float) -> DataFrame:
-    return mask_columns(aln, kept_columns(aln, least))
+    """Without the columns that have fewer than ``least`` residues; a fractional bound masks counts of at most least - 1."""
+    kept = column_counts(aln).where(F.col("n") > float(least) - 1)
+    return mask_columns(aln, kept)
 
 
 def mask_sites_ratio(aln: DataFrame, ratio: float) -> DataFrame:
     """Keeps columns with residues in at least ceil(ratio x rows) rows."""
     n = aln.agg(F.ceil(F.lit(ratio) * F.count("*")).alias("least"))
-    counted = column_counts(aln).crossJoin(F.broadcast(n))
-    kept = counted.where(F.col("n") > F.col("least") - 1).select("col", F.lit(0).alias("new_col"))
-    return mask_columns(aln, kept)
+    return mask_columns(aln, column_counts(aln).crossJoin(F.broadcast(n)).where(F.col("n") > F.col("least") - 1))
+
+
+def mask_unaligned_sites(aln: DataFrame) -> DataFrame:
+    """Without the columns that ``lower_case_columns`` finds."""
+    gone = lower_case_columns(aln)
+    return mask_columns(aln, column_counts(aln).join(gone, "col", "left_anti"))
+
+
+def mask_loci(loci: DataFrame, least: float) -> DataFrame:
+    """(locus, taxon, seq): each locus without its own columns of fewer than ``least`` residues."""
+    counts = column_counts(loci, "locus").where(F.col("n") > float(least) - 1)
+    kept = counts.groupBy(F.col("locus").alias("__locus")).agg(R.flags(F.array_sort(F.collect_set("col"))).alias("__kept"))
+    met = loci.join(F.broadcast(kept), F.col("locus").eqNullSafe(F.col("__locus")), "left")
+    text = F.array_join(F.filter(F.split("seq", ""), lambda ch, i: F.coalesce(F.get("__kept", i), F.lit(False))), "")
+    return met.select("locus", "taxon", text.alias("seq"))
 
 
 def sparse(aln: DataFrame) -> DataFrame:
     """(taxon, residues, pos): symbols other than gaps and missing marks, and their columns."""
-    symbols = F.transform(F.split("seq", ""), lambda ch, i: F.struct(i.alias("i"), ch.alias("ch")))
-    kept = F.filter(symbols, lambda x: ~x["ch"].isin("-", "?", ""))
-    return aln.select("taxon", kept.alias("k")).select("taxon", F.array_join(F.col("k.ch"), "").alias("residues"), F.col("k.i").alias("pos"))
+    found = F.filter(F.transform(F.split("seq", ""), lambda ch, i: F.struct(i.alias("i"), ch.alias("ch"))), lambda x: ~x["ch"].isin(GAP, R.MISSING, ""))
+    return aln.select("taxon", found.alias("k")).select("taxon", F.array_join(F.col("k.ch"), "").alias("residues"), F.col("k.i").alias("pos"))
 
 
 def dense(rows: DataFrame, columns: int | Column) -> DataFrame:
     """The inverse of ``sparse``, padded to ``columns``."""
     columns = F.lit(columns) if isinstance(columns, int) else columns
-    at = F.map_from_arrays("pos", F.when(F.length("residues") > 0, F.split("residues", "")).otherwise(F.array().cast("array<string>")))
-    places = F.when(columns > 0, F.sequence(F.lit(0), columns - 1)).otherwise(F.array().cast("array<int>"))
-    text = F.array_join(F.transform(places, lambda i: F.coalesce(F.try_element_at("at", i), F.lit(GAP))), "")
-    return rows.withColumn("at", at).select("taxon", text.alias("seq"))
+    return rows.select("taxon", R.placed(R.symbols(F.col("residues")), F.col("pos"), columns).alias("seq"))
 
 
 def gap_runs(aln: DataFrame) -> DataFrame:
-    """(taxon, first, last) of each run of gaps, both included, from 0."""
-    spread = aln.select("taxon", F.posexplode(F.split("seq", "")).alias("col", "ch")).where(F.col("ch") == GAP)
-    own = Window.partitionBy("taxon").orderBy("col")
-    islands = spread.select("taxon", "col", (F.col("col") - F.row_number().over(own)).alias("island"))
-    return islands.groupBy("taxon", "island").agg(F.min("col").alias("first"), F.max("col").alias("last")).drop("island")
+    """(taxon, first, last) of each run of gaps, both included, from 0; row by row, without a shuffle."""
+    return aln.select("taxon", F.explode(R.gap_runs(F.col("seq"))).alias("__run")).select("taxon", "__run.first", "__run.last")
 
 
 def residue_ordinals(aln: DataFrame) -> DataFrame:
-    """(taxon, col, ch, ordinal): each residue's place among its row's residues."""
-    own = Window.partitionBy("taxon").orderBy("col")
-    return cells(aln).select("taxon", "col", "ch", (F.row_number().over(own) - 1).alias("ordinal"))
+    """(taxon, col, ch, ordinal): each residue's place among its row's residues; row by row."""
+    found = F.filter(F.transform(F.split("seq", ""), lambda ch, i: F.struct(i.alias("col"), ch.alias("ch"))), lambda x: ~x["ch"].isin(GAP, ""))
+    return aln.select("taxon", F.posexplode(found).alias("ordinal", "__at")).select("taxon", "__at.col", "__at.ch", "ordinal")

@@ -4,12 +4,26 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder that ``spark.checkpoint.dir`` names; one is set only where none is, as in tests."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(sc: SparkContext) -> str:
+    """The folder that ``spark.checkpoint.dir`` names, or the one the application has set.
+
+    Only on a local master, where all tasks share the machine, is one made; elsewhere its lack raises.
+    """
+    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not named:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="strandweave-")
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="strandweave-"))
+        sc.setCheckpointDir(named)
+    return named
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A checkpoint in the shared folder."""
+    shared_folder(df.sparkSession.sparkContext)
     return df.checkpoint()

@@ -1,60 +1,83 @@
-"""Merging alignments: by transitivity over shared taxa, locus by locus, and by union."""
+"""Merging alignments: by transitivity over shared taxa, locus by locus, and by union.
+
+Everywhere: columns other than those named do not come back; a row without a taxon is shared with
+none and stays; a null row is all gaps in the result.
+"""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandweave.functions import residues as R
 from strandweave.functions.residues import GAP
-from strandweave.operators.columns import cells, rebuild, width
+from strandweave.operators.columns import mask_loci
 from strandweave.operators.lineage import cut
 
 
+def _columns(aln: DataFrame, shared: DataFrame) -> DataFrame:
+    """(col, anchor) of every column: whether a taxon of ``shared`` has a residue there.
+
+    One pass over the rows: those of shared taxa give their places of residues, the others only
+    their length; both are combined within tasks before the shuffle.
+    """
+    names = shared.select(F.col("taxon").alias("__shared")).distinct()
+    met = aln.join(names, F.col("taxon") == F.col("__shared"), "left")
+    held = F.when(F.col("__shared").isNotNull(), R.places_of(F.split("seq", ""), lambda ch: ~ch.isin(GAP, "")))
+    at = met.select(F.length("seq").alias("__n"), F.explode_outer(held).alias("col")).groupBy("col").agg(F.max("__n").alias("n"))
+    found = at.agg(F.max("n").alias("n"), F.collect_list("col").alias("anchors"))
+    every = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.struct(i.alias("col"), F.lit(0).alias("a")))
+    both = found.where("n > 0").select(F.explode(F.concat(every, F.transform("anchors", lambda i: F.struct(i.alias("col"), F.lit(1).alias("a"))))).alias("x"))
+    return both.groupBy("x.col").agg((F.max("x.a") == 1).alias("anchor"))
+
+
 def insertion_columns(aln: DataFrame, shared: DataFrame) -> DataFrame:
     """(col): columns in which no shared taxon has a residue."""
-    every = width(aln).where("width > 0").select(F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("col"))
-    anchors = cells(aln.join(shared, "taxon", "left_semi")).select("col").distinct()
-    return every.join(anchors, "col", "left_anti")
+    return _columns(aln, shared).where("not anchor").select("col")
 
 
 def _slots(aln: DataFrame, shared: DataFrame, side: int) -> DataFrame:
     """(col, slot, kind): anchors before the column; 0 or 1 for a side's insertions, 2 for an anchor."""
-    every = width(aln).where("width > 0").select(F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("col"))
-    anchors = cells(aln.join(shared, "taxon", "left_semi")).select("col").distinct().withColumn("anchor", F.lit(1))
-    marked = every.join(anchors, "col", "left").select("col", F.coalesce("anchor", F.lit(0)).alias("anchor"))
     before = Window.orderBy("col").rowsBetween(Window.unboundedPreceding, -1)
-    return marked.select("col", F.coalesce(F.sum("anchor").over(before), F.lit(0)).alias("slot"), F.when(F.col("anchor") == 1, 2).otherwise(side).alias("kind"))
+    n = F.coalesce(F.sum(F.col("anchor").cast("int")).over(before), F.lit(0))
+    return _columns(aln, shared).select("col", n.alias("slot"), F.when(F.col("anchor"), 2).otherwise(side).alias("kind"))
 
 
 def column_map(mine: DataFrame, hers: DataFrame) -> DataFrame:
     """(side, col, new_col): where each column goes. Between two shared columns stand mine, then hers.
 
-    The taxa of both sides are shared; they must be aligned alike on both. One row per column: the
-    windows run over columns, not over cells.
+    The taxa of both sides are shared; they must be aligned alike on both. The windows run over
+    one row per column (a million columns are 20 MB), not over cells.
     """
-    shared = mine.select("taxon").intersect(hers.select("taxon"))
+    shared = mine.select("taxon").join(hers.select("taxon"), "taxon", "left_semi").distinct()
     both = _slots(mine, shared, 0).withColumn("side", F.lit(0)).union(_slots(hers, shared, 1).withColumn("side", F.lit(1)))
     tie = F.when(F.col("kind") == 2, 0).otherwise(F.col("col"))
     return both.select("side", "col", (F.dense_rank().over(Window.orderBy("slot", "kind", tie)) - 1).alias("new_col"))
 
 
+def _moved(rows: DataFrame, to: str, places: DataFrame) -> DataFrame:
+    """Rows with each symbol at its new column; the map, one number per column, goes to the rows."""
+    seq = R.placed(R.symbols(F.coalesce("seq", F.lit(""))), F.col(to), F.col("__width"))
+    return rows.select("taxon", "seq").crossJoin(F.broadcast(places)).select("taxon", seq.alias("seq"))
+
+
 def transitivity_merge(mine: DataFrame, hers: DataFrame) -> DataFrame:
     """The two alignments as one: all of my rows and those of hers that I lack.
 
-    Without shared taxa the columns of both stand side by side.
+    Without shared taxa the columns of both stand side by side. Rows are neither exploded nor
+    shuffled for it: each takes its new form by itself. Rows that repeat a taxon each stay.
     """
-    places = column_map(mine, hers)
-    added = hers.join(mine.select("taxon"), "taxon", "left_anti")
-    moved = cells(mine).withColumn("side", F.lit(0)).union(cells(added).withColumn("side", F.lit(1)))
-    found = moved.join(F.broadcast(places), ["side", "col"]).select("taxon", F.col("new_col").alias("col"), "ch")
-    columns = places.agg(F.coalesce(F.max("new_col") + 1, F.lit(0)).alias("width"))
-    return rebuild(found, mine.select("taxon").union(added.select("taxon")), columns)
+    side = lambda k: F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == k, F.struct("col", "new_col")))), lambda x: x["new_col"])
+    places = cut(column_map(mine, hers).agg(side(0).alias("__mine"), side(1).alias("__hers"), F.coalesce(F.max("new_col") + 1, F.lit(0)).alias("__width")))
+    added = hers.join(mine.select("taxon").distinct(), "taxon", "left_anti")
+    return _moved(mine, "__mine", places).union(_moved(added, "__hers", places))
 
 
 def merge_all(parts: list[DataFrame]) -> DataFrame:
     """Folds alignments in the given order, cutting the plan after every fourth."""
+
     def step(acc: tuple[int, DataFrame], part: DataFrame) -> tuple[int, DataFrame]:
         k, merged = acc[0] + 1, transitivity_merge(acc[1], part)
         return k, cut(merged) if k % 4 == 0 else merged
@@ -68,7 +91,8 @@ def union_rows(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def locus_widths(loci: DataFrame) -> DataFrame:
-    return loci.groupBy("locus").agg(F.max(F.length("seq")).alias("width"))
+    """(locus, width) of each locus's longest row."""
+    return loci.groupBy("locus").agg(F.coalesce(F.max(F.length("seq")), F.lit(0)).alias("width"))
 
 
 def partitions(loci: DataFrame) -> DataFrame:
@@ -77,12 +101,31 @@ def partitions(loci: DataFrame) -> DataFrame:
     return locus_widths(loci).select("locus", (F.sum("width").over(up_to) - F.col("width") + 1).alias("first"), F.sum("width").over(up_to).alias("last"))
 
 
-def concatenate(loci: DataFrame) -> DataFrame:
+def typed_partitions(loci: DataFrame) -> DataFrame:
+    """(locus, datatype, first, last, whole) of (locus, taxon, seq, datatype): ``whole`` is the
+    datatype of the concatenation, MIXED where loci differ. A locus of two datatypes raises."""
+    kinds = loci.groupBy(F.col("locus").alias("__locus")).agg(F.min(F.upper("datatype")).alias("a"), F.max(F.upper("datatype")).alias("z"))
+    one = F.when(F.col("a") == F.col("z"), F.col("a")).otherwise(F.raise_error(F.concat(F.lit("more than one datatype in locus "), F.col("__locus").cast("string"))))
+    everything = Window.partitionBy()
+    met = partitions(loci).join(F.broadcast(kinds.select("__locus", one.alias("datatype"))), F.col("locus").eqNullSafe(F.col("__locus")))
+    whole = F.when(F.min("datatype").over(everything) == F.max("datatype").over(everything), F.col("datatype")).otherwise("MIXED")
+    return met.select("locus", "datatype", "first", "last", whole.alias("whole"))
+
+
+def concatenate(loci: DataFrame, least: float | None = None) -> DataFrame:
     """(taxon, seq): each taxon's rows of all loci in order; gaps where it is absent.
 
-    Loci are few: their widths travel with each taxon's rows as one array.
+    With ``least`` each locus first loses its columns of fewer residues. Loci are few: their widths
+    travel with each taxon's rows as one array. Rows shorter than their locus are padded. A taxon
+    that a locus holds twice raises, with both names.
     """
-    widths = locus_widths(loci).agg(F.array_sort(F.collect_list(F.struct("locus", "width"))).alias("loci"))
-    rows = loci.groupBy("taxon").agg(F.map_from_entries(F.collect_list(F.struct("locus", "seq"))).alias("of"))
-    part = F.transform("loci", lambda x: F.coalesce(F.try_element_at("of", x["locus"]), F.repeat(F.lit(GAP), x["width"])))
-    return rows.crossJoin(F.broadcast(widths)).select("taxon", F.array_join(part, "").alias("seq"))
+    loci = loci if least is None else mask_loci(loci, least)
+    widths = locus_widths(loci).agg(F.array_sort(F.collect_list(F.struct("locus", "width"))).alias("__loci"))
+    rows = loci.groupBy("taxon").agg(F.collect_list(F.struct("locus", F.coalesce("seq", F.lit("")).alias("seq"))).alias("__of"))
+
+    def part(x: Column) -> Column:
+        own = F.filter("__of", lambda y: y["locus"].eqNullSafe(x["locus"]))
+        twice = F.raise_error(F.concat(F.lit("taxon "), F.coalesce(F.col("taxon").cast("string"), F.lit("null")), F.lit(" stands twice in locus "), x["locus"].cast("string")))
+        return F.when(F.size(own) > 1, twice).otherwise(F.rpad(F.coalesce(F.get(own, 0)["seq"], F.lit("")), x["width"], GAP))
+
+    return rows.crossJoin(F.broadcast(widths)).select("taxon", F.array_join(F.transform("__loci", part), "").alias("seq"))

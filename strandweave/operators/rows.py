@@ -1,48 +1,60 @@
-"""Row operators on alignments: subsets, filters, names, checks and summaries."""
+"""Row operators on alignments: subsets, filters, names, checks and summaries.
+
+Where nothing else is said: rows that repeat a taxon are rows like others and each stays or goes by
+itself, rows without a taxon or without a sequence (null) are kept by operators that do not look at
+what they lack, and columns other than taxon and seq pass through filters and are left out by
+operators that build new rows. Names of their own begin with two underscores.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandweave.functions import residues as R
 
 
 def unaligned(aln: DataFrame) -> DataFrame:
-    """Rows without gaps; rows that are gaps only go."""
+    """Rows without gaps; rows that are gaps only, and null ones, go."""
     return aln.select("taxon", R.degap(F.col("seq")).alias("seq")).where("seq <> ''")
 
 
 def keep_taxa(aln: DataFrame, taxa: DataFrame) -> DataFrame:
+    """Rows whose taxon is among ``taxa``; names that no row has are passed over, null matches nothing."""
     return aln.join(taxa.select("taxon"), "taxon", "left_semi")
 
 
 def drop_taxa(aln: DataFrame, taxa: DataFrame) -> DataFrame:
+    """Rows whose taxon is not among ``taxa``; those without a taxon stay."""
     return aln.join(taxa.select("taxon"), "taxon", "left_anti")
 
 
 def filter_fragments(aln: DataFrame, least: int | None = None, of_columns: float | None = None, of_median: float | None = None) -> DataFrame:
     """Drops rows with fewer residues than ``least``, than a share of the columns (rounded up), or
-    than a multiple of the median; the last one given rules."""
+    than a multiple of the median; the last one given rules. Null rows go, and count nowhere."""
     for share in (of_columns, of_median):
         if share is not None and not 0 <= share <= 1:
             raise ValueError(f"a share is from 0 to 1: {share}")
     n = R.n_residues(F.col("seq"))
     if of_median is not None:
-        bound = aln.agg((F.lit(of_median) * F.median(n)).alias("bound"))
+        bound = aln.agg((F.lit(of_median) * F.median(n)).alias("__bound"))
     elif least is not None:
         return aln.where(n >= least)
     elif of_columns is not None:
-        bound = aln.agg(F.ceil(F.lit(of_columns) * F.max(F.length("seq"))).cast("double").alias("bound"))
+        bound = aln.agg(F.ceil(F.lit(of_columns) * F.max(F.length("seq"))).cast("double").alias("__bound"))
     else:
         raise ValueError("one of least, of_columns and of_median is needed")
-    return aln.crossJoin(F.broadcast(bound)).where(n >= F.col("bound")).select(*aln.columns)
+    return aln.crossJoin(F.broadcast(bound)).where(n >= F.col("__bound")).select(*aln.columns)
 
 
 def rename(aln: DataFrame, names: DataFrame) -> DataFrame:
-    """Rows under the names of ``names`` (taxon, name); a row without one raises."""
-    met = aln.join(names.withColumnRenamed("taxon", "__taxon"), F.col("taxon") == F.col("__taxon"), "left")
-    known = F.when(F.col("__taxon").isNull(), F.raise_error(F.concat(F.lit("no name for "), F.col("taxon").cast("string")))).otherwise(F.col("name"))
+    """(taxon, seq) under the names of ``names`` (taxon, name); a row without one raises.
+
+    A taxon that ``names`` holds twice gets the least of its names.
+    """
+    of = names.groupBy(F.col("taxon").alias("__taxon")).agg(F.min("name").alias("__name"))
+    met = aln.join(of, F.col("taxon") == F.col("__taxon"), "left")
+    known = F.when(F.col("__taxon").isNull(), F.raise_error(F.concat(F.lit("no name for "), F.coalesce(F.col("taxon").cast("string"), F.lit("a row without a taxon"))))).otherwise(F.col("__name"))
     return met.select(known.alias("taxon"), "seq")
 
 
@@ -64,11 +76,37 @@ def safe_names(names: DataFrame, order: str) -> DataFrame:
     return met.select("name", F.when(F.col("place") == 0, F.col("base")).otherwise(F.concat("base", free.cast("string"))).alias("safe"))
 
 
+def shared_safe_names(loci: DataFrame) -> DataFrame:
+    """(name, safe, loci) over all loci of (locus, taxon): a name has one safe form wherever it
+    stands; first come by locus, then name. A name that one locus holds twice raises."""
+    held = loci.groupBy("taxon", "locus").agg(F.count("*").alias("n"))
+    once = F.when(F.col("n") > 1, F.raise_error(F.concat(F.lit("a locus holds twice the name "), F.col("taxon").cast("string")))).otherwise(F.col("locus"))
+    of = held.select(F.col("taxon").alias("name"), once.alias("locus")).groupBy("name").agg(F.array_sort(F.collect_set("locus")).alias("loci"))
+    safe = safe_names(loci.select(F.col("taxon").alias("name"), "locus"), "locus")
+    return safe.join(of, "name").select("name", "safe", "loci")
+
+
+def relabel_loci(loci: DataFrame, names: DataFrame, back: bool = False) -> DataFrame:
+    """(locus, taxon, seq) under the safe names of ``names`` (name, safe), or back under the real ones; an unknown one raises."""
+    old, new = ("safe", "name") if back else ("name", "safe")
+    of = names.select(F.col(old).alias("__old"), F.col(new).alias("__new"))
+    met = loci.join(of, F.col("taxon") == F.col("__old"), "left")
+    known = F.when(F.col("__old").isNull(), F.raise_error(F.concat(F.lit("no name for "), F.col("taxon").cast("string")))).otherwise(F.col("__new"))
+    return met.select("locus", known.alias("taxon"), "seq")
+
+
+def nice_filename(name):
+    """Without the symbols that file names should not have: letters, digits, ``-``, ``_`` and ``.`` stay."""
+    return F.regexp_replace(name, "[^-_a-zA-Z0-9.]", "")
+
+
 def duplicate_names(aln: DataFrame) -> DataFrame:
+    """(taxon, n) of the taxa that more than one row has; null is a name here."""
     return aln.groupBy("taxon").agg(F.count("*").alias("n")).where("n > 1")
 
 
 def alphabet_violations(aln: DataFrame, datatype: str) -> DataFrame:
+    """The rows with a symbol outside the alphabet of ``datatype``, in either case; null rows have none."""
     return aln.where(~R.in_alphabet(F.col("seq"), datatype))
 
 
@@ -84,8 +122,8 @@ def summary(loci: DataFrame) -> DataFrame:
 
 def pad(aln: DataFrame) -> DataFrame:
     """Rows padded with gaps to the longest one."""
-    longest = aln.agg(F.max(F.length("seq")).alias("width"))
-    return aln.crossJoin(F.broadcast(longest)).select("taxon", F.rpad("seq", F.col("width"), F.lit(R.GAP)).alias("seq"))
+    longest = aln.agg(F.max(F.length("seq")).alias("__width"))
+    return aln.crossJoin(F.broadcast(longest)).select("taxon", F.rpad("seq", F.col("__width"), F.lit(R.GAP)).alias("seq"))
 
 
 def stride(aln: DataFrame, most_chunks: int, per_chunk: int = 50) -> DataFrame:
@@ -122,22 +160,31 @@ def distances(rows: DataFrame, key: str = "locus") -> DataFrame:
 
 
 def replaced(aln: DataFrame, old: str, new: str) -> tuple[DataFrame, DataFrame]:
-    """The alignment with ``old`` as ``new``, and (taxon, ordinal) of what was replaced."""
-    from strandweave.operators.columns import residue_ordinals
-
-    places = residue_ordinals(aln).where(F.col("ch") == old).select("taxon", "ordinal")
+    """The alignment with ``old`` as ``new``, and (taxon, ordinal) of what was replaced: its place among the row's residues."""
+    kept = R.symbols(F.translate("seq", R.GAP, ""))
+    places = aln.select("taxon", F.explode(R.places_of(kept, lambda ch: ch == old)).alias("ordinal"))
     return aln.select("taxon", F.translate("seq", old, new).alias("seq")), places
 
 
 def restored(aln: DataFrame, places: DataFrame, symbol: str) -> DataFrame:
-    """Puts ``symbol`` at the residues of those ordinals, wherever gaps now stand between them."""
-    of = places.groupBy("taxon").agg(F.collect_set("ordinal").alias("ordinals"))
-    met = aln.join(of, "taxon", "left")
-
-    def step(acc: Column, ch: Column) -> Column:
-        hit = F.coalesce(F.array_contains("ordinals", acc["k"]), F.lit(False))
-        out = F.when(ch == R.GAP, ch).when(hit, F.lit(symbol)).otherwise(ch)
-        return F.struct((acc["k"] + F.when(ch == R.GAP, 0).otherwise(1)).alias("k"), F.array_append(acc["out"], out).alias("out"))
+    """Puts ``symbol`` at the residues of those ordinals, wherever gaps now stand between them.
 
-    start = F.struct(F.lit(0).alias("k"), F.array().cast("array<string>").alias("out"))
-    return met.select("taxon", F.array_join(F.aggregate(F.split("seq", ""), start, step)["out"], "").alias("seq"))
+    Each row is gone through once. Ordinals beyond a row's residues are passed over; rows that
+    repeat a taxon share its ordinals.
+    """
+    of = places.groupBy(F.col("taxon").alias("__taxon")).agg(R.flags(F.array_sort(F.collect_set("ordinal"))).alias("__hit"))
+    met = aln.join(of, F.col("taxon") == F.col("__taxon"), "left")
+    residues = R.places_of(R.symbols(F.col("seq")), lambda ch: ch != R.GAP)
+    hit = F.filter(F.arrays_zip(residues.alias("p"), F.coalesce("__hit", F.array().cast("array<boolean>")).alias("h")), lambda x: x["h"] & x["p"].isNotNull())
+    marks = R.flags(F.transform(hit, lambda x: x["p"]))
+    pairs = F.filter(F.arrays_zip(R.symbols(F.col("seq")).alias("ch"), marks.alias("m")), lambda x: x["ch"].isNotNull())
+    text = F.array_join(F.transform(pairs, lambda x: F.when(x["m"], F.lit(symbol)).otherwise(x["ch"])), "")
+    return met.select("taxon", text.alias("seq"))
+
+
+def joined_places(parts: list[DataFrame]) -> DataFrame:
+    """(taxon, ordinal) of several alignments whose rows are put together: the union, each place once."""
+    out = parts[0].select("taxon", "ordinal")
+    for more in parts[1:]:
+        out = out.union(more.select("taxon", "ordinal"))
+    return out.distinct()

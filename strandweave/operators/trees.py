@@ -47,9 +47,9 @@ def longest_edge(tree: DataFrame, internal: bool = False) -> DataFrame:
 
 
 def bipartition(tree: DataFrame, closure: DataFrame, edge: DataFrame) -> DataFrame:
-    """(leaf, inside): whether each leaf is below ``edge`` (one row: node)."""
-    cut = closure.join(F.broadcast(edge.select(F.col("node").alias("anc"))), "anc", "left_semi").select("node", F.lit(True).alias("below"))
-    return tree.where("is_leaf").select("node").join(cut, "node", "left").select(F.col("node").alias("leaf"), F.coalesce("below", F.lit(False)).alias("inside"))
+    """(leaf, inside): whether each leaf is below ``edge`` (one row: node); none is where there is no edge."""
+    under = closure.join(F.broadcast(edge.select(F.col("node").alias("anc"))), "anc", "left_semi").select("node", F.lit(True).alias("below"))
+    return tree.where("is_leaf").select("node").join(under, "node", "left").select(F.col("node").alias("leaf"), F.coalesce("below", F.lit(False)).alias("inside"))
 
 
 def valid(tree: DataFrame) -> DataFrame:
@@ -165,11 +165,11 @@ def spanning_tree(edges: DataFrame) -> DataFrame:
             break
         picked = best.select("a", "b", "distance").distinct()
         chosen = picked if chosen is None else chosen.union(picked)
-        label = cut(_joined_labels(label, best))
+        label = cut(joined_labels(label, best))
     return edges.where("false") if chosen is None else chosen
 
 
-def _joined_labels(label: DataFrame, best: DataFrame) -> DataFrame:
+def joined_labels(label: DataFrame, best: DataFrame) -> DataFrame:
     """Labels after the components of each chosen edge are one: the smallest label reachable."""
     links = cut(best.select(F.col("la").alias("u"), F.col("lb").alias("v")).union(best.select("lb", "la")).distinct())
     least = cut(links.select("u").distinct().withColumn("m", F.col("u")))
