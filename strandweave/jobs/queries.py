@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strandweave.functions import residues as R
 from strandweave.operators import columns as C
+from strandweave.operators import decompose as D
 from strandweave.operators import merge as M
 from strandweave.operators import profiles as P
 from strandweave.operators import rows as W
@@ -297,10 +298,16 @@ def p_distance(spark: SparkSession, d: str) -> DataFrame:
     return met.where("before is not null").select("taxon", F.round(R.p_distance(F.col("seq"), F.col("before")), 9).alias("distance"))
 
 
-@query()
+@query(
+    f"""WITH {V.WHOLE_SQL}, {V.CELLS_SQL}, tally AS (SELECT source AS locus, col, ch, count(*) AS n FROM cells GROUP BY ALL),
+best AS (SELECT locus, col, ch, row_number() OVER (PARTITION BY locus, col ORDER BY n DESC, ch) AS r FROM tally),
+cons AS (SELECT s.locus, s.col, coalesce(b.ch, '-') AS ch FROM (SELECT DISTINCT source AS locus, col FROM spread) s LEFT JOIN best b ON b.locus = s.locus AND b.col = s.col AND b.r = 1)
+SELECT x.locus AS a, y.locus AS b, round(count(*) FILTER (x.ch <> y.ch) / nullif(count(*) FILTER (x.ch <> '-' OR y.ch <> '-'), 0)::DOUBLE, 9) AS distance FROM cons x JOIN cons y ON x.col = y.col AND x.locus < y.locus GROUP BY x.locus, y.locus"""
+)
 def distance_matrix(spark: SparkSession, d: str) -> DataFrame:
     """The consensus rows of the sources' whole texts against each other."""
-    return W.distances(W.consensus(V.blocks(spark, d, F.col("source").alias("locus"))))
+    pairs = W.distances(W.consensus(V.blocks(spark, d, F.col("source").alias("locus"))))
+    return pairs.select("a", "b", F.round("distance", 9).alias("distance"))
 
 
 # merges and loci
@@ -464,7 +471,13 @@ def group_distances(spark: SparkSession, d: str) -> DataFrame:
     return T.group_distances(T.ancestors(tree), _nation_groups(tree)).select("a", "b", F.round("distance", 6).alias("distance"))
 
 
-@query()
+_MST = f"""{_GROUPS},
+reach AS (SELECT a AS ea, b AS eb, distance AS ed, a AS node FROM pairs
+  UNION SELECT r.ea, r.eb, r.ed, CASE WHEN p.a = r.node THEN p.b ELSE p.a END FROM reach r JOIN pairs p ON (p.a = r.node OR p.b = r.node) AND (p.distance < r.ed OR (p.distance = r.ed AND (p.a < r.ea OR (p.a = r.ea AND p.b < r.eb))))),
+mst AS (SELECT a, b, distance FROM pairs e WHERE NOT EXISTS (SELECT 1 FROM reach r WHERE r.ea = e.a AND r.eb = e.b AND r.node = e.b))"""
+
+
+@query(f"{_MST} SELECT a, b, round(distance, 6) AS distance FROM mst")
 def group_mst(spark: SparkSession, d: str) -> DataFrame:
     tree = V.tree(spark, d)
     return T.spanning_tree(T.group_distances(T.ancestors(tree), _nation_groups(tree))).select("a", "b", F.round("distance", 6).alias("distance"))
@@ -611,4 +624,250 @@ def resolved_polytomies(spark: SparkSession, d: str) -> DataFrame:
     return T.resolve_polytomies(V.tree(spark, d))
 
 
+# cutting and joining trees
+
+
+@query(f"{TREE} SELECT * FROM (SELECT node, 'centroid' AS kind FROM leaf_counts JOIN tree USING (node) WHERE parent IS NOT NULL ORDER BY abs((SELECT count(*) FROM tree WHERE is_leaf) / 2 - n_leaves), node LIMIT 1) UNION ALL SELECT * FROM (SELECT node, 'longest' FROM tree WHERE len IS NOT NULL ORDER BY len DESC, node LIMIT 1)")
+def breaking_edges(spark: SparkSession, d: str) -> DataFrame:
+    tree = V.tree(spark, d)
+    closure = T.ancestors(tree)
+    one, two = (D.breaking_edge(tree, closure, kind).withColumn("kind", F.lit(kind)) for kind in ("centroid", "longest"))
+    return one.union(two)
+
+
+@query(
+    f"""{TREE}, edge AS (SELECT node FROM leaf_counts JOIN tree USING (node) WHERE parent IS NOT NULL ORDER BY abs((SELECT count(*) FROM tree WHERE is_leaf) / 2 - n_leaves), node LIMIT 1),
+sided AS (SELECT t.*, e.node AS edge, EXISTS (SELECT 1 FROM anc a WHERE a.node = t.node AND a.anc = e.node) AS inside FROM tree t, edge e)
+SELECT CASE WHEN inside THEN edge ELSE 0 END AS part, node, CASE WHEN node <> edge THEN parent END AS parent, CASE WHEN node <> edge THEN len END AS len, is_leaf FROM sided"""
+)
+def bipartition_trees(spark: SparkSession, d: str) -> DataFrame:
+    """Both trees that the centroid edge leaves."""
+    tree = V.tree(spark, d)
+    closure = T.ancestors(tree)
+    return D.bipartition_trees(tree, closure, D.breaking_edge(tree, closure, "centroid"))
+
+
+_TWO = f"{TREE}, two AS (SELECT * FROM tree WHERE node IN (SELECT node FROM anc WHERE anc IN (1, 2)) OR node = 0)"
+
+
+def _two_regions(tree: DataFrame) -> DataFrame:
+    below = T.ancestors(tree).where("anc in (1, 2)").select("node")
+    return tree.join(below.distinct(), "node", "left_semi").union(tree.where("parent is null"))
+
+
+@query(f"{_TWO} SELECT node, CASE WHEN parent = 1 THEN 0 ELSE parent END AS parent, CASE WHEN parent = 0 THEN len + (SELECT len FROM two WHERE node = 1) ELSE len END AS len, is_leaf FROM two WHERE node <> 1")
+def root_polytomy(spark: SparkSession, d: str) -> DataFrame:
+    """The tree of two regions: a root of two inner children loses one of them."""
+    return D.root_polytomy(_two_regions(V.tree(spark, d)).select("node", "parent", "len", "is_leaf"))
+
+
+@query(
+    f"""{TREE}, few AS (SELECT * FROM tree WHERE node < 100 OR (node < 1000 AND (node - 100) % 5 = 0) OR (node >= 1000 AND (parent - 100) % 5 = 0)),
+kids AS (SELECT parent, count(*) AS k FROM few WHERE parent IS NOT NULL GROUP BY parent), gone AS (SELECT f.* FROM few f JOIN kids ON kids.parent = f.node WHERE k = 1)
+SELECT f.node, CASE WHEN g.node IS NULL THEN f.parent ELSE g.parent END AS parent, CASE WHEN g.node IS NULL THEN f.len ELSE f.len + g.len END AS len, f.is_leaf FROM few f LEFT JOIN gone g ON g.node = f.parent WHERE f.node NOT IN (SELECT node FROM gone)"""
+)
+def without_unifurcations(spark: SparkSession, d: str) -> DataFrame:
+    """The tree of every fifth nation, in which regions have one nation each."""
+    few = V.tree(spark, d).where("node < 100 or (node < 1000 and (node - 100) % 5 = 0) or (node >= 1000 and (parent - 100) % 5 = 0)")
+    return D.without_unifurcations(few)
+
+
+@query(f"{TREE} SELECT t.parent AS \"group\", t.parent AS root, count(*) AS n_leaves FROM tree t WHERE is_leaf GROUP BY t.parent")
+def group_roots(spark: SparkSession, d: str) -> DataFrame:
+    tree = V.tree(spark, d)
+    return D.group_roots(T.ancestors(tree), _nation_groups(tree).withColumnRenamed("root", "group"))
+
+
+@query("WITH RECURSIVE " + V.TREE_SQL + " SELECT a.anc AS node, string_agg(DISTINCT c_mktsegment, '+' ORDER BY c_mktsegment) AS groups FROM anc a JOIN tree t ON t.node = a.node AND t.is_leaf JOIN customer ON 1000 + c_custkey = a.node GROUP BY a.anc")
+def group_sets(spark: SparkSession, d: str) -> DataFrame:
+    groups = V.table(spark, d, "customer").select((1000 + F.col("c_custkey")).cast("int").alias("leaf"), F.col("c_mktsegment").alias("group"))
+    return D.group_sets(T.ancestors(V.tree(spark, d)), groups).select("node", F.array_join("groups", "+").alias("groups"))
+
+
+@query(f"{TREE} SELECT node, CASE WHEN node = 100 THEN NULL WHEN node = 1 + (SELECT n_regionkey FROM nation WHERE n_nationkey = 0) THEN 100 WHEN node = 0 THEN 1 + (SELECT n_regionkey FROM nation WHERE n_nationkey = 0) ELSE parent END AS parent FROM tree")
+def rerooted(spark: SparkSession, d: str) -> DataFrame:
+    """The tree's edges hung from a nation."""
+    edges = V.tree(spark, d).where("parent is not null").select(F.col("node").alias("a"), F.col("parent").alias("b"))
+    return D.rooted(edges, 100)
+
+
+@query(f"{_MST} SELECT m.a || ' ' || m.b || ' ' || CAST(round(m.distance, 3) AS DECIMAL(18, 3)) AS line FROM mst m UNION ALL SELECT t.parent || ' ' || count(*) FROM tree t WHERE is_leaf GROUP BY t.parent")
+def mst_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of the groups' spanning tree, and of their sizes."""
+    tree = V.tree(spark, d)
+    groups = _nation_groups(tree)
+    edges = T.spanning_tree(T.group_distances(T.ancestors(tree), groups))
+    sizes = groups.groupBy("root").agg(F.count("*").alias("n"))
+    return edges.select(F.concat_ws(" ", "a", "b", F.round("distance", 3).cast("decimal(18,3)")).alias("line")).union(sizes.select(F.concat_ws(" ", "root", "n")))
+
+
+@query(_SQL["min_clusters"].replace("AS cluster", "AS subset"))
+def decomposition(spark: SparkSession, d: str) -> DataFrame:
+    """The default decomposition into subsets."""
+    tree = V.tree(spark, d)
+    return D.decompose(tree, T.ancestors(tree), _MOST)
+
+
+@query()
+def decomposition_centroid(spark: SparkSession, d: str) -> DataFrame:
+    """Recursive halving; subsets of at most a fifth of the leaves."""
+    tree = V.tree(spark, d)
+    n = tree.where("is_leaf").count()
+    return D.decompose(tree, T.ancestors(tree), max(2, n // 5), "centroid")
+
+
+@query()
+def subset_tree(spark: SparkSession, d: str) -> DataFrame:
+    """The spanning tree of the default decomposition's subsets."""
+    tree = V.tree(spark, d)
+    closure = T.ancestors(tree)
+    return D.subset_tree(tree, closure, D.decompose(tree, closure, _MOST))
+
+
+# whole texts as wide rows
+
+
+W_ = f"WITH {V.WIDE_SQL}"
+_CHARS = f"{W_}, chars AS (SELECT taxon, unnest(string_split(seq, '')) AS ch, generate_subscripts(string_split(seq, ''), 1) - 1 AS col FROM wide WHERE seq <> '')"
+
+
+@query(f"{W_} SELECT taxon, replace(seq, '-', '') AS residues, array_to_string(list_filter(list_transform(string_split(seq, ''), lambda ch, i: CASE WHEN ch NOT IN ('-', '') THEN i - 1 END), lambda x: x IS NOT NULL), ' ') AS positions FROM wide")
+def wide_sparse_rows(spark: SparkSession, d: str) -> DataFrame:
+    return C.sparse(V.wide(spark, d)).select("taxon", "residues", F.array_join(F.col("pos").cast("array<string>"), " ").alias("positions"))
+
+
+@query(f"{W_} SELECT taxon, seq FROM wide")
+def wide_sparse_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    rows = V.wide(spark, d)
+    wide = rows.select(F.col("taxon").alias("__taxon"), F.length("seq").alias("n"))
+    found = C.sparse(rows).join(wide, F.col("taxon") == F.col("__taxon"))
+    return found.select("taxon", R.placed(R.symbols(F.col("residues")), F.col("pos"), F.col("n")).alias("seq"))
+
+
+@query(f"{_CHARS} SELECT taxon, min(col) AS first, max(col) AS last FROM (SELECT taxon, col, col - row_number() OVER (PARTITION BY taxon ORDER BY col) AS island FROM chars WHERE ch = '-') GROUP BY taxon, island")
+def wide_gap_runs(spark: SparkSession, d: str) -> DataFrame:
+    return C.gap_runs(V.wide(spark, d))
+
+
+@query(f"{_CHARS}, counts AS (SELECT col, count(*) FILTER (ch <> '-') AS n FROM chars GROUP BY col), kept AS (SELECT col FROM counts WHERE n > 150 - 1) SELECT w.taxon, coalesce((SELECT string_agg(c.ch, '' ORDER BY c.col) FROM chars c JOIN kept k ON k.col = c.col WHERE c.taxon = w.taxon), '') AS seq FROM wide w")
+def wide_mask_sites(spark: SparkSession, d: str) -> DataFrame:
+    return C.mask_sites(V.wide(spark, d), 150)
+
+
+@query(f"{W_} SELECT taxon, translate(seq, 'T', 'X') AS shimmed, translate(replace(seq, '-', '--'), 'T', 'T') AS back FROM wide")
+def wide_replace_and_restore(spark: SparkSession, d: str) -> DataFrame:
+    """Restored after every gap has become two."""
+    shimmed, places = W.replaced(V.wide(spark, d), "T", "X")
+    back = W.restored(shimmed.select("taxon", F.replace("seq", F.lit("-"), F.lit("--")).alias("seq")), places, "T")
+    return shimmed.join(back.withColumnRenamed("seq", "back"), "taxon").select("taxon", F.col("seq").alias("shimmed"), "back")
+
+
+@query(f"{W_} SELECT taxon, replace(seq, '-', '-') AS spread, replace(seq, '-', '') AS target FROM wide")
+def wide_gap_propagate(spark: SparkSession, d: str) -> DataFrame:
+    seq = F.col("seq")
+    return V.wide(spark, d).select("taxon", R.propagate_gaps(F.translate(seq, "ACGT", "xxxx"), R.degap(seq)).alias("spread"), R.degap(seq).alias("target"))
+
+
+@query(f"{A} SELECT taxon, upper(substr(seq, 1, 20)) || upper(substr(seq, 31)) AS seq FROM aligned")
+def mask_unaligned_sites(spark: SparkSession, d: str) -> DataFrame:
+    """Ten columns in lower case of letters between a and z go, but for those of gaps and of ``a`` only."""
+    seq = F.concat(F.substring("seq", 1, 20), F.lower(F.translate(F.substring("seq", 21, 10), "A", "G")), F.substring("seq", 31, 1 << 20))
+    return C.mask_unaligned_sites(V.aligned(spark, d).select("taxon", seq.alias("seq")))
+
+
+# records parsed again
+
+
+def _records(rows: DataFrame) -> DataFrame:
+    """Lines of records as the text source gives them."""
+    return S.records_of(rows.select(F.col("line").alias("value")))
+
+
+@query(f"{W_} SELECT CAST(taxon AS VARCHAR) AS taxon, seq FROM wide")
+def fasta_parsed(spark: SparkSession, d: str) -> DataFrame:
+    return S.fasta_rows(_records(V.wide(spark, d).select(S.fasta_line().alias("line"))))
+
+
+@query(f"{W_} SELECT CAST(taxon AS VARCHAR) AS taxon, seq FROM wide")
+def compact3_parsed(spark: SparkSession, d: str) -> DataFrame:
+    return S.compact3_decoded(_records(S.compact3_rows(V.wide(spark, d)).select(S.compact3_line().alias("line"))))
+
+
+@query(f"{W_} SELECT CAST(taxon AS VARCHAR) AS taxon, replace(seq, '-', '') AS residues, array_to_string(list_filter(list_transform(string_split(seq, ''), lambda ch, i: CASE WHEN ch NOT IN ('-', '') THEN i - 1 END), lambda x: x IS NOT NULL), ' ') AS positions FROM wide")
+def compact_parsed(spark: SparkSession, d: str) -> DataFrame:
+    found = S.compact_decoded(_records(C.sparse(V.wide(spark, d)).select(S.compact_line().alias("line"))))
+    return found.select("taxon", "residues", F.array_join(F.col("pos").cast("array<string>"), " ").alias("positions"))
+
+
+@query(f"{A} SELECT source AS file, CAST(taxon AS VARCHAR) AS taxon, seq FROM aligned")
+def stockholm_parsed(spark: SparkSession, d: str) -> DataFrame:
+    """Each source's rows as an alignment in two blocks, written and read."""
+    rows = V.aligned(spark, d, "source").select("source", "taxon", F.explode(F.array(F.lit(0), F.lit(1))).alias("block"), F.translate("seq", "-", ".").alias("seq"))
+    part = F.when(F.col("block") == 0, F.substring("seq", 1, 30)).otherwise(F.substring("seq", 31, 1 << 20))
+    lines = rows.select("source", F.struct("block", "taxon", F.concat_ws(" ", "taxon", part).alias("line")).alias("x"))
+    text = F.concat(F.lit("# a comment\n"), F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n"), F.lit("\n//\nnot read"))
+    return S.stockholm_rows(lines.groupBy(F.col("source").alias("file")).agg(text.alias("text"))).select("file", "taxon", "seq")
+
+
+# loci end to end
+
+
+@query(
+    """WITH loci AS (SELECT DISTINCT page_id % 3 AS locus, url AS taxon FROM pages), firsts AS (SELECT taxon AS name, min(locus) AS first, string_agg(locus, ',' ORDER BY locus) AS loci FROM loci GROUP BY taxon),
+based AS (SELECT *, lower(substring(regexp_replace(name, '[^a-zA-Z0-9]', '', 'g'), 1, 80)) AS base FROM firsts),
+placed AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY first, name) - 1 AS place FROM based),
+free AS (SELECT b.base, n.i AS number, row_number() OVER (PARTITION BY b.base ORDER BY n.i) AS place
+  FROM (SELECT base, count(*) AS c FROM based GROUP BY base HAVING count(*) > 1) b, range(1, 200) n(i)
+  WHERE NOT EXISTS (SELECT 1 FROM based x WHERE x.base = b.base || CAST(n.i AS VARCHAR)))
+SELECT p.name, CASE WHEN p.place = 0 THEN p.base ELSE p.base || CAST(f.number AS VARCHAR) END AS safe, p.loci
+FROM placed p LEFT JOIN free f ON f.base = p.base AND f.place = p.place"""
+)
+def shared_safe_names(spark: SparkSession, d: str) -> DataFrame:
+    loci = V.table(spark, d, "pages").select((F.col("page_id") % 3).alias("locus"), F.col("url").alias("taxon")).distinct()
+    return W.shared_safe_names(loci).select("name", "safe", F.array_join(F.col("loci").cast("array<string>"), ",").alias("loci"))
+
+
+@query("SELECT DISTINCT page_id % 3 AS locus, url AS taxon, upper(regexp_replace(url, '[^ACGTacgt]', '', 'g')) AS seq FROM pages")
+def loci_renamed_and_restored(spark: SparkSession, d: str) -> DataFrame:
+    seq = F.upper(F.regexp_replace("url", "[^ACGTacgt]", ""))
+    loci = V.table(spark, d, "pages").select((F.col("page_id") % 3).alias("locus"), F.col("url").alias("taxon"), seq.alias("seq")).distinct()
+    names = W.shared_safe_names(loci)
+    return W.relabel_loci(W.relabel_loci(loci, names), names, back=True)
+
+
+@query(f"{_LOCI}, wide AS (SELECT locus, max(length(seq)) AS w FROM loci GROUP BY locus) SELECT locus, CASE WHEN locus = 'en' THEN 'RNA' ELSE 'DNA' END AS datatype, CAST(sum(w) OVER (ORDER BY locus) - w + 1 AS BIGINT) AS first, CAST(sum(w) OVER (ORDER BY locus) AS BIGINT) AS last, 'MIXED' AS whole FROM wide")
+def typed_partitions(spark: SparkSession, d: str) -> DataFrame:
+    return M.typed_partitions(_loci(spark, d).withColumn("datatype", F.when(F.col("locus") == "en", "rna").otherwise("dna")))
+
+
+@query(
+    f"""{_LOCI}, cols AS (SELECT locus, taxon, seq, CAST(i AS INT) AS col, substr(seq, CAST(i AS INT) + 1, 1) AS ch FROM loci, range({V.COLUMNS}) r(i)),
+kept AS (SELECT locus, col FROM cols GROUP BY locus, col HAVING count(*) FILTER (ch <> '-') > 40 - 1), widths AS (SELECT n.locus, count(k.col) AS w FROM (SELECT DISTINCT locus FROM loci) n LEFT JOIN kept k ON k.locus = n.locus GROUP BY n.locus),
+cut AS (SELECT l.locus, l.taxon, coalesce((SELECT string_agg(c.ch, '' ORDER BY c.col) FROM cols c JOIN kept k ON k.locus = c.locus AND k.col = c.col WHERE c.locus = l.locus AND c.taxon = l.taxon), '') AS seq FROM loci l),
+taxa AS (SELECT DISTINCT taxon FROM loci)
+SELECT t.taxon, string_agg(coalesce(c.seq, repeat('-', w.w)), '' ORDER BY w.locus) AS seq FROM taxa t CROSS JOIN widths w LEFT JOIN cut c ON c.taxon = t.taxon AND c.locus = w.locus GROUP BY t.taxon"""
+)
+def concat_masked_loci(spark: SparkSession, d: str) -> DataFrame:
+    return M.concatenate(_loci(spark, d), least=40)
+
+
+@query("SELECT page_id, regexp_replace(url, '[^-_a-zA-Z0-9.]', '', 'g') AS name FROM pages")
+def nice_filenames(spark: SparkSession, d: str) -> DataFrame:
+    return V.table(spark, d, "pages").select("page_id", W.nice_filename(F.col("url")).alias("name"))
+
+
+@query("SELECT user_id, arg_max(event_id, (value, -event_id)) AS iteration, max(value) AS score FROM events WHERE value IS NOT NULL GROUP BY user_id")
+def keep_best(spark: SparkSession, d: str) -> DataFrame:
+    """The best of each user's events as iterations of a run, the first of equal ones."""
+    best = F.max(F.struct("value", (-F.col("event_id")).alias("e"))).alias("b")
+    return V.table(spark, d, "events").where("value is not null").groupBy("user_id").agg(best).select("user_id", (-F.col("b.e")).alias("iteration"), F.col("b.value").alias("score"))
+
+
+@query(f"{U}, loci AS (SELECT d.source AS locus, u.taxon, u.seq FROM unaligned u JOIN documents d ON d.doc_id = u.taxon) SELECT count(DISTINCT locus) AS n_loci, count(DISTINCT taxon) AS n_taxa, CAST(max(length(seq)) AS INT) AS longest FROM loci")
+def summary_of_all(spark: SparkSession, d: str) -> DataFrame:
+    seq = F.upper(F.regexp_replace("text", "[^ACGTacgt]", ""))
+    loci = V.table(spark, d, "documents").select(F.col("source").alias("locus"), F.col("doc_id").alias("taxon"), seq.alias("seq"))
+    return W.summary_of_all(loci)
+
+
 _register_whole()

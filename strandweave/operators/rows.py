@@ -120,6 +120,11 @@ def summary(loci: DataFrame) -> DataFrame:
     )
 
 
+def summary_of_all(loci: DataFrame) -> DataFrame:
+    """(n_loci, n_taxa, longest) over all loci, one row; a taxon of several loci counts once."""
+    return loci.agg(F.count_distinct("locus").alias("n_loci"), F.count_distinct("taxon").alias("n_taxa"), F.max(F.length("seq")).alias("longest"))
+
+
 def pad(aln: DataFrame) -> DataFrame:
     """Rows padded with gaps to the longest one."""
     longest = aln.agg(F.max(F.length("seq")).alias("__width"))

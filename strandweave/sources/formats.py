@@ -1,58 +1,96 @@
-"""Sequence files as DataFrames: FASTA, COMPACT3 and relaxed PHYLIP, read and written by Spark's text source."""
+"""Sequence files as DataFrames: FASTA, COMPACT, COMPACT3 and Stockholm read, these, COMPACT2 and
+relaxed PHYLIP written, by Spark's text source.
+
+Readers give one row per record, in no order; a name that two records have is two rows (see
+``rows.duplicate_names``). Empty files have no records.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandweave.functions.residues import GAP, degap, is_legal
-from strandweave.operators.columns import gap_runs
+from strandweave.functions.residues import ALPHABETS, GAP, degap, in_alphabet, inline_gap_counts, is_legal, missing_policy
+from strandweave.functions.residues import gap_runs as gap_run_array
+from strandweave.operators.columns import sparse
 
 
 def fasta_line(taxon: str = "taxon", seq: str = "seq") -> Column:
     return F.concat(F.lit(">"), F.col(taxon).cast("string"), F.lit("\n"), F.col(seq))
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """(taxon, lines): one row per record of a file of ``>`` records, splittable between them."""
-    raw = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "^>", "").alias("value"))
-    lines = F.transform(F.split(F.regexp_replace("value", "\r\n?", "\n"), "\n"), lambda x: F.trim(x))
+def records_of(raw: DataFrame) -> DataFrame:
+    """(taxon, lines) of (value): the name in the first line of each record, with or without its ``>``, and the other lines."""
+    body = F.regexp_replace(F.regexp_replace("value", "^>", ""), "\r\n?", "\n")
+    lines = F.transform(F.split(body, "\n"), lambda x: F.trim(x))
     return raw.where("trim(value) <> ''").select(lines[0].alias("taxon"), F.filter(F.slice(lines, 2, F.size(lines)), lambda x: x != "").alias("lines"))
 
 
-def read_fasta(spark: SparkSession, path: str, upper: bool = True) -> DataFrame:
-    """(taxon, seq). Records without a name and illegal symbols raise; white space inside rows goes."""
-    rows = read_records(spark, path).select("taxon", F.regexp_replace(F.array_join("lines", ""), r"\s", "").alias("seq"))
+def read_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(taxon, lines): one row per record of files of ``>`` records, splittable between them.
+
+    Text before a file's first ``>`` raises. Records are split at line ends before ``>``, so only a
+    file's first one still has it: a file in which none has it begins with something else.
+    """
+    raw = spark.read.option("lineSep", "\n>").text(path)
+    begun = F.bool_or(F.col("value").startswith(">") | (F.trim("value") == ""))
+    stray = raw.groupBy(F.col("_metadata.file_path").alias("__file")).agg(begun.alias("__ok")).where("not __ok").agg(F.min("__file").alias("__stray"))
+    value = F.when(F.col("__stray").isNull(), F.col("value")).otherwise(F.raise_error(F.concat(F.lit("text before the first record of "), F.col("__stray"))))
+    return records_of(raw.crossJoin(F.broadcast(stray)).select(value.alias("value")))
+
+
+def fasta_rows(records: DataFrame, upper: bool = True, datatype: str | None = None) -> DataFrame:
+    """(taxon, seq) of (taxon, lines). Records without a name and illegal symbols raise; white space
+    inside rows goes. With ``datatype`` its alphabet holds, and a record without residues raises."""
+    rows = records.select("taxon", F.regexp_replace(F.array_join("lines", ""), r"\s", "").alias("seq"))
     named = F.when(F.col("taxon") == "", F.raise_error(F.lit("a record has no name"))).otherwise(F.col("taxon"))
-    legal = F.when(is_legal(F.col("seq")), F.upper("seq") if upper else F.col("seq")).otherwise(F.raise_error(F.concat(F.lit("illegal symbol in "), F.col("taxon"))))
+    seq = F.col("seq")
+    if datatype and datatype.upper() not in ALPHABETS:
+        raise ValueError(f"no such datatype: {datatype}")
+    fits = in_alphabet(seq, datatype) if datatype else is_legal(seq)
+    legal = F.when(fits, F.upper(seq) if upper else seq).otherwise(F.raise_error(F.concat(F.lit("illegal symbol in "), F.col("taxon"))))
+    if datatype:
+        legal = F.when(seq == "", F.raise_error(F.concat(F.lit("no residues follow the name "), F.col("taxon")))).otherwise(legal)
     return rows.select(named.alias("taxon"), legal.alias("seq"))
 
 
+def read_fasta(spark: SparkSession, path: str | list[str], upper: bool = True, datatype: str | None = None) -> DataFrame:
+    """(taxon, seq) of FASTA files; see ``fasta_rows``."""
+    return fasta_rows(read_records(spark, path), upper, datatype)
+
+
 def write_fasta(aln: DataFrame, path: str, compression: str = "none") -> None:
     aln.select(fasta_line()).write.option("compression", compression).text(path)
 
 
-def write_unaligned_fasta(aln: DataFrame, path: str) -> None:
+def write_unaligned_fasta(aln: DataFrame, path: str, compression: str = "none") -> None:
     """Rows without gaps; empty ones are left out."""
     rows = aln.select("taxon", degap(F.col("seq")).alias("seq")).where("seq <> ''")
-    write_fasta(rows, path)
+    write_fasta(rows, path, compression)
 
 
 def compact3_rows(aln: DataFrame) -> DataFrame:
     """(taxon, residues, runs): the residues, and each run of gaps as ``first-last``, from 0."""
-    run = F.struct("first", F.concat_ws("-", "first", "last").alias("text"))
-    runs = gap_runs(aln).groupBy("taxon").agg(F.array_join(F.transform(F.array_sort(F.collect_list(run)), lambda x: x["text"]), " ").alias("runs"))
-    return aln.join(runs, "taxon", "left").select("taxon", degap(F.col("seq")).alias("residues"), F.coalesce("runs", F.lit("")).alias("runs"))
+    runs = F.array_join(F.transform(gap_run_array(F.col("seq")), lambda x: F.concat_ws("-", x["first"], x["last"])), " ")
+    return aln.select("taxon", degap(F.col("seq")).alias("residues"), runs.alias("runs"))
+
+
+def compact3_line() -> Column:
+    return F.concat(F.lit(">"), F.col("taxon").cast("string"), F.lit("\n"), F.col("residues"), F.lit("\n@ "), F.col("runs"))
+
 
+def write_compact3(aln: DataFrame, path: str, compression: str = "none") -> None:
+    compact3_rows(aln).select(compact3_line()).write.option("compression", compression).text(path)
 
-def write_compact3(aln: DataFrame, path: str) -> None:
-    rows = compact3_rows(aln)
-    rows.select(F.concat(F.lit(">"), F.col("taxon").cast("string"), F.lit("\n"), F.col("residues"), F.lit("\n@ "), F.col("runs"))).write.text(path)
 
+def read_compact3(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(taxon, seq) of COMPACT3 files; see ``compact3_decoded``."""
+    return compact3_decoded(read_records(spark, path))
 
-def read_compact3(spark: SparkSession, path: str) -> DataFrame:
-    """(taxon, seq); lines that begin with ``#`` are passed over, gaps inside residues raise."""
-    rows = read_records(spark, path).select("taxon", F.filter("lines", lambda x: ~x.startswith("#")).alias("lines"))
+
+def compact3_decoded(records: DataFrame) -> DataFrame:
+    """(taxon, seq) of (taxon, lines); lines that begin with ``#`` are passed over, gaps inside residues raise."""
+    rows = records.select("taxon", F.filter("lines", lambda x: ~x.startswith("#")).alias("lines"))
     residues = F.array_join(F.filter("lines", lambda x: ~x.startswith("@")), "")
     runs = F.filter(F.split(F.array_join(F.transform(F.filter("lines", lambda x: x.startswith("@")), lambda x: F.substring(x, 2, 1 << 30)), " "), " "), lambda x: x != "")
     pairs = F.transform(runs, lambda x: F.struct(F.split_part(x, F.lit("-"), F.lit(1)).cast("int").alias("a"), F.split_part(x, F.lit("-"), F.lit(2)).cast("int").alias("b")))
@@ -80,8 +118,72 @@ def phylip_lines(aln: DataFrame) -> DataFrame:
     return size.select(F.lit("").alias("place"), even.alias("line")).union(aln.select(name, F.concat_ws(" ", fit, "seq")))
 
 
-def write_phylip(aln: DataFrame, path: str) -> None:
-    phylip_lines(aln).orderBy("place").select("line").write.text(path)
+def write_phylip(aln: DataFrame, path: str, compression: str = "none") -> None:
+    phylip_lines(aln).orderBy("place").select("line").write.option("compression", compression).text(path)
+
+
+def compact_line(residues: str = "residues", pos: str = "pos") -> Column:
+    """Residues, a line ``<`` and their columns, from the sparse form: what ``compact_decoded`` reads."""
+    return F.concat(F.lit(">"), F.col("taxon").cast("string"), F.lit("\n"), F.col(residues), F.lit("\n<\n"), F.array_join(F.col(pos).cast("array<string>"), " "))
+
+
+def compact_decoded(records: DataFrame) -> DataFrame:
+    """(taxon, residues, pos) of (taxon, lines): residues, then behind a line ``<`` their columns.
+
+    A record with another number of columns than residues, without a name or with an illegal symbol raises.
+    """
+    mark = F.array_position(F.transform("lines", lambda x: x.startswith("<")), True)
+    upto = F.when(mark > 0, mark - 1).otherwise(F.size("lines")).cast("int")
+    residues = F.upper(F.regexp_replace(F.array_join(F.slice("lines", F.lit(1), upto), ""), r"\s", ""))
+    after = F.filter("lines", lambda x, i: (mark > 0) & (i >= mark))
+    pos = F.transform(F.filter(F.split(F.array_join(after, " "), r"\s+"), lambda x: x != ""), lambda x: x.cast("int"))
+    rows = records.select("taxon", residues.alias("residues"), pos.alias("pos"))
+    wrong = F.when(F.col("taxon") == "", "a record has no name").when(~is_legal(F.col("residues")), "illegal symbol").when(F.length("residues") != F.size("pos"), "columns do not match residues")
+    checked = F.when(wrong.isNull(), F.col("residues")).otherwise(F.raise_error(F.concat_ws(": ", wrong, "taxon")))
+    return rows.select("taxon", checked.alias("residues"), "pos")
+
+
+def read_compact(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(taxon, residues, pos) of COMPACT files."""
+    return compact_decoded(read_records(spark, path))
+
+
+def _text_writer(lines):
+    def write_lines(aln: DataFrame, path: str, compression: str = "none") -> None:
+        lines(aln).write.option("compression", compression).text(path)
+
+    return write_lines
+
+
+write_compact = _text_writer(lambda aln: sparse(aln).select(compact_line()))
+write_compact2 = _text_writer(lambda aln: sparse(aln).select(compact2_line()))
+write_inline_compact = _text_writer(lambda aln: aln.select("taxon", inline_gap_counts(F.col("seq")).alias("seq")).select(fasta_line()))
+
+
+def stockholm_rows(files: DataFrame) -> DataFrame:
+    """(file, taxon, seq, insertions) of (file, text), one Stockholm alignment a row.
+
+    Blocks of ``name sequence`` lines up to ``//`` are joined by name in order of lines; blank lines
+    and those that begin with ``#`` are passed over, ``.`` becomes a gap. ``insertions``: the columns
+    in which the first sequence has a lower-case letter, ``*`` or ``.``. Other lines raise.
+    """
+    lines = F.transform(F.split(F.regexp_replace("text", "\r\n?", "\n"), "\n"), lambda x: F.trim(x))
+    end = F.array_position(lines, "//").cast("int")
+    used = F.when(end > 0, F.slice(lines, F.lit(1), F.greatest(end - 1, F.lit(0)))).otherwise(lines)
+    rows = files.select("file", F.posexplode(used).alias("k", "line")).where("line <> '' and not line like '#%'")
+    parts = F.split("line", r"\s+")
+    fit = F.when(F.size(parts) == 2, parts).otherwise(F.raise_error(F.concat(F.lit("no name and sequence: "), F.col("line"))))
+    named = rows.select("file", "k", fit.alias("p")).select("file", "k", F.get("p", 0).alias("taxon"), F.get("p", 1).alias("part"))
+    whole = named.groupBy("file", "taxon").agg(F.min("k").alias("first"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "part"))), lambda x: x["part"]), "").alias("raw"))
+    top = whole.groupBy(F.col("file").alias("__file")).agg(F.min_by("raw", "first").alias("__top"))
+    odd = F.filter(F.transform(F.split("__top", ""), lambda ch, i: F.when(ch.rlike("[a-z*.]"), i)), lambda i: i.isNotNull())
+    return whole.join(top, F.col("file").eqNullSafe(F.col("__file"))).select("file", "taxon", F.translate("raw", ".", GAP).alias("seq"), odd.alias("insertions"))
+
+
+def read_stockholm(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, taxon, seq, insertions) of Stockholm files, each of which fits a row."""
+    raw = spark.read.text(path, wholetext=True)
+    return stockholm_rows(raw.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text")))
 
 
 def compact2_line(residues: str = "residues", pos: str = "pos") -> Column:
@@ -101,23 +203,53 @@ def name_map_line() -> Column:
 
 
 def taxa(aln: DataFrame) -> DataFrame:
+    """(taxon) in order, repeated ones as often as they stand there."""
     return aln.select("taxon").orderBy("taxon")
 
 
 def reader(kind: str):
-    """The reader of a format by name; formats that have none raise."""
+    """The reader of a format by name, in any case; formats that have none raise."""
     known = {"fasta": read_fasta, "compact3": read_compact3}
     if kind.lower() not in known:
         raise ValueError(f"no reader for {kind}")
     return known[kind.lower()]
 
 
-def read_loci(spark: SparkSession, paths: list[str], kind: str = "fasta") -> DataFrame:
-    """(locus, taxon, seq): one locus per file, numbered in the order given."""
-    loci = [reader(kind)(spark, p).select(F.lit(k).alias("locus"), "taxon", "seq") for k, p in enumerate(paths)]
-    if not loci:
+WRITERS = {"fasta": write_fasta, "unaligned": write_unaligned_fasta, "compact": write_compact, "compact2": write_compact2, "compact3": write_compact3, "inline": write_inline_compact, "phylip": write_phylip}
+
+
+def write(aln: DataFrame, path: str, kind: str = "fasta", compression: str = "none") -> None:
+    """Writes (taxon, seq) in a format by name, ``compression`` none or gzip; an unknown name raises."""
+    if kind.lower() not in WRITERS:
+        raise ValueError(f"no writer for {kind}")
+    WRITERS[kind.lower()](aln, path, compression)
+
+
+def locus_paths(spark: SparkSession, folder: str) -> list[str]:
+    """The ``.fas`` and ``.fasta`` files of a folder in order of name; none, or no folder, raises."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path) or not fs.getFileStatus(path).isDirectory():
+        raise ValueError(f"no such folder: {folder}")
+    names = sorted(str(x.getPath()) for x in fs.listStatus(path) if x.isFile() and str(x.getPath()).endswith((".fas", ".fasta")))
+    if not names:
+        raise ValueError(f"no .fas or .fasta files in {folder}")
+    return names
+
+
+def read_loci(spark: SparkSession, paths: list[str] | str, kind: str = "fasta", datatype: str | None = None, missing: str | None = None) -> DataFrame:
+    """(locus, taxon, seq): one locus per file, numbered in the order given; a folder's files in order of name.
+
+    With ``datatype``, which then is a column too, its alphabet holds and missing marks are deleted (``missing`` absent, the
+    default) or become the symbol for any residue (ambiguous).
+    """
+    paths = locus_paths(spark, paths) if isinstance(paths, str) else paths
+    if not paths:
         raise ValueError("no files")
-    out = loci[0]
-    for more in loci[1:]:
-        out = out.unionByName(more)
+    out = None
+    for k, p in enumerate(paths):
+        rows = reader(kind)(spark, p, datatype=datatype) if kind.lower() == "fasta" else reader(kind)(spark, p)
+        seq = missing_policy(F.col("seq"), missing or "absent", datatype) if datatype else F.col("seq")
+        rows = rows.select(F.lit(k).alias("locus"), "taxon", seq.alias("seq"), *([F.lit(datatype.upper()).alias("datatype")] if datatype else []))
+        out = rows if out is None else out.unionByName(rows)
     return out

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+_RESERVED = re.compile(r"[\s()\[\],:;']")
 _TOKEN = re.compile(r"\s*\[[^\]]*\]|\s*(?:('(?:[^']|'')*')|([(),;:])|([^\s(),;:'\[]+))")
 
 
@@ -80,23 +81,53 @@ def read_newick(trees: DataFrame) -> DataFrame:
     return trees.select("tree_id", "newick").mapInPandas(parse, f"tree_id {dict(trees.dtypes)['tree_id']}, node int, parent int, len double, label string, is_leaf boolean")
 
 
-def to_newick(tree: DataFrame, depth: int) -> DataFrame:
-    """(newick) of (node, parent, len, label) at most ``depth`` levels deep, children in order of node.
+def to_newick(tree: DataFrame, depth: int | None = None) -> DataFrame:
+    """(newick) of (node, parent, len, label), children in order of node, of any depth.
 
-    Works a level at a time from the leaves up; a deeper node raises. Labels with reserved characters are quoted.
+    With a tree_id column there is one row per tree. A tree's text is one row, so its nodes meet in
+    one task, which goes through them without recursion. Labels with reserved characters are quoted.
+    Nodes whose parent is missing raise, as do those deeper than ``depth`` levels if it is given.
+    An empty table has no text.
     """
-    quoted = F.when(F.col("label").rlike(r"[\s()\[\],:;']"), F.concat(F.lit("'"), F.replace("label", F.lit("'"), F.lit("''")), F.lit("'"))).otherwise(F.coalesce("label", F.lit("")))
-    tail = F.concat(quoted, F.coalesce(F.concat(F.lit(":"), F.regexp_replace(F.col("len").cast("string"), r"\.0$", "")), F.lit("")))
-    rows = tree.select("node", "parent", tail.alias("tail"))
-    level = {0: rows.where("parent is null").select("node", "parent", "tail")}
-    for k in range(1, depth + 1):
-        above = level[k - 1].select(F.col("node").alias("up"))
-        level[k] = rows.join(above, rows["parent"] == above["up"], "left_semi")
-    inner = rows.select(F.col("parent").alias("up")).distinct()
-    deeper = F.raise_error(F.concat(F.lit(f"nodes deeper than {depth} levels, below node "), F.col("node").cast("string")))
-    text = level[depth].join(inner, level[depth]["node"] == inner["up"], "left").select("node", "parent", F.when(F.col("up").isNotNull(), deeper).otherwise(F.col("tail")).alias("text"))
-    for k in range(depth - 1, -1, -1):
-        inside = text.groupBy(F.col("parent").alias("up")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node", "text"))), lambda x: x["text"]), ",").alias("inside"))
-        met = level[k].join(inside, level[k]["node"] == inside["up"], "left")
-        text = met.select("node", "parent", F.concat(F.coalesce(F.concat(F.lit("("), F.col("inside"), F.lit(")")), F.lit("")), "tail").alias("text"))
-    return text.select(F.concat("text", F.lit(";")).alias("newick"))
+
+    def compose(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("node", kind="stable")
+        nodes = frame["node"].tolist()
+        parent = dict(zip(nodes, [None if pd.isna(p) else int(p) for p in frame["parent"]], strict=True))
+        tail = {n: _tail(label, length) for n, label, length in zip(nodes, frame["label"], frame["len"], strict=True)}
+        kids: dict[int, list[int]] = {n: [] for n in nodes}
+        for n in nodes:
+            if parent[n] is not None:
+                if parent[n] not in kids:
+                    raise ValueError(f"node {n} hangs under {parent[n]}, which is missing")
+                kids[parent[n]].append(n)
+        done = 0
+        texts = []
+        for root in (n for n in nodes if parent[n] is None):
+            out, stack = [], [(root, 0, 0)]  # node, its next child, its level
+            while stack:
+                n, k, level = stack.pop()
+                if depth is not None and level > depth:
+                    raise ValueError(f"nodes deeper than {depth} levels, below node {parent[n]}")
+                done += k == 0
+                if k < len(kids[n]):
+                    out.append("(" if k == 0 else ",")
+                    stack += [(n, k + 1, level), (kids[n][k], 0, level + 1)]
+                else:
+                    out.append(")" * bool(kids[n]) + tail[n])
+            texts.append("".join(out) + ";")
+        if done != len(nodes):
+            raise ValueError("some nodes hang under each other in a ring")
+        return pd.DataFrame({"newick": texts}) if "tree_id" not in frame else pd.DataFrame({"tree_id": frame["tree_id"].iloc[0], "newick": texts})
+
+    if "tree_id" in tree.columns:
+        kind = dict(tree.dtypes)["tree_id"]
+        return tree.select("tree_id", "node", "parent", "len", "label").groupBy("tree_id").applyInPandas(compose, f"tree_id {kind}, newick string")
+    return tree.select("node", "parent", "len", "label").groupBy(F.lit(0).alias("__tree")).applyInPandas(lambda frame: compose(frame), "newick string")
+
+
+def _tail(label: str | None, length: float | None) -> str:
+    text = "" if label is None or label != label else label
+    if _RESERVED.search(text):
+        text = "'" + text.replace("'", "''") + "'"
+    return text if length is None or length != length else f"{text}:{length!r}".removesuffix(".0")

@@ -68,6 +68,12 @@ def aligned(spark: SparkSession, sf_dir: str, *also: str) -> DataFrame:
     return docs.select(F.col("doc_id").alias("taxon"), F.rpad(F.translate(letters, LETTERS, RESIDUES), COLUMNS, "-").alias("seq"), *also)
 
 
+def wide(spark: SparkSession, sf_dir: str, *also: str) -> DataFrame:
+    """(taxon, seq, ...): each whole text as one ragged row, thousands of columns wide."""
+    letters = F.upper(F.regexp_replace("text", "[^ A-Za-z]", ""))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("taxon"), F.translate(letters, LETTERS, RESIDUES).alias("seq"), *also)
+
+
 def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(node, parent, len, is_leaf): root, regions, nations, customers."""
     region, nation, customer = (table(spark, sf_dir, t) for t in ("region", "nation", "customer"))
@@ -77,6 +83,7 @@ def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.union(customer.select((1000 + F.col("c_custkey")).cast("int"), (100 + F.col("c_nationkey")).cast("int"), F.abs("c_acctbal") / 1000, F.lit(True)))
 
 
+WIDE_SQL = f"wide AS (SELECT doc_id AS taxon, translate(upper(regexp_replace(text, '[^ A-Za-z]', '', 'g')), '{LETTERS}', '{RESIDUES}') AS seq, source FROM documents)"
 UNALIGNED_SQL = "unaligned AS (SELECT doc_id AS taxon, upper(regexp_replace(text, '[^ACGTacgt]', '', 'g')) AS seq FROM documents)"
 ALIGNED_SQL = f"aligned AS (SELECT doc_id AS taxon, rpad(translate(substring(upper(regexp_replace(text, '[^ A-Za-z]', '', 'g')), 1, {COLUMNS}), '{LETTERS}', '{RESIDUES}'), {COLUMNS}, '-') AS seq, lang, source FROM documents)"
 WHOLE_SQL = f"""lettered AS (SELECT doc_id, lang, source, upper(regexp_replace(text, '[^ A-Za-z]', '', 'g')) AS letters FROM documents),
