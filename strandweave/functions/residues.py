@@ -87,6 +87,12 @@ def tree_model(datatype: Column, model: Column) -> Column:
     return F.when(F.upper(datatype) == "PROTEIN", protein).when(gamma, "GTRGAMMA").otherwise("GTRCAT")
 
 
+def once(**columns: Column) -> Column:
+    """Generated columns that are worked out once a row, however often later expressions use them;
+    plain projections would be folded into those and repeated."""
+    return F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()])))
+
+
 def symbols(seq: Column) -> Column:
     """The symbols of a row as an array; empty for an empty row, null for null."""
     return F.filter(F.split(seq, ""), lambda ch: ch != "")

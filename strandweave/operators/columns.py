@@ -105,7 +105,7 @@ def dense(rows: DataFrame, columns: int | Column) -> DataFrame:
 
 def gap_runs(aln: DataFrame) -> DataFrame:
     """(taxon, first, last) of each run of gaps, both included, from 0; row by row, without a shuffle."""
-    return aln.select("taxon", F.explode(R.gap_runs(F.col("seq"))).alias("__run")).select("taxon", "__run.first", "__run.last")
+    return aln.select("taxon", F.inline(R.gap_runs(F.col("seq"))))
 
 
 def residue_ordinals(aln: DataFrame) -> DataFrame:

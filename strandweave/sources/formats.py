@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandweave.functions.residues import ALPHABETS, GAP, degap, in_alphabet, inline_gap_counts, is_legal, missing_policy
+from strandweave.functions.residues import ALPHABETS, GAP, degap, flags, in_alphabet, inline_gap_counts, is_legal, missing_policy, once, placed, symbols
 from strandweave.functions.residues import gap_runs as gap_run_array
 from strandweave.operators.columns import sparse
 
@@ -23,7 +23,8 @@ def records_of(raw: DataFrame) -> DataFrame:
     """(taxon, lines) of (value): the name in the first line of each record, with or without its ``>``, and the other lines."""
     body = F.regexp_replace(F.regexp_replace("value", "^>", ""), "\r\n?", "\n")
     lines = F.transform(F.split(body, "\n"), lambda x: F.trim(x))
-    return raw.where("trim(value) <> ''").select(lines[0].alias("taxon"), F.filter(F.slice(lines, 2, F.size(lines)), lambda x: x != "").alias("lines"))
+    split = raw.where("trim(value) <> ''").select(once(__lines=lines))
+    return split.select(once(taxon=F.get("__lines", 0), lines=F.filter("__lines", lambda x, i: (i > 0) & (x != ""))))
 
 
 def read_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -72,7 +73,7 @@ def write_unaligned_fasta(aln: DataFrame, path: str, compression: str = "none")
 def compact3_rows(aln: DataFrame) -> DataFrame:
     """(taxon, residues, runs): the residues, and each run of gaps as ``first-last``, from 0."""
     runs = F.array_join(F.transform(gap_run_array(F.col("seq")), lambda x: F.concat_ws("-", x["first"], x["last"])), " ")
-    return aln.select("taxon", degap(F.col("seq")).alias("residues"), runs.alias("runs"))
+    return aln.select("taxon", once(seq=F.col("seq"))).select("taxon", once(residues=degap(F.col("seq")), runs=runs))
 
 
 def compact3_line() -> Column:
@@ -95,15 +96,15 @@ def compact3_decoded(records: DataFrame) -> DataFrame:
     runs = F.filter(F.split(F.array_join(F.transform(F.filter("lines", lambda x: x.startswith("@")), lambda x: F.substring(x, 2, 1 << 30)), " "), " "), lambda x: x != "")
     pairs = F.transform(runs, lambda x: F.struct(F.split_part(x, F.lit("-"), F.lit(1)).cast("int").alias("a"), F.split_part(x, F.lit("-"), F.lit(2)).cast("int").alias("b")))
 
-    def grow(acc: Column, r: Column) -> Column:
-        # residues up to the run, then the run: a run's place counts the gaps before it
-        n = r["a"] - F.length(acc["out"])
-        return F.struct(F.concat(acc["out"], F.substring(acc["rest"], F.lit(1), n), F.repeat(F.lit(GAP), r["b"] - r["a"] + 1)).alias("out"), F.substring(acc["rest"], n + 1, F.length(acc["rest"])).alias("rest"))
-
-    start = F.struct(F.lit("").alias("out"), F.col("residues").alias("rest"))
-    decoded = F.aggregate("pairs", start, grow, lambda acc: F.concat(acc["out"], acc["rest"]))
-    plain = F.when(F.col("residues").contains(GAP), F.raise_error(F.concat(F.lit("gaps among the residues of "), F.col("taxon")))).otherwise(decoded)
-    return rows.select("taxon", residues.alias("residues"), pairs.alias("pairs")).select("taxon", plain.alias("seq"))
+    # columns that are gaps, then those that are not, which residues take in order
+    gaps = F.array_sort(F.array_distinct(F.flatten(F.transform(pairs, lambda r: F.sequence(r["a"], r["b"])))))
+    checked = F.when(residues.contains(GAP), F.raise_error(F.concat(F.lit("gaps among the residues of "), F.col("taxon")))).otherwise(residues)
+    found = rows.select("taxon", once(residues=checked, gaps=gaps))
+    n = F.length("residues") + F.size("gaps")
+    every = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    free = F.filter(F.arrays_zip(every.alias("i"), flags(F.col("gaps")).alias("m")), lambda x: x["i"].isNotNull() & ~F.coalesce(x["m"], F.lit(False)))
+    free_of = found.select("taxon", "residues", once(places=F.transform(free, lambda x: x["i"]), n=n))
+    return free_of.select("taxon", placed(symbols(F.col("residues")), F.col("places"), F.col("n")).alias("seq"))
 
 
 def phylip_lines(aln: DataFrame) -> DataFrame:
@@ -137,7 +138,7 @@ def compact_decoded(records: DataFrame) -> DataFrame:
     residues = F.upper(F.regexp_replace(F.array_join(F.slice("lines", F.lit(1), upto), ""), r"\s", ""))
     after = F.filter("lines", lambda x, i: (mark > 0) & (i >= mark))
     pos = F.transform(F.filter(F.split(F.array_join(after, " "), r"\s+"), lambda x: x != ""), lambda x: x.cast("int"))
-    rows = records.select("taxon", residues.alias("residues"), pos.alias("pos"))
+    rows = records.select("taxon", once(residues=residues, pos=pos))
     wrong = F.when(F.col("taxon") == "", "a record has no name").when(~is_legal(F.col("residues")), "illegal symbol").when(F.length("residues") != F.size("pos"), "columns do not match residues")
     checked = F.when(wrong.isNull(), F.col("residues")).otherwise(F.raise_error(F.concat_ws(": ", wrong, "taxon")))
     return rows.select("taxon", checked.alias("residues"), "pos")
