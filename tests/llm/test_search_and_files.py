@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from strandweave.llm import fingerprints, hamming, jaccard, licenses, warc
@@ -151,6 +152,104 @@ def test_fingerprints_do_not_depend_on_ranges(docs, monkeypatch):
     assert sorted(map(tuple, fingerprints.fingerprint(df.repartition(5)).collect())) == one
 
 
+def test_fingerprints_against_sets(docs):
+    """Signatures agree exactly where the sets of terms do; likenesses are those of the sets."""
+    rnd = random.Random(9)
+    words = [f"t{k}" for k in range(400)]
+    texts = [" ".join(rnd.choice(words) for _ in range(rnd.randint(1, 40))) for _ in range(120)] + ["Only once", "only ONCE", "b a", "a b", "", None, "x"]
+    rows = list(enumerate(texts))
+    got = {r["doc_id"]: r for r in fingerprints.fingerprint(docs([(i, t, "s") for i, t in rows])).collect()}
+    sets = {i: set(re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())) for i, t in rows}
+    df = {}
+    for x in sets.values():
+        for t in x:
+            df[t] = df.get(t, 0) + 1
+    low = max(2, int(np.ceil(fingerprints.LEAST_SHARE * len(rows))))
+    band = {t for t, n in df.items() if low <= n <= max(low, fingerprints.MOST_SHARE * len(rows))}
+    assert 10 < len(band) < len(df)
+
+    def number(term):
+        _, hashes, _ = next(fingerprints._terms(pa.array([term])))
+        return hashes
+
+    own = {t: [int(fingerprints.T.mix(number(t) ^ seed)[0]) for seed in fingerprints._SEEDS] for t in df}
+    limits = [int(x) for x in fingerprints._LIMITS]
+    subsets = {i: [x] + [{t for t in x & band if own[t][k] < limits[k]} for k in range(len(limits))] for i, x in sets.items()}
+    pieces = {i: [r["fingerprint"][16 * k : 16 * k + 16] for k in range(len(limits) + 1)] for i, r in got.items()}
+    for k in range(len(limits) + 1):
+        by_set, by_sign = {}, {}
+        for i in sets:
+            by_set.setdefault(frozenset(subsets[i][k]), set()).add(pieces[i][k])
+            by_sign.setdefault(pieces[i][k], set()).add(frozenset(subsets[i][k]))
+        assert all(len(v) == 1 for v in by_set.values()) and all(len(v) == 1 for v in by_sign.values())
+    for i, _ in rows:
+        a, b = subsets[i], subsets[(i + 1) % len(rows)]
+        either = sum(bool(x or y) for x, y in zip(a[1:], b[1:], strict=True))
+        want = 1.0 if a[0] == b[0] else sum(bool(x) and x == y for x, y in zip(a[1:], b[1:], strict=True)) / max(1, either)
+        assert abs(got[i]["near_next"] - want) < 1e-9
+    assert got[120]["near_next"] == 1.0 and got[123]["near_next"] == 0.0  # the same terms; no terms beside some
+
+
+def test_short_texts_are_told_apart(docs):
+    rnd = random.Random(2)
+    rows = [(k, " ".join(f"r{rnd.randrange(10**9)}" for _ in range(1 + k % 10)), "s") for k in range(300)]
+    got = fingerprints.fingerprint(docs([*rows, (999, "long " * 60_000, "s")])).collect()
+    assert len({r["fingerprint"] for r in got}) == 301 and max(r["near_next"] for r in got) == 0.0
+
+
+def test_members_are_read_by_their_place(spark, tmp_path):
+    import gzip
+
+    pages = [(k, f"http://h{k % 4}.example/{k}", f"<p>{k}</p>" * (k % 50)) for k in range(400)] + [(5, "http://h1.example/5", "again"), (1000, "http://long.example/", "y" * 3_000_000)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(6)
+    folder = str(tmp_path / "w")
+    got = warc.archive(df, folder).collect()
+    assert len(got) == len(pages)
+    for r in got[::25]:
+        with open(f"{folder}/{r['archive']}", "rb") as f:
+            f.seek(r["offset"])
+            headers, payload = warc.parsed(gzip.decompress(f.read(r["length"])))
+        assert headers["WARC-Payload-Digest"] == f"sha1:{r['payload_digest']}" and len(payload) in (0, r["payload_bytes"])
+    with open(f"{folder}/{got[0]['archive']}", "rb") as f:
+        data = f.read()
+    assert gzip.decompress(data) == b"".join(x for _, _, x in warc.members(data))
+    with pytest.raises(ValueError, match="cut short"):
+        list(warc.members(data[:-40]))
+    order = sorted(got, key=lambda r: (r["merge_range"], r["merge_position"]))
+    keys = [(r["url_key"], r["captured_at"], r["page_id"]) for r in order]
+    assert keys == sorted(keys)
+
+
+def test_merging_in_levels(monkeypatch):
+    monkeypatch.setattr(warc, "FAN_IN", 3)
+    rnd = random.Random(8)
+    runs = [sorted(rnd.randrange(99) for _ in range(rnd.randrange(9))) for _ in range(40)]
+    assert list(warc.merged([iter(r) for r in runs])) == sorted(x for r in runs for x in r) and list(warc.merged([])) == []
+
+
+def test_fewer_rows_than_asked_for(spark):
+    rows = [(0, [1.0, -1.0], 1), (0, [-1.0, -1.0], 1), (3, [1.0, 1.0], 1), (50, [1.0, 1.0], 1)]
+    got = hamming.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int")).collect()
+    assert sorted((r["query_id"], r["neighbor_id"], r["distance"], r["rank"]) for r in got) == [(0, 3, 2, 1), (0, 50, 2, 2), (50, 0, 2, 2), (50, 3, 0, 1)]
+
+
+def test_long_near_copies(docs):
+    long = [f"w{k % 977}x{k % 31}" for k in range(60_000)]
+    near = list(long)
+    near[::500] = ["other"] * len(near[::500])
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(docs([(1, " ".join(long), "s"), (2, " ".join(near), "s"), (3, " ".join(long[:30_000]), "s")])).collect()}
+    assert got == {i: c for i, (_, c) in by_hand([(1, " ".join(long)), (2, " ".join(near)), (3, " ".join(long[:30_000]))]).items()}
+
+
+def test_scans_of_odd_tables(docs):
+    rows = [(1, "MIT License\n", "s"), (1, "MIT License\n", "s"), (None, "cc by", "s"), (None, None, "s")]
+    got = [(r["doc_id"], r["base_labels"]) for r in licenses.scan(docs(rows)).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, [(1, "mit"), (1, "mit"), (None, "cc-by"), (None, "")]))
+    assert licenses.scan(docs([])).collect() == []
+    (r,) = licenses.scan(docs([(1, "é SPDX-License-Identifier no colon. SPDX license identifier : ISC and (MIT)\n spdx-license-identifier: (GPL) WITH x", "s")])).collect()
+    assert r["expressions"] == ["isc mit and"] and r["permissive"]
+
+
 def test_license_scan(docs):
     texts = {
         1: "Licensed under the MIT License, or the Apache-License. gnu GENERAL public license",
@@ -184,6 +283,6 @@ def test_expressions(text, postfix, names, allowed):
     assert licenses.evaluate(postfix) == (names, allowed)
 
 
-@pytest.mark.parametrize("text", ["", "AND MIT", "(MIT", "MIT OR", "()"])
+@pytest.mark.parametrize("text", ["", "AND MIT", "(MIT", "MIT OR", "()", "(MIT OR ISC) WITH e", "MIT WITH e WITH f", "MIT WITH (e)", "MIT WITH"])
 def test_no_expressions(text):
     assert licenses.parse(text) is None
