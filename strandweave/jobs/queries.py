@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandweave.functions import residues as R
+from strandweave.operators import builders as B
 from strandweave.operators import columns as C
 from strandweave.operators import decompose as D
 from strandweave.operators import merge as M
@@ -724,6 +725,26 @@ def subset_tree(spark: SparkSession, d: str) -> DataFrame:
     return D.subset_tree(tree, closure, D.decompose(tree, closure, _MOST))
 
 
+def _by_lang(spark: SparkSession, d: str) -> DataFrame:
+    """(subset, taxon, seq): the consensus of each language's rows by source, from whole texts."""
+    rows = V.blocks(spark, d, "lang", "source").select(F.struct("lang", "source").alias("locus"), "seq")
+    return W.consensus(rows).select(F.col("locus.lang").alias("subset"), F.col("locus.source").alias("taxon"), "seq")
+
+
+@query()
+def joined_trees(spark: SparkSession, d: str) -> DataFrame:
+    """A tree of each language's sources, as text."""
+    trees = B.neighbour_joining(_by_lang(spark, d)).withColumnRenamed("subset", "tree_id")
+    return N.to_newick(trees.withColumn("len", F.round("len", 9)))
+
+
+@query()
+def random_trees(spark: SparkSession, d: str) -> DataFrame:
+    """A seeded tree of each thousand of documents, in order of id."""
+    ranked = global_rank(V.table(spark, d, "documents").select(F.col("doc_id").alias("taxon")), "taxon")
+    return B.random_trees(ranked.select(F.floor(F.col("rank") / 1000).alias("subset"), "taxon"))
+
+
 # whole texts as wide rows
 
 
