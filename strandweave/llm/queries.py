@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, hamming, jaccard, licenses, mixing, packing, quality, sharding, toxicity, warc
+from . import clustering, fingerprints, hamming, jaccard, licenses, mixing, packing, quality, sharding, toxicity, tries, warc, whitening
 from .common import read
 
 
@@ -52,8 +52,20 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.deduplicate(read(spark, sf_dir, "documents"))
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_source_mixing, op2_lpt_sharding, op3_toxicity, op4_ngram_jaccard, op5_imatch_fingerprints, op6_hamming_topk, op7_warc, op8_quality, op9_license_scan, op10_packing)}
+    return {f.__name__: f for f in (op1_source_mixing, op2_lpt_sharding, op3_toxicity, op4_ngram_jaccard, op5_imatch_fingerprints, op6_hamming_topk, op7_warc, op8_quality, op9_license_scan, op10_packing, op11_whitening, op12_exact_dedup, op13_centroid_clusters)}
 
 
 _OP4 = r"""WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -73,7 +85,42 @@ ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY dist
 SELECT query_id, neighbor_id, distance, rank FROM ranked WHERE rank <= 10"""
 
 
+_OP12 = """WITH texts AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+groups AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size, sha256(t) AS text_sha256 FROM texts GROUP BY t)
+SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, g.text_sha256 FROM texts d JOIN groups g ON g.t = d.t"""
+
+
+def _op13() -> str:
+    """Rounds of clustering one after another: assign every vector to its nearest centroid, move the centroids."""
+
+    def nearest(c: str) -> str:
+        apart = f"list_sum(list_transform(range(1, {clustering.DIMS + 1}), lambda i: (k.v[i] - c.v[i]) * (k.v[i] - c.v[i])))"
+        return f"SELECT k.n, min((CAST({apart} AS BIGINT), c.c)) AS best FROM kept k, {c} c GROUP BY k.n"
+
+    steps = [
+        f"sized AS (SELECT vec_id, embedding FROM embeddings WHERE len(embedding) = {clustering.DIMS} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {clustering.DIMS})",
+        f"kept AS MATERIALIZED (SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: CAST(floor({clustering.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM sized)",
+        f"c0 AS MATERIALIZED (SELECT CAST(place - 1 AS INT) AS c, v FROM (SELECT v, row_number() OVER (ORDER BY sha256('{clustering.SEED}:' || CAST(vec_id AS VARCHAR)), v) AS place FROM kept) WHERE place <= {clustering.K})",
+    ]
+    for r in range(clustering.ROUNDS):
+        steps += [
+            f"a{r} AS MATERIALIZED ({nearest(f'c{r}')})",
+            f"s{r} AS (SELECT best[2] AS c, i, sum(k.v[i]) AS s, count(*) AS m FROM a{r} JOIN kept k USING (n), range(1, {clustering.DIMS + 1}) t(i) GROUP BY best[2], i)",
+            f"m{r} AS (SELECT c, list(CAST((s - ((s % m) + m) % m) // m AS BIGINT) ORDER BY i) AS v FROM s{r} GROUP BY c)",
+            f"c{r + 1} AS MATERIALIZED (SELECT c.c, coalesce(m.v, c.v) AS v FROM c{r} c LEFT JOIN m{r} m ON m.c = c.c)",
+        ]
+    last = f"c{clustering.ROUNDS}"
+    steps += [
+        f"ended AS MATERIALIZED (SELECT n, best[1] AS distance, best[2] AS cluster FROM ({nearest(last)}))",
+        "sums AS (SELECT cluster, CAST(sum(distance) AS BIGINT) AS cluster_inertia FROM ended GROUP BY cluster)",
+        f"names AS (SELECT c, sha256(array_to_string(list_transform(v, lambda x: CAST(x AS VARCHAR)), ',')) AS centroid_sha256 FROM {last})",
+    ]
+    return f"""WITH {", ".join(steps)}
+SELECT k.vec_id, CAST(e.cluster AS INT) AS cluster, e.distance, s.cluster_inertia, CAST((SELECT sum(distance) FROM ended) AS BIGINT) AS inertia, names.centroid_sha256
+FROM ended e JOIN kept k USING (n) JOIN sums s USING (cluster) JOIN names ON names.c = e.cluster"""
+
+
 def oracle_sql() -> dict[str, str]:
     """The others learn a model, hash, tokenize or schedule as SQL cannot; their tests hold them
     against brute force, round trips or held-out labels."""
-    return {"op4_ngram_jaccard": _OP4, "op6_hamming_topk": _OP6}
+    return {"op4_ngram_jaccard": _OP4, "op6_hamming_topk": _OP6, "op12_exact_dedup": _OP12, "op13_centroid_clusters": _op13()}
