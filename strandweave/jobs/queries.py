@@ -11,10 +11,14 @@ from strandweave.functions import residues as R
 from strandweave.operators import builders as B
 from strandweave.operators import columns as C
 from strandweave.operators import decompose as D
+from strandweave.operators import fold as L
 from strandweave.operators import merge as M
 from strandweave.operators import profiles as P
+from strandweave.operators import progressive as G
 from strandweave.operators import rows as W
+from strandweave.operators import tours as U_
 from strandweave.operators import trees as T
+from strandweave.operators.lineage import cut
 from strandweave.operators.ranks import global_rank
 from strandweave.sources import formats as S
 from strandweave.sources import trees as N
@@ -526,11 +530,64 @@ def taxon_ranks(spark: SparkSession, d: str) -> DataFrame:
 # adding sequences and shedding long branches
 
 
+def _degapped(rows: DataFrame) -> DataFrame:
+    """What an aligner must keep: each row's residues, and that all rows are of one width."""
+    widths = rows.agg(F.min(F.length("seq")).alias("__least"), F.max(F.length("seq")).alias("__most"))
+    return rows.crossJoin(F.broadcast(widths)).select("taxon", R.degap(F.col("seq")).alias("residues"), (F.col("__least") == F.col("__most")).alias("aligned"))
+
+
+_KEPT = f"WITH {V.HISTORIES_SQL} SELECT taxon, seq AS residues, true AS aligned FROM histories"
+
+
+@query()
+def align_to_profile(spark: SparkSession, d: str) -> DataFrame:
+    """Every customer's history against the profile of one nation's aligned histories."""
+    seqs = V.histories(spark, d)
+    nation = V.tree(spark, d).where("parent = 100").select(F.col("node").alias("taxon"))
+    chosen = W.sample(seqs.join(nation, "taxon", "left_semi"), 100).select(F.lit(0).alias("subset"), "taxon", "seq")
+    return P.align_to(seqs, P.profile(cut(G.align_groups(chosen))))
+
+
 @query()
-def align_to_consensus(spark: SparkSession, d: str) -> DataFrame:
-    """Every whole ragged sequence against the consensus of the rows of whole texts."""
-    consensus = W.consensus(V.blocks(spark, d).withColumn("locus", F.lit(0))).first()["seq"]
-    return P.align_to(W.unaligned(V.unaligned(spark, d)), consensus)
+def merged_subsets(spark: SparkSession, d: str) -> DataFrame:
+    """All histories as one alignment: the tree decomposed, subsets aligned, neighbours merged as profiles, folded along the spanning tree."""
+    tree = cut(T.resolve_polytomies(V.tree(spark, d)))
+    return L.align_by_tree(tree, T.ancestors(tree), V.histories(spark, d), most=50, style="mincluster")
+
+
+@query(_KEPT)
+def merged_subsets_kept(spark: SparkSession, d: str) -> DataFrame:
+    return _degapped(cut(merged_subsets(spark, d)))
+
+
+@query()
+def start_alignment(spark: SparkSession, d: str) -> DataFrame:
+    """All histories as one alignment to start from: a sample aligned, the others added in chunks, merged at once."""
+    return L.from_unaligned(V.histories(spark, d), backbone=60)
+
+
+@query(_KEPT)
+def start_alignment_kept(spark: SparkSession, d: str) -> DataFrame:
+    return _degapped(cut(start_alignment(spark, d)))
+
+
+@query(f"""{_SIDES}, parts AS (SELECT taxon, 1 + taxon % 5 AS chunk, col, CASE WHEN taxon % 10 <> 0 OR col % 10 NOT IN (3, 7) THEN ch ELSE '-' END AS ch FROM spread WHERE taxon % 10 <> 0),
+shared AS (SELECT taxon, col, CASE WHEN col % 10 IN (3, 7) THEN '-' ELSE ch END AS ch FROM spread WHERE taxon % 10 = 0),
+held AS (SELECT DISTINCT col FROM shared WHERE ch <> '-'),
+every AS (SELECT c.chunk, CAST(r.i AS INT) AS col, h.col IS NOT NULL AS held FROM range({V.COLUMNS}) r(i) CROSS JOIN (SELECT DISTINCT chunk FROM parts) c LEFT JOIN held h ON h.col = r.i),
+ranked AS (SELECT chunk, col, dense_rank() OVER (ORDER BY slot, NOT held IS FALSE, CASE WHEN held THEN 0 ELSE chunk END, CASE WHEN held THEN 0 ELSE col END) - 1 AS new_col
+  FROM (SELECT *, coalesce(sum(held::INT) OVER (PARTITION BY chunk ORDER BY col ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS slot FROM every)),
+width AS (SELECT max(new_col) + 1 AS w FROM ranked),
+moved AS (SELECT p.taxon, r.new_col, p.ch FROM parts p JOIN ranked r USING (chunk, col) UNION ALL SELECT s.taxon, r.new_col, s.ch FROM shared s JOIN ranked r ON r.col = s.col AND r.chunk = (SELECT min(chunk) FROM ranked)),
+filled AS (SELECT t.taxon, i AS col, coalesce(m.ch, '-') AS ch FROM (SELECT DISTINCT taxon FROM moved) t CROSS JOIN range((SELECT w FROM width)) r(i) LEFT JOIN moved m ON m.taxon = t.taxon AND m.new_col = i)
+SELECT taxon, string_agg(ch, '' ORDER BY col) AS seq FROM filled GROUP BY taxon""")
+def merged_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Five chunks around the rows of every tenth document, which have no residues in some columns."""
+    aln = V.aligned(spark, d)
+    blank = F.array_join(F.transform(F.split("seq", ""), lambda ch, i: F.when((i % 10).isin(3, 7), F.lit("-")).otherwise(ch)), "")
+    shared = aln.where("taxon % 10 = 0").select("taxon", blank.alias("seq"))
+    own = aln.where("taxon % 10 <> 0").select((1 + F.col("taxon") % 5).cast("int").alias("chunk"), "taxon", "seq")
+    return L.merge_chunks(own.union(own.select("chunk").distinct().crossJoin(shared)), shared)
 
 
 @query(f"{TREE}, edges AS (SELECT node, len, quantile_cont(len, 0.25) OVER (PARTITION BY parent) AS q1, quantile_cont(len, 0.75) OVER (PARTITION BY parent) AS q3 FROM tree WHERE is_leaf) SELECT node AS leaf, len FROM edges WHERE len > q3 + 0.5 * (q3 - q1)")

@@ -83,6 +83,15 @@ def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.union(customer.select((1000 + F.col("c_custkey")).cast("int"), (100 + F.col("c_nationkey")).cast("int"), F.abs("c_acctbal") / 1000, F.lit(True)))
 
 
+def histories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(taxon, seq): a ragged row for each leaf of ``tree``, the priorities of the customer's orders by date; empty without any."""
+    letter = F.translate(F.substring("o_orderpriority", 1, 1), "12345", "ACGTN")
+    orders = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("__key")).agg(F.array_sort(F.collect_list(F.struct("o_orderdate", "o_orderkey", letter.alias("ch")))).alias("x"))
+    met = table(spark, sf_dir, "customer").join(orders, F.col("c_custkey") == F.col("__key"), "left")
+    return met.select((1000 + F.col("c_custkey")).cast("int").alias("taxon"), F.coalesce(F.array_join(F.col("x.ch"), ""), F.lit("")).alias("seq"))
+
+
+HISTORIES_SQL = """histories AS (SELECT CAST(1000 + c_custkey AS INT) AS taxon, coalesce((SELECT string_agg(translate(left(o_orderpriority, 1), '12345', 'ACGTN'), '' ORDER BY o_orderdate, o_orderkey) FROM orders WHERE o_custkey = c_custkey), '') AS seq FROM customer)"""
 WIDE_SQL = f"wide AS (SELECT doc_id AS taxon, translate(upper(regexp_replace(text, '[^ A-Za-z]', '', 'g')), '{LETTERS}', '{RESIDUES}') AS seq, source FROM documents)"
 UNALIGNED_SQL = "unaligned AS (SELECT doc_id AS taxon, upper(regexp_replace(text, '[^ACGTacgt]', '', 'g')) AS seq FROM documents)"
 ALIGNED_SQL = f"aligned AS (SELECT doc_id AS taxon, rpad(translate(substring(upper(regexp_replace(text, '[^ A-Za-z]', '', 'g')), 1, {COLUMNS}), '{LETTERS}', '{RESIDUES}'), {COLUMNS}, '-') AS seq, lang, source FROM documents)"

@@ -1,7 +1,5 @@
 """Adding sequences, profile merges, aligned groups, the loop's decisions, and odd rows of the core."""
 
-import random
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +7,7 @@ from strandweave.functions import control as K
 from strandweave.operators import columns as C
 from strandweave.operators import merge as M
 from strandweave.operators import profiles as P
+from strandweave.operators import progressive as G
 from strandweave.operators import rows as W
 from strandweave.sources import formats as S
 
@@ -21,20 +20,6 @@ def as_dict(df):
     return {r["taxon"]: r["seq"] for r in df.collect()}
 
 
-def test_linear_space_is_as_good():
-    rnd = random.Random(1)
-
-    def score(s, c, at):
-        used = [j for j in at if j >= 0]
-        assert used == sorted(set(used))
-        same = sum(P.MATCH if s[i] == c[j] else P.MISMATCH for i, j in enumerate(at) if j >= 0)
-        return same + P.GAP_COST * (len(s) + len(c) - 2 * len(used))
-
-    for _ in range(60):
-        s, c = ("".join(rnd.choice("ACGT") for _ in range(rnd.randint(lo, 25))) for lo in (0, 1))
-        assert abs(score(s, c, P.place([s], c)[0]) - score(s, c, P._place_alone(s, c, 20))) < 1e-9
-
-
 def test_no_residue_is_lost(spark):
     seqs = {"q1": "ACXGT", "q2": "YYACGTZ", "q3": "", "q4": "AGT", "b": "CCC"}
     found = {r["taxon"]: r for r in P.align_to(aln(spark, list(seqs.items())), "ACGT").collect()}
@@ -63,12 +48,12 @@ def test_profile_merge(spark):
 
 def test_groups_are_aligned_by_themselves(spark):
     rows = [(1, "a", "ACGTACGT"), (1, "b", "ACGACGT"), (1, "c", "ACGTTACG"), (2, "d", "GG"), (2, "e", None)]
-    got = P.align_groups(spark.createDataFrame(rows, "subset int, taxon string, seq string")).collect()
+    got = G.align_groups(spark.createDataFrame(rows, "subset int, taxon string, seq string")).collect()
     assert {(r["subset"], r["taxon"]): r["seq"].replace("-", "") for r in got} == {(s, t): x or "" for s, t, x in rows}
     for s in (1, 2):
         assert len({len(r["seq"]) for r in got if r["subset"] == s}) == 1
     with pytest.raises(Exception, match="more than 2"):
-        P.align_groups(spark.createDataFrame(rows, "subset int, taxon string, seq string"), most=2).collect()
+        G.align_groups(spark.createDataFrame(rows, "subset int, taxon string, seq string"), most=2).collect()
 
 
 def test_repeats_nulls_and_clashes(spark):
