@@ -548,27 +548,17 @@ def align_to_profile(spark: SparkSession, d: str) -> DataFrame:
     return P.align_to(seqs, P.profile(cut(G.align_groups(chosen))))
 
 
-@query()
+@query(_KEPT)
 def merged_subsets(spark: SparkSession, d: str) -> DataFrame:
     """All histories as one alignment: the tree decomposed, subsets aligned, neighbours merged as profiles, folded along the spanning tree."""
     tree = cut(T.resolve_polytomies(V.tree(spark, d)))
-    return L.align_by_tree(tree, T.ancestors(tree), V.histories(spark, d), most=50, style="mincluster")
+    return _degapped(cut(L.align_by_tree(tree, T.ancestors(tree), V.histories(spark, d), most=50, style="mincluster")))
 
 
 @query(_KEPT)
-def merged_subsets_kept(spark: SparkSession, d: str) -> DataFrame:
-    return _degapped(cut(merged_subsets(spark, d)))
-
-
-@query()
 def start_alignment(spark: SparkSession, d: str) -> DataFrame:
     """All histories as one alignment to start from: a sample aligned, the others added in chunks, merged at once."""
-    return L.from_unaligned(V.histories(spark, d), backbone=60)
-
-
-@query(_KEPT)
-def start_alignment_kept(spark: SparkSession, d: str) -> DataFrame:
-    return _degapped(cut(start_alignment(spark, d)))
+    return _degapped(cut(L.from_unaligned(V.histories(spark, d), backbone=60)))
 
 
 @query(f"""{_SIDES}, parts AS (SELECT taxon, 1 + taxon % 5 AS chunk, col, CASE WHEN taxon % 10 <> 0 OR col % 10 NOT IN (3, 7) THEN ch ELSE '-' END AS ch FROM spread WHERE taxon % 10 <> 0),
