@@ -6,12 +6,14 @@ with itself is 1, and raised to ``POWER`` (a product of kernels is a kernel). An
 put in between, or with an ending of its own, still shares most of its subsequences. Punctuation
 inside a word is passed over and spelled-out letters are joined, so ``i.d-i*o t`` forms are seen too.
 
-Beginning and end of a word count as letters. Landmarks are words or word beginnings that the
-labelled sample ties to label 1, and words of label 0 that look most like those. The Nyström map,
-the inverse square root of the landmarks' kernel matrix, turns the kernel values of a word and of
-its beginnings into features; a document has of each feature the most that any of its words has. A
-linear machine with squared hinge loss weighs them, and a logistic curve turns its margin into a score.
-Each labelled text is learnt from twice, as it is and with a letter put into its longer words.
+Beginning and end of a word count as letters. The machine learns from words, not from texts, so that
+one insult is enough: forms that the labelled sample ties to label 1, as they are and with a letter put
+in, against all forms that texts of label 0 hold and that are like them. Landmarks are spread over the
+tied forms by a greedy determinant, so that forms of one stem share one, and include words of label 0 that
+look most like those. The Nyström map, the inverse square root of the landmarks' kernel matrix, turns
+kernel values into features; a linear machine with squared hinge loss weighs them. A text has the margins
+of its TOP highest words, and a logistic curve, fitted on the sample's texts and on tied forms alone,
+turns them into a score.
 """
 
 from __future__ import annotations
@@ -29,7 +31,6 @@ from pyspark.sql import functions as F
 
 from . import text as T
 from .common import crc_fold, cut, keep, labelled, lean, with_score
-from .jaccard import near_duplicates
 
 FOLDS, HELD_OUT = 5, 0
 #: Bounds of the labelled sample, by class.
@@ -43,6 +44,17 @@ SHORTEST = 4
 #: Twice the log likelihood ratio that a landmark's tie to label 1 needs (odds of about 1 in 10^6 by
 #: chance); where nothing reaches it, the FALLBACK best are taken.
 EVIDENCE, FALLBACK = 25.0, 8
+#: The least part of a form that the landmarks so far must leave over for it to become one.
+LEFT_OVER = 0.35
+#: Words of a text whose margins count, forms that the machine learns from at most, by frequency, how much
+#: more a form's texts of label 0 weigh, and the share of them that may score 0.5 if tied forms still do.
+TOP, MOST_FORMS, CLEAN_WEIGHT, CLEAN_SHARE = 3, 30_000, 20.0, 0.001
+#: The margin, twice that which the machine asks for, from which a tied form is sure and must be enough alone.
+SURE = 2.0
+#: One in so many groups of label 0 is left to the curve.
+ASIDE = 4
+#: Min-wise hashes that tell near copies in the sample, and how many must agree.
+HASHES, AGREE = 20, 12
 MOST_SEEN = 1_500_000
 #: Larger chunks than elsewhere: each one is held against all words seen before.
 CHUNK_BYTES = 1 << 21
@@ -142,8 +154,16 @@ class Landmarks:
         self.norms = np.sqrt((self.weights.astype(np.float64) ** 2).sum(axis=0))
         values, vectors = np.linalg.eigh(self.kernel())
         self.root = (vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T).astype(np.float32)
+        self.weigh(np.zeros(len(words) + 1))
+
+    def weigh(self, v: np.ndarray) -> None:
+        """Takes the machine's weights, the bias last; what was learnt about words goes."""
+        self.v = v.astype(np.float64)
         self.seen, self.held = np.zeros(0, np.uint64), {}
 
+    def margins(self, features: np.ndarray) -> np.ndarray:
+        return features.astype(np.float64) @ self.v[:-1] + self.v[-1]
+
     def kernel(self) -> np.ndarray:
         """The landmarks' kernel matrix."""
         g = self.weights.T.astype(np.float64) @ self.weights
@@ -189,13 +209,21 @@ class Landmarks:
             return
         values = self.values([p for _, p in parts])
         some = np.flatnonzero(values.any(axis=1))
-        for k, x in zip(some.tolist(), values[some] @ self.root, strict=True):
+        for k, m in zip(some.tolist(), self.margins(values[some] @ self.root).tolist(), strict=True):
             h = parts[k][0]
-            self.held[h] = np.maximum(self.held.get(h, 0), x)
+            if m > self.held.get(h, self.v[-1]):
+                self.held[h] = m
+
+    def tops(self, column: pa.Array) -> np.ndarray:
+        """The TOP highest margins of each text's distinct words, each the most of its portions and
+        beginnings; the bias where there are fewer."""
+        out = np.full((len(column), TOP), self.v[-1])
+
+        def told(row: int, margin: float) -> None:
+            if margin > out[row, -1]:
+                out[row, -1] = margin
+                out[row] = np.sort(out[row])[::-1]
 
-    def pooled(self, column: pa.Array) -> np.ndarray:
-        """For each text and feature, the most that any of its words has, or 0."""
-        out = np.zeros((len(column), len(self.words)), np.float32)
         for lo, _, data, starts, ends, borders in _words(column):
             hashes = T.span_hashes(data, starts, ends)
             unique, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
@@ -214,11 +242,10 @@ class Landmarks:
                 flags[hits] = True
                 places = np.flatnonzero(flags[inverse])
                 rows = lo + np.searchsorted(borders, places, "right") - 1
-                for row, h in set(zip(rows.tolist(), hashes[places].tolist(), strict=True)):
-                    np.maximum(out[row], self.held[h], out=out[row])
-            for row, word in _spelled(data, starts, ends, borders):
-                for x in self.features(_portions(word) + _shorter(word)):
-                    np.maximum(out[lo + row], x, out=out[lo + row])
+                for row, h in sorted(set(zip(rows.tolist(), hashes[places].tolist(), strict=True))):
+                    told(row, self.held[h])
+            for row, word in sorted(set(_spelled(data, starts, ends, borders))):
+                told(lo + row, float(self.margins(self.features(_portions(word) + _shorter(word))).max()))
         return out
 
 
@@ -258,20 +285,27 @@ def _counts(sample: DataFrame) -> DataFrame:
     return parts.groupBy("name").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def choose(candidates: list[tuple[str, int, float]], most: int = LANDMARKS) -> list[str]:
-    """From (name, documents of label 1, weight): the heaviest, without variants of one chosen before.
+def spread(candidates: list[tuple[str, float]], most: int = LANDMARKS) -> list[str]:
+    """From (form, weight): forms that together span the kernel's space best, heavy ones first.
 
-    A longer form takes its beginning's place if nearly as many documents hold it.
+    Each is the one of the largest weight times the part of it that those before leave over (a pivoted
+    Cholesky decomposition); what is nearly spanned already, such as another form of a stem, is passed over.
     """
-    chosen: list[tuple[str, int]] = []
-    for name, n, _ in sorted(candidates, key=lambda c: (-c[2], -len(c[0]), c[0])):
-        k = next((k for k, (z, _) in enumerate(chosen) if name.startswith(z) or z.startswith(name)), None)
-        if k is None:
-            if len(chosen) < most:
-                chosen.append((name, n))
-        elif name.startswith(chosen[k][0]) and n >= 0.9 * chosen[k][1]:
-            chosen[k] = (name, chosen[k][1])
-    return [z for z, _ in chosen]
+    if not candidates:
+        return []
+    kernel, weight = Landmarks([c for c, _ in candidates]).kernel(), np.array([w for _, w in candidates])
+    left, rows, chosen = np.ones(len(candidates)), [], []
+    while len(chosen) < most:
+        left[chosen] = 0.0
+        gain = np.where(left >= LEFT_OVER, weight * left, 0.0)
+        k = int(np.argmax(gain))
+        if gain[k] <= 0:
+            break
+        row = (kernel[k] - sum((r[k] * r for r in rows), np.zeros(len(left)))) / np.sqrt(left[k])
+        rows.append(row)
+        chosen.append(k)
+        left = np.maximum(left - row**2, 0.0)
+    return [candidates[k][0] for k in chosen]
 
 
 def disguised(text: str) -> str:
@@ -279,6 +313,11 @@ def disguised(text: str) -> str:
     return re.sub(r"\w{5,}", lambda m: f"{m[0][: len(m[0]) // 2]}x{m[0][len(m[0]) // 2 :]}", text)
 
 
+def _inserted(form: str) -> list[str]:
+    """A whole form with a letter put into each of its places, where there is room."""
+    return [f"{form[:k]}x{form[k:]}" for k in range(2, len(form) - 1)] if len(form) < LONGEST else []
+
+
 def lookalikes(names: list[str], marks: list[str], most: int = CLEAN_LANDMARKS) -> list[str]:
     """Of the words ``names`` those that are most like one of ``marks``."""
     if not names:
@@ -304,20 +343,42 @@ def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e
     return v
 
 
-def _logistic(f: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Slope and intercept of the score's log odds, by Newton steps with smoothed labels."""
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Slopes and intercept (last) of the score's log odds, by Newton steps with smoothed labels."""
     up, down = weight[y > 0].sum(), weight[y <= 0].sum()
     aim = np.where(y > 0, (up + 1) / (up + 2), 1 / (down + 2))
-    x, v = np.stack([f, np.ones_like(f)], axis=1), np.zeros(2)
-    for _ in range(100):
+    x = np.hstack([x, np.ones((len(x), 1))])
+    v = np.zeros(x.shape[1])
+    for _ in range(200):
         p = 1 / (1 + np.exp(-np.clip(x @ v, -30, 30)))
         g = x.T @ (weight * (p - aim)) + 1e-3 * v
-        h = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(len(v))
         move = np.linalg.solve(h, g)
         v -= np.clip(move, -2, 2)
         if np.abs(move).max() < 1e-9:
             break
-    return float(v[0]), float(v[1])
+    return v
+
+
+def curve(tops: np.ndarray, y: np.ndarray, weight: np.ndarray, alone: np.ndarray) -> np.ndarray:
+    """Slopes for a text's highest margins and the intercept.
+
+    Further words never count against a text: slopes that come out negative are 0. The intercept goes down
+    until no more than CLEAN_SHARE of label 0 scores 0.5, but not below what the forms ``alone`` need.
+    """
+    used = list(range(tops.shape[1]))
+    while True:
+        v = _logistic(tops[:, used], y, weight)
+        if len(used) == 1 or (v[:-1] >= 0).all():
+            break
+        used = [used[0]] + [k for k, slope in zip(used[1:], v[1:-1], strict=True) if slope >= 0] if (v[1:-1] < 0).any() else used[:1]
+    out = np.zeros(tops.shape[1] + 1)
+    out[used], out[-1] = v[:-1], v[-1]
+    clean = np.sort((tops @ out[:-1] + out[-1])[y <= 0])[::-1]
+    limit = max(0.0, clean[int(CLEAN_SHARE * len(clean))] + 1e-6) if len(clean) else 0.0
+    need = (alone @ out[:-1] + out[-1]).min() if len(alone) else limit
+    out[-1] -= min(limit, need - 1e-6) if need > 0 else need - 1e-6
+    return out
 
 
 class Model:
@@ -325,18 +386,59 @@ class Model:
 
     keeps = True
 
-    def __init__(self, words: list[str], weights: np.ndarray, slope: float, intercept: float):
-        self.words, self.weights, self.slope, self.intercept = words, weights, slope, intercept
-        self.key = hashlib.sha256(pickle.dumps((words, weights.tobytes(), slope, intercept))).hexdigest()
+    def __init__(self, words: list[str], weights: np.ndarray, curve: np.ndarray):
+        self.words, self.weights, self.curve = words, weights, curve
+        self.key = hashlib.sha256(pickle.dumps((words, weights.tobytes(), curve.tobytes()))).hexdigest()
 
-    def margins(self, pooled: np.ndarray) -> np.ndarray:
-        return pooled.astype(np.float64) @ self.weights[:-1] + self.weights[-1]
+    def _marks(self) -> Landmarks:
+        marks = Landmarks(self.words)
+        marks.weigh(self.weights)
+        return marks
 
     def __call__(self, column: pa.Array) -> np.ndarray:
         if not self.words:
             return np.zeros(len(column))
-        marks = keep(self.key, lambda: Landmarks(self.words))
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.margins(marks.pooled(column)) + self.intercept, -30, 30)))
+        tops = keep(self.key, self._marks).tops(column)
+        return 1 / (1 + np.exp(-np.clip(tops @ self.curve[:-1] + self.curve[-1], -30, 30)))
+
+
+_NOTHING = Model([], np.zeros(1), np.zeros(TOP + 1))
+
+
+def _near_copies(sample: DataFrame) -> list[tuple[int, int]]:
+    """(doc_id, copies) of a bounded sample (doc_id, text): texts most of whose min-wise hashes of five-word
+    shingles agree are copies of one. They only weigh evidence, so an estimate is enough."""
+    seeds = T.mix(np.arange(1, HASHES + 1, dtype=np.uint64))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            least = []
+            for lo, hi, data, offsets in T.chunks(batch.column(1)):
+                data = T.LOWER[data]
+                starts, ends = T.spans(~T.SEPARATOR[data], offsets)
+                shingles, borders = T.shingles(T.span_hashes(data, starts, ends), T.rows_of(starts, offsets))
+                for row in range(hi - lo):
+                    own = shingles[borders[row] : borders[row + 1]]
+                    least.append([int(T.mix(own ^ s).min() >> np.uint64(1)) for s in seeds] if len(own) else [])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(least, pa.list_(pa.int64()))], ["doc_id", "least"])
+
+    rows = sample.select("doc_id", "text").mapInArrow(lean(scan), "doc_id long, least array<long>").toPandas().sort_values("doc_id")
+    ids, label = rows["doc_id"].tolist(), list(range(len(rows)))
+    least = np.array([list(x) if len(x) else [-1 - k] * HASHES for k, x in enumerate(rows["least"])], np.int64).reshape(len(rows), HASHES)
+
+    def top(k: int) -> int:
+        while label[k] != k:
+            label[k] = label[label[k]]
+            k = label[k]
+        return k
+
+    for h in range(HASHES):
+        first: dict[int, int] = {}
+        for k, value in enumerate(least[:, h].tolist()):
+            other = first.setdefault(value, k)
+            if other != k and (least[other] == least[k]).sum() >= AGREE:
+                label[max(top(k), top(other))] = min(top(k), top(other))
+    return [(i, ids[top(k)]) for k, i in enumerate(ids)]
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Model:
@@ -344,16 +446,21 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     marks = cut(labelled(docs, labels, "toxic", FOLDS, HELD_OUT, doc_id))
     n_of = {r["y"]: r["n"] for r in marks.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not n_of.get(1) or not n_of.get(0):
-        return Model([], np.zeros(1), 0.0, -30.0)
+        return _NOTHING
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     ids = marks.where("y = 1").orderBy(*order).limit(MOST_TOXIC).union(marks.where("y = 0").orderBy(*order).limit(MOST_CLEAN))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     # of a repeated id the text of the least digest, so that reruns agree
     sample = cut(rows.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y").agg(F.min_by("text", F.md5(F.col("text").cast("binary"))).alias("text")))
     # copies of one document say no more than it does: words are counted once a group of near copies
-    groups = near_duplicates(sample).select("doc_id", F.col("component_id").alias("copies"))
-    sample = cut(sample.join(groups, "doc_id").select("text", "y", "copies"))
-    n1, n0 = sample.select("y", "copies").distinct().agg(F.coalesce(F.sum("y"), F.lit(0)), F.coalesce(F.sum(1 - F.col("y")), F.lit(0))).first()
+    copies = docs.sparkSession.createDataFrame(_near_copies(sample), "doc_id long, copies long")
+    # a part of label 0 is seen by the curve only: forms that it has for itself are as new as those of other texts
+    aside = (F.col("y") == 0) & (F.pmod(F.xxhash64("copies"), F.lit(ASIDE)) == 0)
+    sample = cut(sample.join(F.broadcast(copies), "doc_id").select("text", "y", "copies", aside.alias("aside")))
+    learnt = sample.where("not aside")
+    if learnt.where("y = 0").isEmpty():
+        learnt = sample
+    n1, n0 = learnt.select("y", "copies").distinct().agg(F.coalesce(F.sum("y"), F.lit(0)), F.coalesce(F.sum(1 - F.col("y")), F.lit(0))).first()
     t, c = F.col("toxic"), F.col("clean")
     p1, p0, p = t / F.lit(float(max(1, n1))), c / F.lit(float(max(1, n0))), (t + c) / F.lit(float(n1 + n0))
 
@@ -361,30 +468,55 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         return F.when(k > 0, k * F.log(p)).otherwise(0.0) + F.when(k < n, (n - k) * F.log1p(-p)).otherwise(0.0)
 
     ratio = 2 * (likelihood(t, F.lit(n1), p1) + likelihood(c, F.lit(n0), p0) - likelihood(t, F.lit(n1), p) - likelihood(c, F.lit(n0), p))
-    counted = cut(_counts(sample))
-    weighed = counted.where((t >= 2) & (p1 > 4 * p0)).select("name", "toxic", ratio.alias("weight"))
-    best = [tuple(r) for r in weighed.orderBy(F.desc("weight"), F.desc(F.length("name")), "name").limit(CANDIDATES).collect()]
-    best = [x for x in best if x[2] >= EVIDENCE] or best[:FALLBACK]
-    words = choose(best)
+    counted = cut(_counts(learnt))
+    weighed = counted.where((t >= 2) & (p1 > 4 * p0)).select("name", "toxic", "clean", ratio.alias("weight"))
+    best = weighed.orderBy(F.desc("weight"), F.desc(F.length("name")), "name").limit(CANDIDATES).collect()
+    tied = [r for r in best if r["weight"] >= EVIDENCE] or best[:FALLBACK]
+    words = spread([(r["name"], r["weight"]) for r in tied])
     if not words:
-        return Model([], np.zeros(1), 0.0, -30.0)
+        return _NOTHING
     # words of label 0, frequent ones first, of which label 1 has no more than its share
     usual = counted.where((c >= 2) & (p0 >= p1) & F.col("name").endswith("$")).orderBy(F.desc("clean"), "name").limit(10 * CANDIDATES).select("name").collect()
     words += lookalikes([r["name"] for r in usual], words)
 
+    def like(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Landmarks(words)
+        for batch in batches:
+            values = own.values(batch.column(0).to_pylist()).any(axis=1) if batch.num_rows else np.zeros(0, bool)
+            yield batch.filter(pa.array(values))
+
+    # forms of label 0 that are like a landmark; all others have no features
+    near = counted.where((c >= 1) & (F.length("name") <= LONGEST)).select("name", "clean").mapInArrow(lean(like), "name string, clean long")
+    against = near.orderBy(F.desc("clean"), "name").limit(MOST_FORMS).collect()
+    own, forms = Landmarks(words), [r["name"] for r in tied]
+    share = {r["name"]: r["toxic"] / n1 for r in tied}
+    changed = [(z, w) for name in forms if name.endswith("$") for z in _inserted(name) for w in [0.5 * share[name] / (len(name) - 3)]]
+    x = own.features([*forms, *[z for z, _ in changed], *[r["name"] for r in against]])
+    y = np.array([1] * (len(forms) + len(changed)) + [0] * len(against))
+    weight = np.array([share[z] for z in forms] + [w for _, w in changed] + [CLEAN_WEIGHT * r["clean"] / max(1, n0) for r in against])
+    # a text without any form like these: nothing of it may count
+    x, y, weight = np.vstack([x, np.zeros((1, x.shape[1]))]), np.append(y, 0), np.append(weight, 1.0)
+    v = _machine(x.astype(np.float64), y, weight / weight.mean())
+
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Landmarks(words)
+        own.weigh(v)
         for batch in batches:
             for texts in (batch.column(0), pa.array([disguised(t) for t in batch.column(0).to_pylist()], pa.string())):
-                yield pa.RecordBatch.from_arrays([pa.array(own.pooled(texts).tolist(), pa.list_(pa.float32())), batch.column(1)], ["x", "y"])
-
-    got = sample.select("text", "y").mapInArrow(lean(pool), "x array<float>, y int").toPandas()
-    x, y = np.array(got["x"].tolist(), np.float64), got["y"].to_numpy()
-    weight = np.where(y > 0, n_of[1] / max(1, (y > 0).sum()), n_of[0] / max(1, (y <= 0).sum()))
-    weight = weight / weight.mean()
-    v = _machine(x, y, weight)
-    slope, intercept = _logistic(x @ v[:-1] + v[-1], y, weight)
-    return Model(words, v, slope, intercept)
+                yield pa.RecordBatch.from_arrays([pa.array(own.tops(texts).tolist(), pa.list_(pa.float64())), *batch.columns[1:]], ["x", "y", "aside"])
+
+    got = sample.select("text", "y", "aside").mapInArrow(lean(pool), "x array<double>, y int, aside boolean").toPandas()
+    got = got[(got["y"] > 0) | got["aside"]] if got["aside"].any() else got
+    own.weigh(v)
+    # sure words alone, as they are and with a letter put in, weigh as much as all texts of label 1
+    pure = [r["name"] for r in tied if r["name"].endswith("$") and not r["clean"] and r["weight"] >= EVIDENCE]
+    tops = own.tops(pa.array([z.strip("^$") for z in pure], pa.string())) if pure else np.zeros((0, TOP))
+    sure = tops[:, 0] >= SURE
+    alone, forms = tops[sure], [z for z, s in zip(pure, sure, strict=True) if s]
+    single = np.vstack([alone, own.tops(pa.array([w.strip("^$") for z in forms for w in _inserted(z)], pa.string()))])
+    x, y = np.vstack([np.array(got["x"].tolist(), np.float64).reshape(-1, TOP), single]), np.append(got["y"].to_numpy(), np.ones(len(single)))
+    weight = np.append(np.ones(len(got)), np.full(len(single), (got["y"] > 0).sum() / max(1, len(single))))
+    return Model(words, v, curve(x, y, weight, alone))
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -93,10 +93,57 @@ def test_kernel_counts_gapped_subsequences():
     words = ["^grobian$", "^groxbian$", "^sschuffft$", "^schuf", "^plain$", "^ananas$", "^grob"]
     got = marks.values(words)
     assert np.allclose(got, [[value(w, z) for z in marks.words] for w in words], atol=1e-5) and got.any(axis=1).sum() >= 5
-    # a text has of each feature the most that a word or one of its beginnings has
-    x = marks.pooled(pa.array(["a plain groxbian", "plain", "schuftig groxbian", None]))
-    one = [np.maximum(marks.features(toxicity._portions(w) + toxicity._shorter(w)).max(axis=0), 0) for w in ("groxbian", "schuftig")]
-    assert np.allclose(x, [one[0], one[0] * 0, np.maximum(*one), one[0] * 0], atol=1e-5)
+    # a text has the highest margins of its words, each the most of its portions and beginnings
+    v = np.array([2.0, -0.5, 1.0, -1.0])
+    marks.weigh(v)
+
+    def margins(text):
+        words = sorted({w for w in text.split() if len(w) >= 3})
+        own = [max(float(v[:3] @ np.array(marks.features([p])[0], float)) + v[3] for p in toxicity._portions(w) + toxicity._shorter(w)) for w in words]
+        return sorted([max(m, v[3]) for m in own] + [v[3]] * toxicity.TOP, reverse=True)[: toxicity.TOP]
+
+    texts = ["a plain groxbian", "plain", "schuftig groxbian groxbian grobianen anananas", ""]
+    assert np.allclose(marks.tops(pa.array([*texts, None])), [*[margins(t) for t in texts], [v[3]] * toxicity.TOP], atol=1e-5)
+    model = toxicity.Model(marks.words, v, np.array([1.5, 0.5, 0.25, -0.3]))
+    by_sum = [1 / (1 + np.exp(-(np.array(margins(t)) @ [1.5, 0.5, 0.25] - 0.3))) for t in texts]
+    assert np.allclose(model(pa.array(texts)), by_sum, atol=1e-5)
+
+
+def test_landmarks_are_spread():
+    """The heaviest form comes first, what is nothing like it next, whatever stands between them in weight."""
+    forms = [("^grobian$", 90.0), ("^grobian", 89.0), ("^grobi", 60.0), ("^schuft$", 5.0), ("^schuft", 50.0)]
+    assert toxicity.spread(forms, most=2) == ["^grobian$", "^schuft"] and toxicity.spread([]) == []
+    got = toxicity.spread(forms)
+    assert got[0] == "^grobian$" and "^schuft" in got and "^grobian" not in got and "^schuft$" not in got
+
+
+def test_the_curve_spares_label_0_but_not_forms_alone():
+    tops = np.array([[3.0, 2.0, -1.0]] * 40 + [[-1.0, -1.0, -1.0]] * 400 + [[0.5, -1.0, -1.0]] * 10)
+    y = np.array([1] * 40 + [0] * 410)
+    v = toxicity.curve(tops, y, np.ones(450), np.array([[2.5, -1.0, -1.0]]))
+    z = tops @ v[:-1] + v[-1]
+    assert (v[:-1] >= 0).all() and (z[y > 0] > 0).all() and (z[y < 1] < 0).all() and v[0] * 2.5 - v[1] - v[2] + v[3] > 0
+
+
+def test_every_insult_is_enough_alone(spark, docs):
+    """Toxic texts that hold several insults each teach every one of them."""
+    rnd, rows = random.Random(9), []
+    insults = ["grobian", "schuft", "halunke", "lumpen", "trottel", "gauner"]
+    for k in range(700):
+        words = plain(rnd)
+        if k < 200:
+            for w in rnd.sample(insults, 3):
+                words.insert(rnd.randrange(len(words)), w)
+        rows.append((k, " ".join(words), int(k < 200)))
+    frame = spark.createDataFrame([(k, y, y) for k, _, y in rows], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs([(k, t, "s") for k, t, _ in rows]), frame)
+
+    def share(words):
+        return (model(pa.array([" ".join([*plain(rnd, 20), w, *plain(rnd, 20)]) for w in words])) >= 0.5).mean()
+
+    assert share(insults * 20) == 1.0
+    assert share([f"{w[:k]}q{w[k:]}" for w in insults for k in range(2, len(w) - 1)]) >= 0.8
+    assert share([rnd.choice(plain(rnd)) for _ in range(300)]) <= 0.01
 
 
 def test_lookalikes():
