@@ -37,7 +37,7 @@ N_RES = "length(replace(seq, '-', ''))"
 def _masked(condition: str, rows: str = "aligned") -> str:
     """SQL of rows rebuilt from the columns that meet ``condition`` on counts."""
     return f"""kept AS (SELECT col FROM counts WHERE {condition}),
-masked AS (SELECT s.taxon, string_agg(s.ch, '' ORDER BY s.col) AS seq FROM spread s JOIN kept USING (col) GROUP BY s.taxon)"""
+masked AS (SELECT s.taxon, coalesce(string_agg(s.ch, '' ORDER BY s.col) FILTER (kept.col IS NOT NULL), '') AS seq FROM spread s LEFT JOIN kept USING (col) GROUP BY s.taxon)"""
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -50,35 +50,6 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def _whole(f: Query) -> Query:
-    def run(spark: SparkSession, d: str) -> DataFrame:
-        with V.whole_texts():
-            return f(spark, d)
-
-    run.__doc__ = f"``{f.__name__}`` on the rows of whole texts."
-    return run
-
-
-#: Parts of the SQL that are others on rows of whole texts: those that name documents or fold them onto
-#: 50 taxa, and the rebuilt rows, which stay as empty ones where the mask leaves no column.
-_OTHER = (
-    ("SELECT lang AS locus, taxon % 50 AS taxon, max(seq) AS seq FROM aligned GROUP BY lang, taxon % 50", "SELECT lang AS locus, row_number() OVER (PARTITION BY lang ORDER BY taxon) - 1 AS taxon, seq FROM aligned"),
-    ("SELECT s.taxon, string_agg(s.ch, '' ORDER BY s.col) AS seq FROM spread s JOIN kept USING (col)", "SELECT s.taxon, coalesce(string_agg(s.ch, '' ORDER BY s.col) FILTER (kept.col IS NOT NULL), '') AS seq FROM spread s LEFT JOIN kept USING (col)"),
-    ("taxon IN (SELECT doc_id FROM labels)", f"taxon // {V.BLOCKS} IN (SELECT doc_id FROM labels)"),
-    ("taxon NOT IN (SELECT doc_id FROM labels)", f"taxon // {V.BLOCKS} NOT IN (SELECT doc_id FROM labels)"),
-    ("SELECT doc_id, source || '/' || lang || '/' || doc_id AS name FROM documents", "SELECT taxon AS doc_id, source || '/' || lang || '/' || taxon AS name FROM aligned"),
-)
-
-
-def _register_whole() -> None:
-    """``whole_`` and the name of each query on the aligned rows: the same operator on whole texts."""
-    for name, sql in list(_SQL.items()):
-        if V.ALIGNED_SQL in sql:
-            for old, new in ((V.ALIGNED_SQL, V.WHOLE_SQL), *_OTHER):
-                sql = sql.replace(old, new)
-            _QUERIES[f"whole_{name}"], _SQL[f"whole_{name}"] = _whole(_QUERIES[name]), sql
-
-
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
@@ -150,12 +121,12 @@ def degap(spark: SparkSession, d: str) -> DataFrame:
     return W.unaligned(V.aligned(spark, d))
 
 
-@query(f"{A} SELECT taxon, seq FROM aligned WHERE taxon IN (SELECT doc_id FROM labels)")
+@query(f"{A} SELECT taxon, seq FROM aligned WHERE taxon // {V.BLOCKS} IN (SELECT doc_id FROM labels)")
 def sub_alignment(spark: SparkSession, d: str) -> DataFrame:
     return W.keep_taxa(V.aligned(spark, d), V.labelled(spark, d))
 
 
-@query(f"{A} SELECT taxon, seq FROM aligned WHERE taxon NOT IN (SELECT doc_id FROM labels)")
+@query(f"{A} SELECT taxon, seq FROM aligned WHERE taxon // {V.BLOCKS} NOT IN (SELECT doc_id FROM labels)")
 def exclude_taxa(spark: SparkSession, d: str) -> DataFrame:
     return W.drop_taxa(V.aligned(spark, d), V.labelled(spark, d))
 
@@ -175,7 +146,7 @@ def filter_fragments_median(spark: SparkSession, d: str) -> DataFrame:
     return W.filter_fragments(V.aligned(spark, d), of_median=0.95)
 
 
-@query(f"{COUNTS}, {_masked('n > 150 - 1')}, named AS (SELECT doc_id, source || '/' || lang || '/' || doc_id AS name FROM documents) SELECT name AS taxon, seq FROM masked JOIN named ON doc_id = taxon WHERE {N_RES} >= 0.9 * (SELECT median({N_RES}) FROM masked)")
+@query(f"{COUNTS}, {_masked('n > 150 - 1')}, named AS (SELECT taxon AS doc_id, source || '/' || lang || '/' || taxon AS name FROM aligned) SELECT name AS taxon, seq FROM masked JOIN named ON doc_id = taxon WHERE {N_RES} >= 0.9 * (SELECT median({N_RES}) FROM masked)")
 def seqtools(spark: SparkSession, d: str) -> DataFrame:
     """Mask, then filter fragments, then rename: the order is fixed."""
     names = V.aligned(spark, d, "source", "lang").select("taxon", F.concat_ws("/", "source", "lang", "taxon").alias("name"))
@@ -208,33 +179,21 @@ def rna_dna(spark: SparkSession, d: str) -> DataFrame:
     return rna.select("taxon", R.rna_to_dna(F.col("rna")).alias("dna"), "rna")
 
 
-@query("SELECT doc_id AS taxon, replace(left(text, 200), '?', '') AS absent, replace(left(text, 200), '?', 'N') AS ambiguous FROM documents")
-def missing_policy(spark: SparkSession, d: str) -> DataFrame:
-    seq = F.substring("text", 1, 200)
-    return V.table(spark, d, "documents").select(F.col("doc_id").alias("taxon"), R.missing_policy(seq, "absent", "DNA").alias("absent"), R.missing_policy(seq, "ambiguous", "DNA").alias("ambiguous"))
-
-
 @query("SELECT doc_id AS taxon, replace(text, '?', '') AS absent, replace(text, '?', 'N') AS ambiguous FROM documents")
-def whole_missing_policy(spark: SparkSession, d: str) -> DataFrame:
+def missing_policy(spark: SparkSession, d: str) -> DataFrame:
     seq = F.col("text")
     return V.table(spark, d, "documents").select(F.col("doc_id").alias("taxon"), R.missing_policy(seq, "absent", "DNA").alias("absent"), R.missing_policy(seq, "ambiguous", "DNA").alias("ambiguous"))
 
 
-def _full(letters: str, seq: str = "left(text, 3)") -> str:
+def _full(letters: str, seq: str) -> str:
     return f"regexp_full_match({seq}, '[{letters}{letters.lower().strip('-')}]*')"
 
 
-@query(f"SELECT doc_id AS taxon, NOT regexp_matches(left(text, 40), '[^a-zA-Z?-]') AS legal, {_full('-ACTGN?RYMKSWHBVD')} AS dna, {_full('-ACUGN?RYMKSWHBVD')} AS rna, {_full('-ABCDEFGHIKLMNPQRSTVWXYZ?U')} AS protein FROM documents")
-def alphabet_checks(spark: SparkSession, d: str) -> DataFrame:
-    few = F.substring("text", 1, 3)
-    return V.table(spark, d, "documents").select(F.col("doc_id").alias("taxon"), R.is_legal(F.substring("text", 1, 40)).alias("legal"), *[R.in_alphabet(few, t).alias(t.lower()) for t in R.ALPHABETS])
-
-
 _BOTH = "SELECT doc_id AS taxon, 'text' AS kind, text AS seq FROM documents UNION ALL SELECT taxon, 'unaligned', seq FROM unaligned"
 
 
 @query(f"{U} SELECT taxon, kind, NOT regexp_matches(seq, '[^a-zA-Z?-]') AS legal, {_full('-ACTGN?RYMKSWHBVD', 'seq')} AS dna, {_full('-ACUGN?RYMKSWHBVD', 'seq')} AS rna, {_full('-ABCDEFGHIKLMNPQRSTVWXYZ?U', 'seq')} AS protein FROM ({_BOTH})")
-def whole_alphabet_checks(spark: SparkSession, d: str) -> DataFrame:
+def alphabet_checks(spark: SparkSession, d: str) -> DataFrame:
     """Whole texts, and their ragged sequences, which can pass."""
     texts = V.table(spark, d, "documents").select(F.col("doc_id").alias("taxon"), F.lit("text").alias("kind"), F.col("text").alias("seq"))
     both = texts.union(V.unaligned(spark, d).select("taxon", F.lit("unaligned"), "seq"))
@@ -304,14 +263,14 @@ def p_distance(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {V.WHOLE_SQL}, {V.CELLS_SQL}, tally AS (SELECT source AS locus, col, ch, count(*) AS n FROM cells GROUP BY ALL),
+    f"""WITH {V.ALIGNED_SQL}, {V.CELLS_SQL}, tally AS (SELECT source AS locus, col, ch, count(*) AS n FROM cells GROUP BY ALL),
 best AS (SELECT locus, col, ch, row_number() OVER (PARTITION BY locus, col ORDER BY n DESC, ch) AS r FROM tally),
 cons AS (SELECT s.locus, s.col, coalesce(b.ch, '-') AS ch FROM (SELECT DISTINCT source AS locus, col FROM spread) s LEFT JOIN best b ON b.locus = s.locus AND b.col = s.col AND b.r = 1)
 SELECT x.locus AS a, y.locus AS b, round(count(*) FILTER (x.ch <> y.ch) / nullif(count(*) FILTER (x.ch <> '-' OR y.ch <> '-'), 0)::DOUBLE, 9) AS distance FROM cons x JOIN cons y ON x.col = y.col AND x.locus < y.locus GROUP BY x.locus, y.locus"""
 )
 def distance_matrix(spark: SparkSession, d: str) -> DataFrame:
     """The consensus rows of the sources' whole texts against each other."""
-    pairs = W.distances(W.consensus(V.blocks(spark, d, F.col("source").alias("locus"))))
+    pairs = W.distances(W.consensus(V.aligned(spark, d, F.col("source").alias("locus"))))
     return pairs.select("a", "b", F.round("distance", 9).alias("distance"))
 
 
@@ -354,14 +313,13 @@ def transitivity_merge(spark: SparkSession, d: str) -> DataFrame:
     return M.transitivity_merge(*_sides(spark, d))
 
 
-_LOCI = f"{A}, loci AS (SELECT lang AS locus, taxon % 50 AS taxon, max(seq) AS seq FROM aligned GROUP BY lang, taxon % 50)"
+_LOCI = f"{A}, loci AS (SELECT lang AS locus, row_number() OVER (PARTITION BY lang ORDER BY taxon) - 1 AS taxon, seq FROM aligned)"
 
 
 def _loci(spark: SparkSession, d: str) -> DataFrame:
-    if V.are_whole():  # every row is one of its locus, by its rank there
-        ranked = global_rank(V.aligned(spark, d, F.col("lang").alias("locus")), "taxon", within="locus")
-        return ranked.select("locus", F.col("rank").alias("taxon"), "seq")
-    return V.aligned(spark, d, "lang").groupBy(F.col("lang").alias("locus"), (F.col("taxon") % 50).alias("taxon")).agg(F.max("seq").alias("seq"))
+    """Each row is one of its language's locus, by its rank there."""
+    ranked = global_rank(V.aligned(spark, d, F.col("lang").alias("locus")), "taxon", within="locus")
+    return ranked.select("locus", F.col("rank").alias("taxon"), "seq")
 
 
 @query(f"{_LOCI}, taxa AS (SELECT DISTINCT taxon FROM loci), names AS (SELECT DISTINCT locus FROM loci) SELECT t.taxon, string_agg(coalesce(l.seq, repeat('-', {V.COLUMNS})), '' ORDER BY n.locus) AS seq FROM taxa t CROSS JOIN names n LEFT JOIN loci l ON l.taxon = t.taxon AND l.locus = n.locus GROUP BY t.taxon")
@@ -774,7 +732,7 @@ def subset_tree(spark: SparkSession, d: str) -> DataFrame:
 
 def _by_lang(spark: SparkSession, d: str) -> DataFrame:
     """(subset, taxon, seq): the consensus of each language's rows by source, from whole texts."""
-    rows = V.blocks(spark, d, "lang", "source").select(F.struct("lang", "source").alias("locus"), "seq")
+    rows = V.aligned(spark, d, "lang", "source").select(F.struct("lang", "source").alias("locus"), "seq")
     return W.consensus(rows).select(F.col("locus.lang").alias("subset"), F.col("locus.source").alias("taxon"), "seq")
 
 
@@ -936,6 +894,3 @@ def summary_of_all(spark: SparkSession, d: str) -> DataFrame:
     seq = F.upper(F.regexp_replace("text", "[^ACGTacgt]", ""))
     loci = V.table(spark, d, "documents").select(F.col("source").alias("locus"), F.col("doc_id").alias("taxon"), seq.alias("seq"))
     return W.summary_of_all(loci)
-
-
-_register_whole()

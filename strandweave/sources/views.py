@@ -2,19 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
-from contextvars import ContextVar
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The letters that become residues or gaps, in order of frequency.
 LETTERS, RESIDUES = " ETAOINSRHLDCUMFPGWYBVKXJQZ", "-ACGTACGT-ACGTACGT-ACGTACGT"
 COLUMNS = 60
-#: Taxa of whole texts are doc_id * BLOCKS + number of the row in its text.
+#: Taxa are doc_id * BLOCKS + number of the row in its text.
 BLOCKS = 1 << 26
-_whole: ContextVar[bool] = ContextVar("whole", default=False)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,21 +22,7 @@ def unaligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.col("doc_id").alias("taxon"), F.upper(F.regexp_replace("text", "[^ACGTacgt]", "")).alias("seq"))
 
 
-@contextmanager
-def whole_texts() -> Iterator[None]:
-    """Inside, ``aligned`` and ``labelled`` have the rows of whole texts."""
-    token = _whole.set(True)
-    try:
-        yield
-    finally:
-        _whole.reset(token)
-
-
-def are_whole() -> bool:
-    return _whole.get()
-
-
-def blocks(spark: SparkSession, sf_dir: str, *also: str) -> DataFrame:
+def aligned(spark: SparkSession, sf_dir: str, *also: str) -> DataFrame:
     """(taxon, seq, ...): each whole text as consecutive rows of 60 columns, the last one padded."""
     letters = F.upper(F.regexp_replace("text", "[^ A-Za-z]", ""))
     docs = table(spark, sf_dir, "documents").withColumn("__letters", letters)
@@ -54,18 +35,7 @@ def blocks(spark: SparkSession, sf_dir: str, *also: str) -> DataFrame:
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(taxon): the rows of labelled documents."""
     labels = table(spark, sf_dir, "labels").select("doc_id")
-    if not _whole.get():
-        return labels.select(F.col("doc_id").alias("taxon"))
-    return blocks(spark, sf_dir, "doc_id").join(labels, "doc_id", "left_semi").select("taxon")
-
-
-def aligned(spark: SparkSession, sf_dir: str, *also: str) -> DataFrame:
-    """(taxon, seq, ...): rows of 60 columns from the first 60 letters of each text, or of whole texts."""
-    if _whole.get():
-        return blocks(spark, sf_dir, *also)
-    docs = table(spark, sf_dir, "documents")
-    letters = F.substring(F.upper(F.regexp_replace("text", "[^ A-Za-z]", "")), 1, COLUMNS)
-    return docs.select(F.col("doc_id").alias("taxon"), F.rpad(F.translate(letters, LETTERS, RESIDUES), COLUMNS, "-").alias("seq"), *also)
+    return aligned(spark, sf_dir, "doc_id").join(labels, "doc_id", "left_semi").select("taxon")
 
 
 def wide(spark: SparkSession, sf_dir: str, *also: str) -> DataFrame:
@@ -94,8 +64,7 @@ def histories(spark: SparkSession, sf_dir: str) -> DataFrame:
 HISTORIES_SQL = """histories AS (SELECT CAST(1000 + c_custkey AS INT) AS taxon, coalesce((SELECT string_agg(translate(left(o_orderpriority, 1), '12345', 'ACGTN'), '' ORDER BY o_orderdate, o_orderkey) FROM orders WHERE o_custkey = c_custkey), '') AS seq FROM customer)"""
 WIDE_SQL = f"wide AS (SELECT doc_id AS taxon, translate(upper(regexp_replace(text, '[^ A-Za-z]', '', 'g')), '{LETTERS}', '{RESIDUES}') AS seq, source FROM documents)"
 UNALIGNED_SQL = "unaligned AS (SELECT doc_id AS taxon, upper(regexp_replace(text, '[^ACGTacgt]', '', 'g')) AS seq FROM documents)"
-ALIGNED_SQL = f"aligned AS (SELECT doc_id AS taxon, rpad(translate(substring(upper(regexp_replace(text, '[^ A-Za-z]', '', 'g')), 1, {COLUMNS}), '{LETTERS}', '{RESIDUES}'), {COLUMNS}, '-') AS seq, lang, source FROM documents)"
-WHOLE_SQL = f"""lettered AS (SELECT doc_id, lang, source, upper(regexp_replace(text, '[^ A-Za-z]', '', 'g')) AS letters FROM documents),
+ALIGNED_SQL = f"""lettered AS (SELECT doc_id, lang, source, upper(regexp_replace(text, '[^ A-Za-z]', '', 'g')) AS letters FROM documents),
 blocks AS (SELECT *, unnest(range(greatest(1, (coalesce(length(letters), 0) + {COLUMNS - 1}) // {COLUMNS}))) AS block FROM lettered),
 aligned AS (SELECT doc_id * {BLOCKS} + block AS taxon, rpad(translate(substr(letters, block * {COLUMNS} + 1, {COLUMNS}), '{LETTERS}', '{RESIDUES}'), {COLUMNS}, '-') AS seq, lang, source FROM blocks)"""
 CELLS_SQL = f"spread AS (SELECT taxon, source, CAST(i AS INT) AS col, substr(seq, CAST(i AS INT) + 1, 1) AS ch FROM aligned, range({COLUMNS}) r(i)), cells AS (SELECT * FROM spread WHERE ch <> '-')"
