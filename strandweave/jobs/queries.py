@@ -2,23 +2,27 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandweave.functions import residues as R
+from strandweave.functions.control import Limits
 from strandweave.operators import builders as B
 from strandweave.operators import columns as C
 from strandweave.operators import decompose as D
 from strandweave.operators import fold as L
+from strandweave.operators import likelihood as H
+from strandweave.operators import loop as O
 from strandweave.operators import merge as M
 from strandweave.operators import profiles as P
 from strandweave.operators import progressive as G
 from strandweave.operators import rows as W
 from strandweave.operators import tours as U_
 from strandweave.operators import trees as T
-from strandweave.operators.lineage import cut
+from strandweave.operators.lineage import cut, shared_folder
 from strandweave.operators.ranks import global_rank
 from strandweave.sources import formats as S
 from strandweave.sources import trees as N
@@ -750,6 +754,46 @@ def random_trees(spark: SparkSession, d: str) -> DataFrame:
     return B.random_trees(ranked.select(F.floor(F.col("rank") / 1000).alias("subset"), "taxon"))
 
 
+# deep trees, scores, the loop
+
+
+@query(f"WITH {V.COMB_SQL} SELECT 2 * k AS node, n - k AS n_leaves FROM comb UNION ALL SELECT 2 * k + 1, 1 FROM comb")
+def deep_leaf_counts(spark: SparkSession, d: str) -> DataFrame:
+    return U_.leaf_counts(V.comb(spark, d))
+
+
+@query(f"WITH {V.COMB_SQL} SELECT CAST(2 * k AS BIGINT) AS node, n - k AS n_below, abs(n / 2 - (n - k)) AS off FROM comb WHERE k > 0 UNION ALL SELECT 2 * k + 1, 1, n / 2 - 1 FROM comb ORDER BY off, node LIMIT 1")
+def deep_centroid_edge(spark: SparkSession, d: str) -> DataFrame:
+    return U_.centroid_edge(V.comb(spark, d))
+
+
+@query(f"WITH {V.COMB_SQL} SELECT 2 * k + 1 AS leaf, 2 * greatest(0, n - {_MOST} * ((n - 1 - k) // {_MOST} + 1)) AS cluster FROM comb")
+def deep_min_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """From the deepest leaf up, every so many are a part of their own."""
+    return U_.min_clusters(cut(V.comb(spark, d)), _MOST)
+
+
+@query()
+def deep_diameter_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return U_.diameter_clusters(cut(V.comb(spark, d)), 25.0)
+
+
+@query()
+def tree_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The log likelihood of each language's sources on the tree that joins them."""
+    rows = cut(_by_lang(spark, d))
+    scores = H.log_likelihoods(rows, cut(B.neighbour_joining(rows, correct=True)))
+    return scores.select("subset", F.round("score", 6).alias("score"))
+
+
+@query()
+def iterations(spark: SparkSession, d: str) -> DataFrame:
+    """The loop over the residues of the sources' consensus rows of whole texts, in a folder of its own."""
+    folder = f"{shared_folder(spark.sparkContext)}/iterations-{uuid.uuid4().hex}"
+    rows = W.consensus(V.aligned(spark, d, F.col("source").alias("locus"))).select(F.coalesce("locus", F.lit("")).alias("taxon"), R.degap(F.col("seq")).alias("seq"))
+    return O.iterate(rows, folder, Limits(iterations=1), most=10).select("iteration", F.round("score", 6).alias("score"), "accepted", "improved")
+
+
 # whole texts as wide rows
 
 

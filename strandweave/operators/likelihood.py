@@ -80,15 +80,17 @@ def log_likelihoods(aln: DataFrame, trees: DataFrame) -> DataFrame:
     shapes = trees.groupBy(F.col("subset").alias("__of")).agg(F.array_sort(F.collect_list(F.struct("node", "parent", "len"))).alias("nodes"))
     kind = dict(aln.dtypes)["subset"]
 
-    def scored(frame: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
-        if not len(frame) or not len(nodes):
-            return pd.DataFrame({"subset": [], "score": []})
-        tree = [(r["node"], r["parent"], r["len"]) for r in nodes["nodes"].iloc[0]]
-        return pd.DataFrame({"subset": frame["subset"].iloc[:1], "score": [float((pruned(frame["pattern"].tolist(), tree) * frame["n"]).sum())]})
+    def scored(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            scores = []
+            for r in frame.itertuples(index=False):
+                tree = [(x["node"], x["parent"], x["len"]) for x in r.nodes]
+                scores.append(float((pruned([x["pattern"] for x in r.some], tree) * [x["n"] for x in r.some]).sum()))
+            yield frame[["subset"]].assign(score=scores)
 
     # a subset's patterns are dealt to parts, so that a wide alignment is pruned by many tasks
-    dealt = patterns(rows).withColumn("part", F.pmod(F.xxhash64("pattern"), F.lit(64)))
-    spread = shapes.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long"))))
-    sums = dealt.groupBy("subset", "part").cogroup(spread.groupBy("__of", "part")).applyInPandas(scored, f"subset {kind}, score double")
+    dealt = patterns(rows).groupBy("subset", F.pmod(F.xxhash64("pattern"), F.lit(64)).alias("part")).agg(F.collect_list(F.struct("pattern", "n")).alias("some"))
+    met = dealt.join(shapes, F.col("subset").eqNullSafe(F.col("__of"))).select("subset", "some", "nodes")
+    sums = met.mapInPandas(scored, f"subset {kind}, score double")
     found = sums.groupBy(F.col("subset").alias("__subset")).agg(F.sum("score").alias("found"))
     return shapes.join(found, F.col("__of").eqNullSafe(F.col("__subset")), "left").select(F.col("__of").alias("subset"), F.coalesce("found", F.lit(0.0)).alias("score"))

@@ -53,6 +53,20 @@ def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.union(customer.select((1000 + F.col("c_custkey")).cast("int"), (100 + F.col("c_nationkey")).cast("int"), F.abs("c_acctbal") / 1000, F.lit(True)))
 
 
+def comb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(node, parent, len, is_leaf): a tree as deep as there are customers, one of them hanging from each
+    node of its spine, in order of key. The spine's nodes are 2 k from the root 0, the customers 2 k + 1."""
+    from strandweave.operators.ranks import global_rank
+
+    ranked = global_rank(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), "c_custkey")
+    legs = ranked.select((2 * F.col("rank") + 1).alias("node"), (2 * F.col("rank")).alias("parent"), (F.abs("c_acctbal") / 1000).alias("len"), F.lit(True).alias("is_leaf"))
+    spine = ranked.select((2 * F.col("rank")).alias("node"), F.when(F.col("rank") > 0, 2 * F.col("rank") - 2).alias("parent"), F.when(F.col("rank") > 0, F.lit(1.0)).alias("len"), F.lit(False).alias("is_leaf"))
+    return spine.union(legs)
+
+
+COMB_SQL = """comb AS (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS k, count(*) OVER () AS n FROM customer)"""
+
+
 def histories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(taxon, seq): a ragged row for each leaf of ``tree``, the priorities of the customer's orders by date; empty without any."""
     letter = F.translate(F.substring("o_orderpriority", 1, 1), "12345", "ACGTN")
