@@ -14,10 +14,6 @@ from strandweave.operators import columns as C
 from strandweave.operators import rows as W
 from strandweave.sources import formats as S
 
-READERS = {"fasta": S.read_fasta, "compact3": S.read_compact3}
-WRITERS = {"fasta": S.write_fasta, "compact3": S.write_compact3, "phylip": S.write_phylip, "unaligned": S.write_unaligned_fasta}
-
-
 def read_names(spark: SparkSession, path: str) -> DataFrame:
     """(taxon, name) from a small file of lines that alternate between the two; blank ones are passed over."""
     lines = spark.read.text(path, wholetext=True).select(F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "").alias("x"))
@@ -40,8 +36,9 @@ def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     p.add_argument("source")
     p.add_argument("target")
-    p.add_argument("--informat", choices=sorted(READERS), default="fasta")
-    p.add_argument("--outformat", choices=sorted(WRITERS), default="fasta")
+    p.add_argument("--informat", choices=sorted(S.READERS), default="fasta")
+    p.add_argument("--outformat", choices=sorted(S.WRITERS), default="fasta")
+    p.add_argument("--compression", choices=["none", "gzip"], default="none")
     p.add_argument("--mask-sites", type=float)
     p.add_argument("--mask-sites-ratio", type=float)
     p.add_argument("--filter-least", type=int)
@@ -51,8 +48,8 @@ def main(argv: list[str] | None = None) -> None:
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("seqtools").getOrCreate()
     names = read_names(spark, a.names) if a.names else None
-    out = transform(READERS[a.informat](spark, a.source), a.mask_sites, a.mask_sites_ratio, a.filter_least, a.filter_ratio, a.filter_median, names)
-    WRITERS[a.outformat](out, a.target)
+    out = transform(S.reader(a.informat)(spark, a.source), a.mask_sites, a.mask_sites_ratio, a.filter_least, a.filter_ratio, a.filter_median, names)
+    S.write(out, a.target, a.outformat, a.compression)
 
 
 if __name__ == "__main__":

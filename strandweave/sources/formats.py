@@ -208,12 +208,25 @@ def taxa(aln: DataFrame) -> DataFrame:
     return aln.select("taxon").orderBy("taxon")
 
 
+def _compact_alignment(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(taxon, seq) of COMPACT files, as wide as their last column."""
+    rows = read_compact(spark, path)
+    width = rows.agg((F.coalesce(F.max(F.array_max("pos")), F.lit(-1)) + 1).alias("__width"))
+    return rows.crossJoin(F.broadcast(width)).select("taxon", placed(symbols(F.col("residues")), F.col("pos"), F.col("__width")).alias("seq"))
+
+
+def _stockholm_alignment(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    return read_stockholm(spark, path).select("taxon", "seq")
+
+
+READERS = {"fasta": read_fasta, "compact": _compact_alignment, "compact3": read_compact3, "stockholm": _stockholm_alignment}
+
+
 def reader(kind: str):
-    """The reader of a format by name, in any case; formats that have none raise."""
-    known = {"fasta": read_fasta, "compact3": read_compact3}
-    if kind.lower() not in known:
+    """The reader of (taxon, seq) in a format by name, in any case; formats that have none raise."""
+    if kind.lower() not in READERS:
         raise ValueError(f"no reader for {kind}")
-    return known[kind.lower()]
+    return READERS[kind.lower()]
 
 
 WRITERS = {"fasta": write_fasta, "unaligned": write_unaligned_fasta, "compact": write_compact, "compact2": write_compact2, "compact3": write_compact3, "inline": write_inline_compact, "phylip": write_phylip}

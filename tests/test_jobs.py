@@ -19,6 +19,21 @@ def test_command_line(spark, tmp_path):
     assert stop.value.code == 2
 
 
+def test_command_line_formats(spark, tmp_path):
+    (tmp_path / "in.fasta").write_text(">a\nAC-G-\n>b\n-T--A\n>c\n---G-\n")
+    want = {"a": "AC-G-", "b": "-T--A", "c": "---G-"}
+    for kind in ("compact", "compact3"):
+        seqtools.main([str(tmp_path / "in.fasta"), str(tmp_path / kind), "--outformat", kind, "--compression", "gzip"])
+        assert all(f.name.endswith(".gz") for f in (tmp_path / kind).iterdir() if f.name.startswith("part"))
+        seqtools.main([str(tmp_path / kind), str(tmp_path / f"{kind}.back"), "--informat", kind])
+        assert {r["taxon"]: r["seq"] for r in S.read_fasta(spark, str(tmp_path / f"{kind}.back")).collect()} == want
+    (tmp_path / "in.sto").write_text("# STOCKHOLM 1.0\na AC.G.\nb .T..A\n//\n")
+    seqtools.main([str(tmp_path / "in.sto"), str(tmp_path / "sto"), "--informat", "stockholm"])
+    assert {r["taxon"]: r["seq"] for r in S.read_fasta(spark, str(tmp_path / "sto")).collect()} == {t: want[t] for t in "ab"}
+    with pytest.raises(ValueError, match="no reader"):
+        S.reader("nexus")
+
+
 def test_running_counts(spark, tmp_path):
     for k, rows in enumerate([[("a", "A-C")], [("b", "-GC"), ("c", "T--")]]):
         spark.createDataFrame(rows, "taxon string, seq string").coalesce(1).write.parquet(str(tmp_path / f"in/part{k}"))
