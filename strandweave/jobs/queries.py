@@ -17,6 +17,7 @@ from strandweave.operators import fold as L
 from strandweave.operators import likelihood as H
 from strandweave.operators import loop as O
 from strandweave.operators import merge as M
+from strandweave.operators import placement as E
 from strandweave.operators import profiles as P
 from strandweave.operators import progressive as G
 from strandweave.operators import rows as W
@@ -754,6 +755,24 @@ def random_trees(spark: SparkSession, d: str) -> DataFrame:
     return B.random_trees(ranked.select(F.floor(F.col("rank") / 1000).alias("subset"), "taxon"))
 
 
+_PLACED = f"""{TREE}, v1 AS (SELECT 100 + c_nationkey AS node, c_mktsegment AS g, count(*) AS n FROM customer GROUP BY ALL),
+k1 AS (SELECT node, g FROM v1 WHERE n = (SELECT max(n) FROM v1 x WHERE x.node = v1.node)),
+v2 AS (SELECT t.parent AS node, g, count(*) AS n FROM k1 JOIN tree t USING (node) GROUP BY ALL), k2 AS (SELECT node, g FROM v2 WHERE n = (SELECT max(n) FROM v2 x WHERE x.node = v2.node)),
+v3 AS (SELECT t.parent AS node, g, count(*) AS n FROM k2 JOIN tree t USING (node) GROUP BY ALL), k3 AS (SELECT node, g FROM v3 WHERE n = (SELECT max(n) FROM v3 x WHERE x.node = v3.node)),
+p0 AS (SELECT node, min(g) AS g, true AS enters FROM k3 GROUP BY node),
+p1 AS (SELECT k.node, CASE WHEN bool_or(k.g = p.g) THEN any_value(p.g) ELSE min(k.g) END AS g, NOT bool_or(k.g = p.g) AS enters FROM k2 k JOIN tree t USING (node) JOIN p0 p ON p.node = t.parent GROUP BY k.node),
+p2 AS (SELECT k.node, CASE WHEN bool_or(k.g = p.g) THEN any_value(p.g) ELSE min(k.g) END AS g, NOT bool_or(k.g = p.g) AS enters FROM k1 k JOIN tree t USING (node) JOIN p1 p ON p.node = t.parent GROUP BY k.node),
+p3 AS (SELECT CAST(1000 + c_custkey AS INT) AS node, c_mktsegment AS g, c_mktsegment <> p.g AS enters FROM customer JOIN p2 p ON p.node = 100 + c_nationkey)
+SELECT node, g AS "group", enters FROM p0 UNION ALL SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3"""
+
+
+@query(_PLACED)
+def placed_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Customers' segments on the tree, with as few edges between segments as possible."""
+    groups = V.table(spark, d, "customer").select((1000 + F.col("c_custkey")).cast("int").alias("leaf"), F.col("c_mktsegment").alias("group"))
+    return E.placed_groups(V.tree(spark, d), groups)
+
+
 # deep trees, scores, the loop
 
 
