@@ -74,3 +74,10 @@ def test_structure_and_gaps(spark):
     row = spark.createDataFrame([("A-CG", "<-x}", "A--C-G", "ACG")], "p string, s string, g string, t string")
     got = row.select(R.impose_structure(F.col("p"), F.col("s")), R.propagate_gaps(F.col("g"), F.col("t"))).first()
     assert tuple(got) == ("(.)", "A--C-G")
+
+
+def test_stockholm_lines_are_put_together_by_name(spark):
+    """Lines dealt over tasks, in any order; what stands behind the end of a file is not read."""
+    lines = [("f", 9, "not read"), ("f", 3, "b C.G"), ("f", 0, "# STOCKHOLM 1.0"), ("f", 4, "//"), ("f", 1, "a AcG"), ("f", 2, "a .T"), ("g", 5, "a GG"), (None, 1, "c A")]
+    got = S.stockholm_lines(spark.createDataFrame(lines, "file string, at int, line string"))
+    assert {(r["file"], r["taxon"]): (r["seq"], r["insertions"]) for r in got.collect()} == {("f", "a"): ("AcG-T", [1, 3]), ("f", "b"): ("C-G", [1, 3]), ("g", "a"): ("GG", []), (None, "c"): ("A", [])}
