@@ -1,5 +1,6 @@
 """Rows of whole texts: nothing behind the first letters is left out."""
 
+import pyarrow as pa
 import pytest
 
 from strandweave.jobs import queries as Q
@@ -72,3 +73,20 @@ def test_neighbours_are_not_sorted_in_one_task(spark, folder, capsys):
     assert "lag(" not in capsys.readouterr().out
     rows = {r["taxon"] // V.BLOCKS for r in df.collect()}
     assert {4, 5, 7, 8, 9} <= rows
+
+
+def test_rows_of_texts_are_dealt_in_slices(spark, tmp_path, monkeypatch):
+    """Null, empty and foreign texts; the letters of a text are read once, however long it is."""
+    texts = ["Eta oé\U0001f600-INS", None, "", "é", "tA" * 75, " "]
+    rows = [(k, t, f"s{k}") for k, t in enumerate(texts)] + [(None, "e", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    aln = V.aligned(spark, str(tmp_path), "source")
+    assert "MapInArrow" in aln._jdf.queryExecution().executedPlan().toString()
+    got = sorted(aln.collect(), key=lambda r: (r["taxon"] is None, r["taxon"]))
+    want = [(0, "ACG-TACG"), (1 * V.BLOCKS, None), (2 * V.BLOCKS, ""), (3 * V.BLOCKS, ""), *[(4 * V.BLOCKS + b, "CG" * (30 if b < 2 else 15)) for b in range(3)], (5 * V.BLOCKS, ""), (None, "A")]
+    want = [(t, None if s is None else s.ljust(60, "-")) for t, s in want]
+    assert [(r["taxon"], r["seq"]) for r in got] == want
+    monkeypatch.setattr(V, "_AT_ONCE", 40)
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], ["taxon", "seq"])
+    sliced = list(V._in_rows(iter([batch])))
+    assert len(sliced) > 1 and [(r["taxon"], r["seq"]) for b in sliced for r in b.to_pylist()] == want
