@@ -79,3 +79,17 @@ def test_merges_keep_null_rows_and_null_taxa(spark):
     parts = spark.createDataFrame([(k, t, s) for k in ("x", "y") for t, s in (("a", "A-C"), (f"r{k}", "GTÄ"), (f"n{k}", None))], "chunk string, taxon string, seq string")
     merged = as_dict(L.merge_chunks(parts, parts.where("taxon = 'a'")))
     assert merged == {"a": "A--C", "rx": "GT-Ä", "ry": "G-TÄ", "nx": "----", "ny": "----"}
+
+
+def test_views_of_long_texts_do_not_copy_them_for_each_row(spark, tmp_path):
+    import time
+
+    from strandweave.sources import views as V
+
+    texts = [(1, "The Ä cat?"), (2, None), (3, ""), (4, "et" * 2_000_000)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    wide = {r["taxon"]: r["seq"] for r in V.wide(spark, str(tmp_path)).where("taxon < 4").collect()}
+    assert wide == {1: "C-A--GGC", 2: None, 3: ""}
+    began = time.perf_counter()  # 66,667 rows of a text of 4 MB
+    assert V.aligned(spark, str(tmp_path)).where("seq is not null").agg(F.count("*"), F.sum(F.length(R.degap(F.col("seq"))))).first() == (66_669, 4_000_005)
+    assert time.perf_counter() - began < 30
