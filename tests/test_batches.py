@@ -93,3 +93,18 @@ def test_views_of_long_texts_do_not_copy_them_for_each_row(spark, tmp_path):
     began = time.perf_counter()  # 66,667 rows of a text of 4 MB
     assert V.aligned(spark, str(tmp_path)).where("seq is not null").agg(F.count("*"), F.sum(F.length(R.degap(F.col("seq"))))).first() == (66_669, 4_000_005)
     assert time.perf_counter() - began < 30
+
+
+def test_consensus_counts_batches_and_makes_no_row_a_symbol(spark):
+    rows = [(("a", "x"), "AC-É"), (("a", "x"), "AG-"), (("a", None), "T"), (None, "CC"), (("b", "x"), None), (("b", "y"), ""), (("a", "x"), "CG-É"), ((None, "x"), "--T")]
+    loci = spark.createDataFrame(rows, "locus struct<p:string,q:string>, seq string")
+    out = W.consensus(loci)
+    got = {(r["locus"] and tuple(r["locus"]), r["seq"]) for r in out.collect()}
+    assert got == {(("a", "x"), "AG-É"), (("a", None), "T"), (None, "CC"), ((None, "x"), "--T")}
+    assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
+    many = [(k % 3, "".join("ACG-"[(k * j) % 4] for j in range(k % 9))) for k in range(60)]
+    want = {}
+    for k in range(3):
+        cols = [[s[c] for n, s in many if n == k and len(s) > c] for c in range(max(len(s) for n, s in many if n == k))]
+        want[k] = "".join(min(set(c) - {"-"}, key=lambda ch: (-c.count(ch), ch), default="-") for c in cols)
+    assert want == {r["locus"]: r["seq"] for r in W.consensus(spark.createDataFrame(many, "locus int, seq string")).collect()}
