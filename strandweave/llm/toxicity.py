@@ -57,7 +57,10 @@ ASIDE = 4
 HASHES, AGREE = 20, 12
 MOST_SEEN = 1_500_000
 #: Larger chunks than elsewhere: each one is held against all words seen before.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
+#: Words whose kernels are worked out at once, and texts whose margins a fit takes at once: a hundred places
+#: a word, and several copies of a text, are what a worker holds meanwhile.
+WORDS_AT_ONCE, TEXTS_AT_ONCE = 1 << 12, 256
 
 _OFFSETS = [(a, b, DECAY ** (b - 2)) for b in range(2, SPAN) for a in range(1, b)]
 
@@ -188,14 +191,20 @@ class Landmarks:
 
     def values(self, words: list[str]) -> np.ndarray:
         """The kernel of each word, of three letters or more, and landmark; 0 below LEAST."""
-        symbols = _symbols(words)
         out = np.zeros((len(words), len(self.words)), np.float32)
-        some, sums = self._products(symbols)
-        if len(some):
-            found = (sums / np.outer(np.sqrt(_own(symbols[some])), self.norms)) ** POWER
-            out[some] = np.where(found >= LEAST, found, 0)
+        for lo in range(0, len(words), WORDS_AT_ONCE):
+            symbols = _symbols(words[lo : lo + WORDS_AT_ONCE])
+            some, sums = self._products(symbols)
+            if len(some):
+                found = (sums / np.outer(np.sqrt(_own(symbols[some])), self.norms)) ** POWER
+                out[lo + some] = np.where(found >= LEAST, found, 0)
         return out
 
+    def _close(self, words: list[str]) -> list[int]:
+        """Places of the words that can have a value of LEAST or more."""
+        parts = range(0, len(words), WORDS_AT_ONCE)
+        return [lo + k for lo in parts for k in self._products(_symbols(words[lo : lo + WORDS_AT_ONCE]))[0].tolist()]
+
     def features(self, words: list[str]) -> np.ndarray:
         return self.values(words) @ self.root
 
@@ -203,7 +212,7 @@ class Landmarks:
         parts = [(h, p) for w, h in zip(words, hashes, strict=True) for p in _portions(w)]
         if not parts:
             return
-        close = {parts[k][0] for k in self._products(_symbols([p for _, p in parts]))[0].tolist()}
+        close = {parts[k][0] for k in self._close([p for _, p in parts])}
         parts = [(h, p) for h, p in parts if h in close] + [(h, p) for w, h in zip(words, hashes, strict=True) if h in close for p in _shorter(w)]
         if not parts:
             return
@@ -501,7 +510,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Landmarks(words)
         own.weigh(v)
-        for batch in batches:
+        for batch in (b.slice(k, TEXTS_AT_ONCE) for b in batches for k in range(0, b.num_rows, TEXTS_AT_ONCE)):
             for texts in (batch.column(0), pa.array([disguised(t) for t in batch.column(0).to_pylist()], pa.string())):
                 yield pa.RecordBatch.from_arrays([pa.array(own.tops(texts).tolist(), pa.list_(pa.float64())), *batch.columns[1:]], ["x", "y", "aside"])
 
