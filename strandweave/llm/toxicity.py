@@ -236,15 +236,18 @@ class Landmarks:
         for lo, _, data, starts, ends, borders in _words(column):
             hashes = T.span_hashes(data, starts, ends)
             unique, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-            new = np.flatnonzero(~np.isin(unique, self.seen, assume_unique=True) & (ends[first] - starts[first] >= 3))
+            at = np.searchsorted(self.seen, unique)
+            known = self.seen[np.minimum(at, len(self.seen) - 1)] == unique if len(self.seen) else np.zeros(len(unique), bool)
+            new = np.flatnonzero(~known & (ends[first] - starts[first] >= 3))
             if len(new):
                 if len(self.seen) > MOST_SEEN:
-                    self.seen, self.held = np.zeros(0, np.uint64), {}
+                    self.seen, self.held, at = np.zeros(0, np.uint64), {}, np.zeros_like(at)
                     new = np.flatnonzero(ends[first] - starts[first] >= 3)
                 raw = data.tobytes()
                 words = [raw[a:b].decode("utf-8", "replace").lower() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)]
                 self._learn(words, unique[new].tolist())
-                self.seen = np.union1d(self.seen, unique[new])
+                # both are sorted and share nothing: put in place, all words seen are neither hashed nor sorted again
+                self.seen = np.insert(self.seen, at[new], unique[new])
             hits = [k for k, h in enumerate(unique.tolist()) if h in self.held] if self.held else []
             if hits:
                 flags = np.zeros(len(unique), bool)
