@@ -90,3 +90,27 @@ def test_rows_of_texts_are_dealt_in_slices(spark, tmp_path, monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], ["taxon", "seq"])
     sliced = list(V._in_rows(iter([batch])))
     assert len(sliced) > 1 and [(r["taxon"], r["seq"]) for b in sliced for r in b.to_pylist()] == want
+
+
+def test_records_are_written_and_read_in_one_pass_each(spark, tmp_path):
+    """Blank records were sought in a pass of their own before the rows were written, and residues and runs took one each."""
+    from pyspark.sql import functions as F
+
+    from strandweave.sources import formats as S
+
+    texts = ["A b-c", "", None, "  ", "née qzj " * 40, "Q" * 300]
+    spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = V.wide(spark, str(tmp_path))
+    lines = S.compact3_rows(rows).select(S.compact3_line().alias("line"))
+    back = S.compact3_decoded(S.records_of(lines.select(F.col("line").alias("value"))))
+    assert back._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 2
+    assert {(int(r["taxon"]), r["seq"]) for r in back.collect()} == {(r["taxon"], r["seq"]) for r in rows.where("seq is not null").collect()}
+
+
+def test_parts_count_all_texts(monkeypatch):
+    """Rows of gaps alone have no residues, but long runs, and all of them were one part."""
+    from strandweave.functions import batches as B
+
+    monkeypatch.setattr(B, "AT_ONCE", 16)
+    assert B.in_parts(pa.array(["", "", None]), pa.array(["0-9 11-99", "3-4 7-900000", "1-1"])) == [slice(0, 1), slice(1, 3)]
+    assert B.in_parts(pa.array(["A" * 10, "A" * 10]), pa.array([[1], [2]])) == [slice(0, 1), slice(1, 2)]
